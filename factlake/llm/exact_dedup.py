@@ -43,6 +43,8 @@ class DigestIndex:
             .write.partitionBy("run")
             .option("compression", "zstd")
             .option("parquet.bloom.filter.enabled#digest", "true")
+            .option("parquet.bloom.filter.adaptive.enabled#digest", "true")
+            .option("parquet.bloom.filter.adaptive.enabled", "true")
             .parquet(path)
         )
         self.levels.append(path)
