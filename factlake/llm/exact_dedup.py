@@ -77,9 +77,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         digests.join(level.filter("group_size > 1"), "digest").select("digest", "doc_id", "keep_id", "n_points"), "members"
     )
     texts = docs.withColumnRenamed("doc_id", "id")
+    # Members follow the documents in number, so they are never broadcast, however few there are now.
     # A repeated identifier joins each of its rows to each of its texts; the digest tells which belong together.
     hits = stage(
         members.distinct()
+        .hint("merge")
         .join(texts, F.col("doc_id").eqNullSafe(F.col("id")))
         .select("digest", "doc_id", "keep_id", normalised(F.col("text")).alias("norm"))
         .filter(F.unhex(F.sha2("norm", 256)) == F.col("digest")),
