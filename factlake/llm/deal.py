@@ -29,8 +29,7 @@ class Layout:
         """One row for each bucket that has records."""
         order = np.argsort(bucket, kind="stable")
         b = bucket[order]
-        at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, int)
-        ends = np.append(at[1:], len(b))
+        at, ends = runs(b)
         cols = [pa.array(b[at].astype(np.int32), pa.int32())]
         for f, kind in self.fields.items():
             v = np.ascontiguousarray(data[f][order].astype(kind, copy=False))
@@ -48,6 +47,51 @@ class Layout:
         return {f: np.zeros(0, kind) for f, kind in self.fields.items()}
 
 
+def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values."""
+    if not len(sorted_keys):
+        return np.zeros(0, int), np.zeros(0, int)
+    at = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+    return at, np.append(at[1:], len(sorted_keys))
+
+
+class MixedLayout(Layout):
+    """Records of which fields of type "O" hold bytes of any length."""
+
+    def split(self, data, bucket):
+        order = np.argsort(bucket, kind="stable")
+        b = bucket[order]
+        a, z = runs(b)
+        cols = [pa.array(b[a].astype(np.int32), pa.int32())]
+        for f, kind in self.fields.items():
+            v = data[f][order]
+            if kind == "O":
+                parts = [b"".join(len(t).to_bytes(4, "little") + t for t in v[x:y]) for x, y in zip(a, z, strict=True)]
+            else:
+                parts = [np.ascontiguousarray(v[x:y].astype(kind)).tobytes() for x, y in zip(a, z, strict=True)]
+            cols.append(pa.array(parts, pa.binary()))
+        return pa.RecordBatch.from_arrays(cols, schema=self.schema)
+
+    def join(self, rows):
+        out = {}
+        for f, kind in self.fields.items():
+            parts = [x for x in rows.column(f).to_pylist() if x is not None]
+            if kind == "O":
+                texts = []
+                for p in parts:
+                    at = 0
+                    while at < len(p):
+                        n = int.from_bytes(p[at : at + 4], "little")
+                        texts.append(p[at + 4 : at + 4 + n])
+                        at += 4 + n
+                v = np.empty(len(texts), object)
+                v[:] = texts
+                out[f] = v
+            else:
+                out[f] = np.concatenate([np.frombuffer(p, kind) for p in parts] or [np.zeros(0, kind)])
+        return out
+
+
 class Gatherer:
     """Collects record arrays and yields dealt batches of about ``most`` records."""
 
@@ -66,11 +110,3 @@ class Gatherer:
         bucket = np.concatenate([p[1] for p in self.parts] or [np.zeros(0, np.int64)])
         self.parts, self.n = [], 0
         return self.layout.split(data, bucket)
-
-
-def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of equal values."""
-    if not len(sorted_keys):
-        return np.zeros(0, int), np.zeros(0, int)
-    at = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
-    return at, np.append(at[1:], len(sorted_keys))

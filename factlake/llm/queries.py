@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, topk, warc
+from . import bpe, exact_dedup, mixing, recompression, suffix_dedup, topk, warc
 from .common import table
 
 
@@ -35,6 +35,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -44,6 +52,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_entropy_mixing": op2_entropy_mixing,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op9_recompression_dedup": op9_recompression_dedup,
     "op10_topk_search": op10_topk_search,
 }
 
@@ -51,5 +61,6 @@ ORACLES: dict[str, str] = {
     "op1_warc_capture_index": warc.SQL,
     "op2_entropy_mixing": mixing.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op9_recompression_dedup": recompression.SQL,
     "op10_topk_search": topk.SQL,
 }

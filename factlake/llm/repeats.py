@@ -167,10 +167,13 @@ def classify(dealt: DataFrame, window: int, buckets: int, keep_first: bool) -> D
         k_at, k_end = runs(d["key"][c_at])
         mixed_class = np.repeat(k_end - k_at > 1, k_end - k_at)
         mixed = np.repeat(mixed_class, c_n)
-        settled = ~mixed & ~(class_new if keep_first else np.zeros(len(mixed), bool))
+        # The first place of a class; a repeated row has the same place.
+        rep = np.repeat(c_at, c_n)
+        first = (d["doc"] == d["doc"][rep]) & (d["start"] == d["start"][rep])
+        settled = ~mixed & ~(first if keep_first else np.zeros(len(mixed), bool))
         s = _take(d, np.flatnonzero(settled))
         ranges = {"doc": s["doc"], "start": s["start"], "end": s["start"] + s["count"].astype(np.int32) - 1 + window}
-        m = _take(d | {"first": class_new.astype("u1")}, np.flatnonzero(mixed))
+        m = _take(d | {"first": first.astype("u1")}, np.flatnonzero(mixed))
         r = _take(d, c_at[mixed_class]) | {"many": (c_n[mixed_class] > 1).astype("u1")}
         return pa.concat_tables([
             _kind("range", RANGE, ranges, doc_bucket(ranges["doc"], buckets)),
