@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, recompression, suffix_dedup, topk, warc
+from . import bpe, exact_dedup, mixing, ngram_join, recompression, suffix_dedup, topk, warc
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op2_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -50,6 +54,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_capture_index": op1_warc_capture_index,
     "op2_entropy_mixing": op2_entropy_mixing,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_warc_capture_index": warc.SQL,
     "op2_entropy_mixing": mixing.SQL,
+    "op3_ngram_jaccard_join": ngram_join.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op9_recompression_dedup": recompression.SQL,
     "op10_topk_search": topk.SQL,
