@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, ngram_join, recompression, suffix_dedup, topk, warc
+from . import bpe, exact_dedup, language, mixing, ngram_join, recompression, suffix_dedup, topk, warc
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language_ecoc": op6_language_ecoc,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_recompression_dedup": op9_recompression_dedup,
     "op10_topk_search": op10_topk_search,
