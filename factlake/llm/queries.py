@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, mixing, ngram_join, recompression, suffix_dedup, topk, warc
+from . import bpe, exact_dedup, language, mixing, ngram_join, pii, recompression, suffix_dedup, topk, warc
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_pii_lstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_ecoc": op6_language_ecoc,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_pii_lstm_crf": op8_pii_lstm_crf,
     "op9_recompression_dedup": op9_recompression_dedup,
     "op10_topk_search": op10_topk_search,
 }
