@@ -247,7 +247,8 @@ def repeated_ranges(docs: DataFrame, symbols: Callable, window: int, anchors: Ca
         yield out.flush()
 
     wanted = stage(requests_by_doc(kinds), "requests")
-    looked = keyed(docs).join(wanted, "id").select("id", "text", "key", "dig", "start", "count", "off", "many").mapInArrow(fetch, layout.ddl)
+    # Requests and ranges follow the documents in number, so they are never broadcast, however few there are now.
+    looked = keyed(docs).join(wanted.hint("merge"), "id").select("id", "text", "key", "dig", "start", "count", "off", "many").mapInArrow(fetch, layout.ddl)
     extra = [f for f in layout.fields if f not in MEMBER.fields]
     members = kinds.filter("kind = 'member'").select("bucket", "key", "dig", "doc", "start", F.col("flag").alias("first"))
     for f in extra:
@@ -267,4 +268,4 @@ def repeated_ranges(docs: DataFrame, symbols: Callable, window: int, anchors: Ca
 
     settled = stage(both.groupBy("bucket").applyInArrow(run, KINDS), "settled")
     ranges = stage(ranges_by_doc(kinds, settled), "ranges")
-    return keyed(docs).join(ranges, "id", "left").select("doc_id", "text", "starts", "ends")
+    return keyed(docs).join(ranges.hint("merge"), "id", "left").select("doc_id", "text", "starts", "ends")
