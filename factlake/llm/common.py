@@ -77,7 +77,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def input_buckets(df: DataFrame, each_mb: int = 8, least: int = 16) -> int:
+def input_buckets(df: DataFrame, each_mb: int = 2, least: int = 32) -> int:
     """Buckets to deal ``df`` into so that a bucket answers to about ``each_mb`` MB of its files."""
     try:
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
