@@ -39,9 +39,10 @@ from .trie import linked
 
 N = 5
 PERCENT = 75
-#: Hash buckets of the table of shingle counts (4 bytes each), and pieces in which it travels.
-TABLE = 1 << 20
-PIECES = 32
+#: Hash buckets of the table of shingle counts: one for about 64 bytes of input, between these bounds
+#: (its broadcast classes take a byte each), and pieces in which it travels.
+TABLE = (1 << 20, 1 << 25)
+PIECES = 64
 #: Most sets in a block of a fragment.
 BLOCK = 512
 SIGNATURE_BITS = 1024
@@ -64,39 +65,44 @@ def shingle_hashes(text: str | None, n: int = N) -> np.ndarray:
     return np.unique(mix64(Sums(w).of(at, at + n)))
 
 
-def table_slot(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(TABLE - 1)).astype(np.int64)
+def table_slot(h: np.ndarray, slots: int) -> np.ndarray:
+    return (h & np.uint64(slots - 1)).astype(np.int64)
 
 
 def count_table(docs: DataFrame, n: int = N) -> np.ndarray:
     """Class of the count of each hash bucket over all documents: four classes for each doubling."""
+    slots = min(TABLE[1], max(TABLE[0], 1 << (input_buckets(docs, 1, 1) * (1 << 14)).bit_length()))
 
     def count(it):
-        t = np.zeros(TABLE, np.int64)
+        t = np.zeros(slots, np.int32)
         for batch in it:
             # All shingles of a batch at once; distinct within a document.
             held = [shingle_hashes(x.as_py(), n) for x in batch.column("text")]
             if held:
-                t += np.bincount(table_slot(np.concatenate(held)), minlength=TABLE)
-        parts = [zlib.compress(p.astype("<i8").tobytes(), 1) for p in t.reshape(PIECES, -1)]
+                at, times = np.unique(table_slot(np.concatenate(held), slots), return_counts=True)
+                t[at] += times.astype(np.int32)
+        parts = [zlib.compress(p.astype("<i4").tobytes(), 1) for p in t.reshape(PIECES, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], names=["piece", "counts"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in t.column("counts").to_pylist())
-        return pa.table({"piece": t.column("piece").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(slots // PIECES, np.int64)
+        for x in t.column("counts"):
+            total += np.frombuffer(zlib.decompress(x.as_py()), "<i4")
+        cls = np.minimum(np.round(4 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
+        return pa.table({"piece": t.column("piece").slice(0, 1), "counts": pa.array([cls.tobytes()], pa.binary())})
 
     schema = "piece int, counts binary"
     summed = docs.select("text").mapInArrow(count, schema).groupBy("piece").applyInArrow(add, schema)
-    t = np.zeros((PIECES, TABLE // PIECES), np.int64)
+    t = np.zeros((PIECES, slots // PIECES), np.uint8)
     for r in summed.collect():
-        t[r["piece"]] = np.frombuffer(r["counts"], "<i8")
-    return np.minimum(np.round(4 * np.log2(np.maximum(t.ravel(), 1))), 255).astype(np.uint8)
+        t[r["piece"]] = np.frombuffer(r["counts"], np.uint8)
+    return t.ravel()
 
 
 def ordered_set(text: str | None, classes: np.ndarray, n: int = N) -> np.ndarray:
     """The set of a text in the global order: class in the upper 8 bits, hash below."""
     h = shingle_hashes(text, n)
-    return np.sort((h >> np.uint64(8)) | (classes[table_slot(h)].astype(np.uint64) << np.uint64(56)))
+    return np.sort((h >> np.uint64(8)) | (classes[table_slot(h, len(classes))].astype(np.uint64) << np.uint64(56)))
 
 
 def signature(tokens: np.ndarray) -> bytes:
