@@ -45,7 +45,8 @@ TABLE = (1 << 20, 1 << 25)
 PIECES = 64
 #: Most sets in a block of a fragment.
 BLOCK = 512
-SIGNATURE_BITS = 1024
+#: Signature bits for each shingle, rounded up to a power of two, and least bits.
+SIGNATURE_BITS = (2, 256)
 
 SHARE = Layout(token="<u8", rep="<i8", size="<i4", at="<i4")
 LABELLED = Layout(token="<u8", rep="<i8", size="<i4", at="<i4", label="<i8")
@@ -106,8 +107,22 @@ def ordered_set(text: str | None, classes: np.ndarray, n: int = N) -> np.ndarray
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """Parities of the set's hash buckets; their Hamming distance is at most the symmetric difference."""
-    return np.packbits((np.bincount((mix64(tokens) % np.uint64(SIGNATURE_BITS)).astype(np.int64), minlength=SIGNATURE_BITS) & 1).astype(bool)).tobytes()
+    """Parities of the set's hash buckets, as many as its size asks for.
+
+    The Hamming distance of two signatures of one length is at most the symmetric difference of the
+    sets; a longer one is folded by exclusive or.
+    """
+    bits = max(SIGNATURE_BITS[1], 1 << (SIGNATURE_BITS[0] * len(tokens)).bit_length())
+    odd = np.bincount((mix64(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, from their signatures."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), 0)).sum())
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -301,10 +316,9 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, reps: DataFrame, buckets:
 
     def bound(it):
         for batch in it:
-            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            sig = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(n), -1) for c in ("sig_a", "sig_b")]
-            apart = np.bitwise_count(sig[0] ^ sig[1]).sum(1) if len(n) else n
-            keep = pa.array(apart * (100 + percent) <= (100 - percent) * n)
+            n = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()).tolist()
+            sigs = zip(batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist(), n, strict=True)
+            keep = pa.array([least_difference(p, q) * (100 + percent) <= (100 - percent) * m for p, q, m in sigs], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
     return stage(signed.mapInArrow(bound, "a long, b long"), "open")
