@@ -207,7 +207,7 @@ def _blocks(shared: DataFrame, buckets: int) -> DataFrame:
     return stage(owned.groupBy("bucket").applyInArrow(cut, PLACED.ddl), "blocks")
 
 
-def _sets_to_blocks(docs: DataFrame, placed: DataFrame, classes, n: int, buckets: int) -> DataFrame:
+def _sets_to_blocks(docs: DataFrame, reps: DataFrame, placed: DataFrame, classes, n: int, buckets: int) -> DataFrame:
     """SETS records: the ordered set of each placed representative, at each of its blocks."""
     schema = pa.schema([("id", pa.int64()), ("blocks", pa.binary())])
 
@@ -233,7 +233,9 @@ def _sets_to_blocks(docs: DataFrame, placed: DataFrame, classes, n: int, buckets
         yield out.flush()
 
     wanted = placed.groupBy("bucket").applyInArrow(by_rep, "id long, blocks binary")
-    return docs.join(wanted, "id").select("id", "text", "digest", "blocks").mapInArrow(build, SETS.ddl)
+    # Rows with one doc_id and several sets: a representative is told by its digest too.
+    wanted = wanted.join(reps.select("digest", F.col("rep").alias("id")), "id")
+    return docs.join(wanted.hint("merge"), "id").select("id", "text", "digest", "blocks").mapInArrow(build, SETS.ddl)
 
 
 def _trie_links(sets: DataFrame, percent: int, name: str) -> DataFrame:
@@ -338,10 +340,8 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig")),
         "reps",
     )
-    # Rows with one doc_id and several sets: a representative is told by its digest too.
-    texts = docs.join(reps.select("digest", F.col("rep").alias("id")), "id")
     shared = _shared_prefixes(reps, buckets)
-    first = _trie_links(_sets_to_blocks(texts, _blocks(shared, buckets), classes, n, buckets), percent, "links1")
+    first = _trie_links(_sets_to_blocks(docs, reps, _blocks(shared, buckets), classes, n, buckets), percent, "links1")
     labels = components(first)
     pairs = _open_pairs(shared, labels, reps, buckets, percent)
 
@@ -355,7 +355,7 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
             yield from out.add({"block": np.concatenate([block, block]), "rep": both}, doc_bucket(both, buckets))
         yield out.flush()
 
-    second = _trie_links(_sets_to_blocks(texts, pairs.mapInArrow(place, PLACED.ddl), classes, n, buckets), percent, "links2")
+    second = _trie_links(_sets_to_blocks(docs, reps, pairs.mapInArrow(place, PLACED.ddl), classes, n, buckets), percent, "links2")
     final = components(first.unionByName(second))
     members = profile.select("doc_id", "n_shingles", "digest")
     linked_reps = reps.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
