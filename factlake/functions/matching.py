@@ -148,7 +148,7 @@ def present(*values: Column) -> Column:
 
 def line_of(text: Column, found: Column) -> Column:
     """1-based line on which ``found`` first occurs in text; 1 if it doesn't."""
-    before = F.substring_index(text, found, 1)
+    before = F.call_function("substring_index", text, found, F.lit(1))
     inside = F.coalesce(F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))), F.lit(0))
     return F.when(found.isNull() | (found == ""), F.lit(1)).otherwise((inside + 1).cast("int"))
 
