@@ -159,11 +159,11 @@ def provider_chain(spark, d):
     return table(spark, d, "pages").select("page_id", facts.detect_provider(F.col("url"), word).alias("provider"))
 
 
-@query("""WITH s AS (SELECT page_id, lower(unnest(regexp_extract_all(url, '[?&]([A-Za-z_]+)=', 1))) AS v FROM pages), k AS (SELECT page_id, lower(unnest(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS i FROM pages)
+@query("""WITH s AS (SELECT page_id, lower(unnest(regexp_extract_all(url, '[?&]([A-Za-z_]+)=', 1))) AS v FROM pages), k AS (SELECT page_id, lower(unnest(regexp_extract_all(html, '([a-z]{4,})', 1))) AS i FROM pages)
   SELECT page_id, count(DISTINCT v) AS n_sources FROM s WHERE EXISTS (SELECT 1 FROM k WHERE k.page_id = s.page_id AND (contains(k.i, s.v) OR contains(s.v, k.i))) GROUP BY page_id""")
 def taint_flow(spark, d):
     p = table(spark, d, "pages").select(
-        "page_id", F.array_distinct(F.transform(F.regexp_extract_all("url", F.lit("[?&]([A-Za-z_]+)="), F.lit(1)), F.lower)).alias("vars"), F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)).alias("inputs"))
+        "page_id", F.array_distinct(F.transform(F.regexp_extract_all("url", F.lit("[?&]([A-Za-z_]+)="), F.lit(1)), F.lower)).alias("vars"), F.regexp_extract_all("html", F.lit("([a-z]{4,})"), F.lit(1)).alias("inputs"))
     none = F.lit(None).cast("string")
     hit = F.filter("vars", lambda v: taint.is_connected(v, F.col("inputs"), none, none, F.lit("request_query")))
     return p.select("page_id", F.size(hit).cast("long").alias("n_sources")).filter("n_sources > 0")
