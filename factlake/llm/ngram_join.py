@@ -9,10 +9,11 @@ travel as packed arrays to the bucket of the shingle.
 Round 1 sends every representative with a shared prefix shingle to the fragment of the rarest one.
 Fragments are cut into blocks of sets of like size, neighbouring blocks sharing one set; in each
 block the sets go through a trie (see trie.py), which gives links and so first components.
-Round 2 looks at every prefix shingle again: pairs of representatives that share one and are in
-different components so far, and that the length, position and signature bounds cannot rule out,
-are verified by tries. No similar pair is missed: each is in one component after round 1 or is a pair of
-round 2.
+Round 2 looks at the run of every prefix shingle again, and verifies neighbours by size that are in
+different components, so that groups of near copies become one component from a number of
+comparisons that is linear in their size. The last round takes all pairs of a run that are still in
+different components and that the length, position and signature bounds cannot rule out. No
+similar pair is missed: each is in one component by then or is a pair of the last round.
 
 Defined results: a text without words has the empty set and links with nothing; with fewer than n
 words the whole sequence is its one shingle. Repeated rows are copies. Rows with one doc_id and
@@ -35,7 +36,7 @@ from .common import fresh, input_buckets, mix64, prepare, stage, word_hashes
 from .components import components
 from .deal import Gatherer, Layout, MixedLayout, runs
 from .repeats import NO_DOC, Sums, doc_bucket
-from .trie import linked
+from .trie import Components, linked
 
 N = 5
 PERCENT = 75
@@ -45,6 +46,8 @@ TABLE = (1 << 20, 1 << 25)
 PIECES = 64
 #: Most sets in a block of a fragment.
 BLOCK = 512
+#: Rounds in which only neighbours in a run are compared, before all that is left.
+CHAINS = 3
 #: Signature bits for each shingle, rounded up to a power of two, and least bits.
 SIGNATURE_BITS = (2, 256)
 
@@ -52,6 +55,7 @@ SHARE = Layout(token="<u8", rep="<i8", size="<i4", at="<i4")
 LABELLED = Layout(token="<u8", rep="<i8", size="<i4", at="<i4", label="<i8")
 OWNED = Layout(token="<u8", rep="<i8", size="<i4")
 PLACED = Layout(block="<i8", rep="<i8")
+PAIRED = Layout(a="<i8", b="<i8")
 SETS = MixedLayout(block="<i8", rep="<i8", tokens="O")
 
 
@@ -117,12 +121,9 @@ def signature(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool)).tobytes()
 
 
-def least_difference(a: bytes, b: bytes) -> int:
-    """A lower bound of the symmetric difference of two sets, from their signatures."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    if len(x) > len(y):
-        x, y = y, x
-    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), 0)).sum())
+def fold(sig: bytes, length: int) -> np.ndarray:
+    """A signature at a shorter length, as 64-bit words."""
+    return np.bitwise_xor.reduce(np.frombuffer(sig, np.uint64).reshape(-1, length // 8), 0)
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -239,7 +240,7 @@ def _sets_to_blocks(docs: DataFrame, reps: DataFrame, placed: DataFrame, classes
 
 
 def _trie_links(sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """a, b: links found by a trie in each block."""
+    """a, b: what the links found by a trie connect in each block, as stars."""
 
     def run(t: pa.Table) -> pa.Table:
         d = SETS.join(t)
@@ -249,17 +250,21 @@ def _trie_links(sets: DataFrame, percent: int, name: str) -> DataFrame:
         for x, y in zip(a, b, strict=True):
             reps, first = np.unique(d["rep"][o[x:y]], return_index=True)
             tokens = [np.frombuffer(d["tokens"][o[x:y][i]], "<u8") for i in first]
+            comp = Components(len(reps))
             for i, j in linked(tokens, percent):
-                left.append(int(reps[i]))
-                right.append(int(reps[j]))
+                comp.join(i, j)
+            # A star for each component of the block: labels spread over few edges.
+            for i in range(len(reps)):
+                if comp.find(i) != i:
+                    left.append(int(reps[i]))
+                    right.append(int(reps[comp.find(i)]))
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return stage(sets.groupBy("bucket").applyInArrow(run, "a long, b long"), name)
 
 
-def _open_pairs(shared: DataFrame, labels: DataFrame, reps: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """a, b: pairs that share a prefix shingle, are in different components and may be similar."""
-    label_ddl = SHARE.ddl + ", label binary, what string"
+def _labelled(shared: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
+    """LABELLED records by bucket of the shingle: the prefix shingles with their representatives' components."""
     packed = Layout(rep="<i8", label="<i8")
 
     def pack(it):
@@ -269,61 +274,148 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, reps: DataFrame, buckets:
             yield from out.add({"rep": rep, "label": label}, doc_bucket(rep, buckets))
         yield out.flush()
 
-    none = lambda name: F.lit(None).cast("binary").alias(name)
-    known = labels.mapInArrow(pack, packed.ddl).select("bucket", none("token"), "rep", none("size"), none("at"), "label", F.lit("label").alias("what"))
-    both = shared.select("*", none("label"), F.lit("share").alias("what")).unionByName(known)
-    assert [f.name for f in both.schema.fields] == [x.split()[0] for x in label_ddl.split(", ")]
+    known = labels.mapInArrow(pack, packed.ddl).select("bucket", _none("token"), "rep", _none("size"), _none("at"), "label", F.lit("label").alias("what"))
+    both = shared.select("bucket", "token", "rep", "size", "at", _none("label"), F.lit("share").alias("what")).unionByName(known)
 
     def attach(t: pa.Table) -> pa.Table:
         is_label = np.array([w == "label" for w in t.column("what").to_pylist()], bool)
-        d, l = SHARE.join(t.filter(pa.array(~is_label))), packed.join(t.filter(pa.array(is_label)))
-        o = np.argsort(l["rep"])
-        at = np.minimum(np.searchsorted(l["rep"][o], d["rep"]), max(len(o) - 1, 0))
+        d, known = SHARE.join(t.filter(pa.array(~is_label))), packed.join(t.filter(pa.array(is_label)))
+        at, hit = _find(known["rep"], d["rep"])
         label = d["rep"].copy()
-        if len(o):
-            hit = l["rep"][o][at] == d["rep"]
-            label[hit] = l["label"][o][at][hit]
-        d = d | {"label": label}
-        return pa.Table.from_batches([LABELLED.split(d, _bucket(d["token"], buckets))])
+        label[hit] = known["label"][at[hit]]
+        return pa.Table.from_batches([LABELLED.split(d | {"label": label}, _bucket(d["token"], buckets))])
+
+    return both.groupBy("bucket").applyInArrow(attach, LABELLED.ddl)
+
+
+def _none(name: str):
+    return F.lit(None).cast("binary").alias(name)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index into keys, whether found) of each wanted value."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    o = np.argsort(keys, kind="stable")
+    at = o[np.minimum(np.searchsorted(keys[o], wanted), len(o) - 1)]
+    return at, keys[at] == wanted
+
+
+def _mixed(t: pa.Table):
+    """Records of one bucket in order of shingle and size, and the runs that hold several components."""
+    d = LABELLED.join(t)
+    o = np.lexsort((d["rep"], d["size"], d["token"]))
+    d = {f: v[o] for f, v in d.items()}
+    a, b = runs(d["token"])
+    apart = np.minimum.reduceat(d["label"], a) != np.maximum.reduceat(d["label"], a) if len(a) else np.zeros(0, bool)
+    return d, a[apart], b[apart]
+
+
+def _chain_pairs(labelled: DataFrame, percent: int) -> DataFrame:
+    """a, b: neighbours by size in the run of a shingle whose components differ; fewer than the run has members."""
+
+    def run(t: pa.Table) -> pa.Table:
+        d, a, b = _mixed(t)
+        found = [np.zeros((0, 2), np.int64)]
+        for x, y in zip(a, b, strict=True):
+            i = np.arange(x, y - 1)
+            i = i[(d["label"][i] != d["label"][i + 1]) & (100 * d["size"][i].astype(np.int64) >= percent * d["size"][i + 1].astype(np.int64))]
+            found.append(np.sort(np.stack([d["rep"][i], d["rep"][i + 1]], 1), 1))
+        p = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64())})
+
+    return labelled.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+
+
+SIGNED = MixedLayout(token="<u8", rep="<i8", size="<i4", at="<i4", label="<i8", sig="O")
+
+
+def _open_pairs(labelled: DataFrame, reps: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """a, b: all pairs that share a prefix shingle, differ in component and may be similar by length, position and signature."""
+
+    def mixed(t: pa.Table) -> pa.Table:
+        d, a, b = _mixed(t)
+        keep = np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True)] or [np.zeros(0, np.int64)])
+        d = {f: v[keep] for f, v in d.items()}
+        return pa.Table.from_batches([LABELLED.split(d, doc_bucket(d["rep"], buckets))])
+
+    packed = MixedLayout(rep="<i8", sig="O")
+
+    def pack(it):
+        out = Gatherer(packed, 100_000)
+        for batch in it:
+            sig = np.empty(len(batch), object)
+            sig[:] = batch.column("sig").to_pylist()
+            rep = batch.column("rep").to_numpy()
+            yield from out.add({"rep": rep, "sig": sig}, doc_bucket(rep, buckets))
+        yield out.flush()
+
+    members = labelled.groupBy("bucket").applyInArrow(mixed, LABELLED.ddl).select("*", _none("sig"), F.lit("member").alias("what"))
+    sigs = reps.select("rep", "sig").mapInArrow(pack, packed.ddl).select("bucket", _none("token"), "rep", _none("size"), _none("at"), _none("label"), "sig", F.lit("sig").alias("what"))
+
+    def attach(t: pa.Table) -> pa.Table:
+        is_sig = np.array([w == "sig" for w in t.column("what").to_pylist()], bool)
+        d, known = LABELLED.join(t.filter(pa.array(~is_sig))), packed.join(t.filter(pa.array(is_sig)))
+        at, hit = _find(known["rep"], d["rep"])
+        assert hit.all()
+        return pa.Table.from_batches([SIGNED.split(d | {"sig": known["sig"][at] if len(at) else np.zeros(0, object)}, _bucket(d["token"], buckets))])
 
     def pairs(t: pa.Table) -> pa.Table:
-        d = LABELLED.join(t)
-        o = np.lexsort((d["size"], d["token"]))
+        d = SIGNED.join(t)
+        o = np.lexsort((d["rep"], d["size"], d["token"]))
         d = {f: v[o] for f, v in d.items()}
-        a, b = runs(d["token"])
-        apart = np.minimum.reduceat(d["label"], a) != np.maximum.reduceat(d["label"], a) if len(a) else np.zeros(0, bool)
         found = [np.zeros((0, 2), np.int64)]
-        for x, y in zip(a[apart], b[apart], strict=True):
+        for x, y in zip(*runs(d["token"]), strict=True):
             rep, size, label, at = (d[f][x:y] for f in ("rep", "size", "label", "at"))
-            n = size.astype(np.int64)
+            n, sig = size.astype(np.int64), d["sig"][x:y]
+            length = np.array([len(v) for v in sig])
+            folded = {m: np.stack([fold(v, m) if len(v) >= m else np.zeros(m // 8, np.uint64) for v in sig]) for m in np.unique(length)}
             for i in range(len(rep) - 1):  # partners that are no smaller, up to the largest allowed
                 to = np.searchsorted(n, 100 * n[i] // percent, "right")
                 j = np.arange(i + 1, max(to, i + 1))
+                j = j[label[j] != label[i]]
                 need = -(-percent * (n[i] + n[j]) // (100 + percent))
                 # The overlap lies in what follows this shingle, itself included, or before it in both.
-                most = np.minimum(n[i] - at[i], n[j] - at[j]) + np.minimum(at[i], at[j])
-                j = j[(label[j] != label[i]) & (most >= need)]
+                j = j[np.minimum(n[i] - at[i], n[j] - at[j]) + np.minimum(at[i], at[j]) >= need]
                 if len(j):
-                    p = np.stack([np.full(len(j), rep[i]), rep[j]], 1)
-                    found.append(np.sort(p, 1))
+                    m = folded[length[i]]
+                    j = j[np.bitwise_count(m[j] ^ m[i]).sum(1) * (100 + percent) <= (100 - percent) * (n[i] + n[j])]
+                if len(j):
+                    found.append(np.sort(np.stack([np.full(len(j), rep[i]), rep[j]], 1), 1))
             if len(found) > 200:
                 found = [np.unique(np.concatenate(found), axis=0)]
         p = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64())})
 
-    labelled = both.groupBy("bucket").applyInArrow(attach, LABELLED.ddl)
-    found = stage(labelled.groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct(), "pairs")
-    size = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    signed = found.join(size("a"), "a").join(size("b"), "b")
+    signed = members.unionByName(sigs).groupBy("bucket").applyInArrow(attach, SIGNED.ddl)
+    return signed.groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct()
+
 
-    def bound(it):
+def _pair_blocks(pairs: DataFrame, buckets: int) -> DataFrame:
+    """PLACED records: pairs of one left side share blocks of at most BLOCK sets."""
+
+    def place(it):
         for batch in it:
-            n = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()).tolist()
-            sigs = zip(batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist(), n, strict=True)
-            keep = pa.array([least_difference(p, q) * (100 + percent) <= (100 - percent) * m for p, q, m in sigs], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            d = {"a": a, "b": b}
+            yield PAIRED.split(d, doc_bucket(a, buckets))
+
+    def block(t: pa.Table) -> pa.Table:
+        d = PAIRED.join(t)
+        o = np.lexsort((d["b"], d["a"]))
+        name, rep = [], []
+        for x, y in zip(*runs(d["a"][o]), strict=True):
+            a = d["a"][o[x]]
+            for no, at in enumerate(range(x, y, BLOCK - 1)):
+                part = d["b"][o[at : min(at + BLOCK - 1, y)]]
+                with np.errstate(over="ignore"):
+                    key = mix64(mix64(np.array([a]).view(np.uint64)) + np.uint64(no))[0]
+                rep += [np.array([a]), part]
+                name.append(np.full(len(part) + 1, key, np.uint64).view(np.int64))
+        d = {"block": np.concatenate(name or [np.zeros(0, np.int64)]), "rep": np.concatenate(rep or [np.zeros(0, np.int64)])}
+        return pa.Table.from_batches([PLACED.split(d, doc_bucket(d["rep"], buckets))])
 
-    return stage(signed.mapInArrow(bound, "a long, b long"), "open")
+    return pairs.mapInArrow(place, PAIRED.ddl).groupBy("bucket").applyInArrow(block, PLACED.ddl)
 
 
 def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -342,21 +434,19 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     )
     shared = _shared_prefixes(reps, buckets)
     first = _trie_links(_sets_to_blocks(docs, reps, _blocks(shared, buckets), classes, n, buckets), percent, "links1")
-    labels = components(first)
-    pairs = _open_pairs(shared, labels, reps, buckets, percent)
-
-    def place(it):
-        out = Gatherer(PLACED)
-        for batch in it:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            with np.errstate(over="ignore"):
-                block = mix64(mix64(a.view(np.uint64)) + b.view(np.uint64)).view(np.int64)
-            both = np.concatenate([a, b])
-            yield from out.add({"block": np.concatenate([block, block]), "rep": both}, doc_bucket(both, buckets))
-        yield out.flush()
-
-    second = _trie_links(_sets_to_blocks(docs, reps, pairs.mapInArrow(place, PLACED.ddl), classes, n, buckets), percent, "links2")
-    final = components(first.unionByName(second))
+    links, labels = first, components(first)
+
+    def verify(pairs: DataFrame, name: str) -> DataFrame:
+        return _trie_links(_sets_to_blocks(docs, reps, _pair_blocks(stage(pairs, "pairs"), buckets), classes, n, buckets), percent, name)
+
+    for _ in range(CHAINS):
+        more = verify(_chain_pairs(_labelled(shared, labels, buckets), percent), "chained")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = components(links)
+    last = verify(_open_pairs(_labelled(shared, labels, buckets), reps, buckets, percent), "last")
+    final = labels if last.isEmpty() else components(links.unionByName(last))
     members = profile.select("doc_id", "n_shingles", "digest")
     linked_reps = reps.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     known = stage(linked_reps.select("digest", F.coalesce("label", "rep").alias("label")), "known")
