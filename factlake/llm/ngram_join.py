@@ -46,6 +46,8 @@ TABLE = (1 << 20, 1 << 25)
 PIECES = 64
 #: Most sets in a block of a fragment.
 BLOCK = 512
+#: Most bytes of wanted identifiers and blocks that are broadcast to find their texts; more are joined by a shuffle.
+BROADCAST = 32 << 20
 #: Rounds in which only neighbours in a run are compared, before all that is left.
 CHAINS = 3
 #: Signature bits for each shingle, rounded up to a power of two, and least bits.
@@ -208,8 +210,11 @@ def _blocks(shared: DataFrame, buckets: int) -> DataFrame:
     return stage(owned.groupBy("bucket").applyInArrow(cut, PLACED.ddl), "blocks")
 
 
-def _sets_to_blocks(docs: DataFrame, reps: DataFrame, placed: DataFrame, classes, n: int, buckets: int) -> DataFrame:
-    """SETS records: the ordered set of each placed representative, at each of its blocks."""
+def _sets_to_blocks(docs: DataFrame, reps: DataFrame, placed: DataFrame, classes, n: int, buckets: int, few: bool = False) -> DataFrame:
+    """SETS records: the ordered set of each placed representative, at each of its blocks.
+
+    few: later rounds want the texts of few documents; these are found by a broadcast if it is small enough.
+    """
     schema = pa.schema([("id", pa.int64()), ("blocks", pa.binary())])
 
     def by_rep(t: pa.Table) -> pa.Table:
@@ -236,7 +241,12 @@ def _sets_to_blocks(docs: DataFrame, reps: DataFrame, placed: DataFrame, classes
     wanted = placed.groupBy("bucket").applyInArrow(by_rep, "id long, blocks binary")
     # Rows with one doc_id and several sets: a representative is told by its digest too.
     wanted = wanted.join(reps.select("digest", F.col("rep").alias("id")), "id")
-    return docs.join(wanted.hint("merge"), "id").select("id", "text", "digest", "blocks").mapInArrow(build, SETS.ddl)
+    how = "merge"
+    if few:
+        wanted = stage(wanted, "wanted")
+        size = wanted.agg(F.sum(F.octet_length("blocks") + F.octet_length("digest") + 8)).first()[0] or 0
+        how = "broadcast" if size <= BROADCAST else "merge"
+    return docs.join(wanted.hint(how), "id").select("id", "text", "digest", "blocks").mapInArrow(build, SETS.ddl)
 
 
 def _trie_links(sets: DataFrame, percent: int, name: str) -> DataFrame:
@@ -437,7 +447,7 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     links, labels = first, components(first)
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        return _trie_links(_sets_to_blocks(docs, reps, _pair_blocks(stage(pairs, "pairs"), buckets), classes, n, buckets), percent, name)
+        return _trie_links(_sets_to_blocks(docs, reps, _pair_blocks(stage(pairs, "pairs"), buckets), classes, n, buckets, True), percent, name)
 
     for _ in range(CHAINS):
         more = verify(_chain_pairs(_labelled(shared, labels, buckets), percent), "chained")
