@@ -268,9 +268,8 @@ class Parser:
             elif self.k[i] == "id" and v == "class" and self.val(i - 1) not in (".", "?."):
                 self._class(i)
             elif self.k[i] == "id" and v == "import" and where[i] == -1 and self.val(i + 1) != "(":
-                end = self.expression_end(i + 1)
-                module = next((self.v[j].strip("'\"") for j in range(i, min(end + 1, self.n)) if self.k[j] == "str"), None)
-                self.add("ImportDeclaration", i, end, module)
+                end = next((j for j in range(i + 1, self.n) if self.k[j] == "str" or self.v[j] == ";"), i)
+                self.add("ImportDeclaration", i, end, self.v[end].strip("'\"") if self.k[end] == "str" else None)
             elif self.k[i] == "id" and v == "try" and self.val(i + 1) == "{":
                 self._try(i)
             elif v == ":" and self.k[i] == "op" and where[i] >= 0 and self.brace.get(where[i]) == "object":
