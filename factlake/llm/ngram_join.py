@@ -12,8 +12,9 @@ block the sets go through a trie (see trie.py), which gives links and so first c
 Round 2 looks at the run of every prefix shingle again, and verifies neighbours by size that are in
 different components, so that groups of near copies become one component from a number of
 comparisons that is linear in their size. The last round takes all pairs of a run that are still in
-different components and that the length, position and signature bounds cannot rule out. No
-similar pair is missed: each is in one component by then or is a pair of the last round.
+different components and that the length, position and signature bounds cannot rule out; these
+form clusters, and the sets of a cluster go through tries, block against block. No similar pair is
+missed: each is in one component by then or in one cluster of the last round.
 
 Defined results: a text without words has the empty set and links with nothing; with fewer than n
 words the whole sequence is its one shingle. Repeated rows are copies. Rows with one doc_id and
@@ -49,16 +50,16 @@ BLOCK = 512
 #: Most bytes of wanted identifiers and blocks that are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST = 32 << 20
 #: Rounds in which only neighbours in a run are compared, before all that is left.
-CHAINS = 3
+CHAINS = 2
 #: Signature bits for each shingle, rounded up to a power of two, and least bits.
-SIGNATURE_BITS = (2, 256)
+SIGNATURE_BITS = (1, 256)
 
 SHARE = Layout(token="<u8", rep="<i8", size="<i4", at="<i4")
 LABELLED = Layout(token="<u8", rep="<i8", size="<i4", at="<i4", label="<i8")
 OWNED = Layout(token="<u8", rep="<i8", size="<i4")
-PLACED = Layout(block="<i8", rep="<i8")
+PLACED = Layout(block="<i8", rep="<i8", label="<i8")
 PAIRED = Layout(a="<i8", b="<i8")
-SETS = MixedLayout(block="<i8", rep="<i8", tokens="O")
+SETS = MixedLayout(block="<i8", rep="<i8", label="<i8", tokens="O")
 
 
 def shingle_hashes(text: str | None, n: int = N) -> np.ndarray:
@@ -204,6 +205,7 @@ def _blocks(shared: DataFrame, buckets: int) -> DataFrame:
                     rep.append(part)
                     block.append(np.full(len(part), name, np.uint64).view(np.int64))
         d = {"block": np.concatenate(block or [np.zeros(0, np.int64)]), "rep": np.concatenate(rep or [np.zeros(0, np.int64)])}
+        d["label"] = d["rep"]
         return pa.Table.from_batches([PLACED.split(d, doc_bucket(d["rep"], buckets))])
 
     owned = shared.groupBy("bucket").applyInArrow(own, OWNED.ddl)
@@ -215,38 +217,39 @@ def _sets_to_blocks(docs: DataFrame, reps: DataFrame, placed: DataFrame, classes
 
     few: later rounds want the texts of few documents; these are found by a broadcast if it is small enough.
     """
-    schema = pa.schema([("id", pa.int64()), ("blocks", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("blocks", pa.binary()), ("labels", pa.binary())])
 
     def by_rep(t: pa.Table) -> pa.Table:
         d = PLACED.join(t)
         o = np.argsort(d["rep"], kind="stable")
         a, b = runs(d["rep"][o])
         blocks = [d["block"][o[x:y]].tobytes() for x, y in zip(a, b, strict=True)]
-        return pa.Table.from_arrays([pa.array(d["rep"][o[a]], pa.int64()), pa.array(blocks, pa.binary())], schema=schema)
+        labels = [d["label"][o[x:y]].tobytes() for x, y in zip(a, b, strict=True)]
+        return pa.Table.from_arrays([pa.array(d["rep"][o[a]], pa.int64()), pa.array(blocks, pa.binary()), pa.array(labels, pa.binary())], schema=schema)
 
     def build(it):
         out = Gatherer(SETS, 20_000)
         for batch in it:
-            for rep, text, digest, blocks in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "digest", "blocks")), strict=True):
+            for rep, text, digest, blocks, labels in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "digest", "blocks", "labels")), strict=True):
                 s = ordered_set(text, classes.value, n)
                 if hashlib.blake2b(s.tobytes(), digest_size=16).digest() != digest:
                     continue  # another row with this doc_id
                 b = np.frombuffer(blocks, "<i8")
                 tokens = np.empty(len(b), object)
                 tokens[:] = [s.tobytes()] * len(b)
-                d = {"block": b, "rep": np.full(len(b), rep), "tokens": tokens}
+                d = {"block": b, "rep": np.full(len(b), rep), "label": np.frombuffer(labels, "<i8"), "tokens": tokens}
                 yield from out.add(d, doc_bucket(b, buckets))
         yield out.flush()
 
-    wanted = placed.groupBy("bucket").applyInArrow(by_rep, "id long, blocks binary")
+    wanted = placed.groupBy("bucket").applyInArrow(by_rep, "id long, blocks binary, labels binary")
     # Rows with one doc_id and several sets: a representative is told by its digest too.
     wanted = wanted.join(reps.select("digest", F.col("rep").alias("id")), "id")
     how = "merge"
     if few:
         wanted = stage(wanted, "wanted")
-        size = wanted.agg(F.sum(F.octet_length("blocks") + F.octet_length("digest") + 8)).first()[0] or 0
+        size = wanted.agg(F.sum(2 * F.octet_length("blocks") + F.octet_length("digest") + 8)).first()[0] or 0
         how = "broadcast" if size <= BROADCAST else "merge"
-    return docs.join(wanted.hint(how), "id").select("id", "text", "digest", "blocks").mapInArrow(build, SETS.ddl)
+    return docs.join(wanted.hint(how), "id").select("id", "text", "digest", "blocks", "labels").mapInArrow(build, SETS.ddl)
 
 
 def _trie_links(sets: DataFrame, percent: int, name: str) -> DataFrame:
@@ -261,8 +264,11 @@ def _trie_links(sets: DataFrame, percent: int, name: str) -> DataFrame:
             reps, first = np.unique(d["rep"][o[x:y]], return_index=True)
             tokens = [np.frombuffer(d["tokens"][o[x:y][i]], "<u8") for i in first]
             comp = Components(len(reps))
-            for i, j in linked(tokens, percent):
-                comp.join(i, j)
+            # What earlier rounds have connected is one component from the start.
+            leader: dict[int, int] = {}
+            for i, v in enumerate(d["label"][o[x:y]][first].tolist()):
+                comp.join(i, leader.setdefault(v, i))
+            linked(tokens, percent, comp)
             # A star for each component of the block: labels spread over few edges.
             for i in range(len(reps)):
                 if comp.find(i) != i:
@@ -340,8 +346,11 @@ def _chain_pairs(labelled: DataFrame, percent: int) -> DataFrame:
 SIGNED = MixedLayout(token="<u8", rep="<i8", size="<i4", at="<i4", label="<i8", sig="O")
 
 
-def _open_pairs(labelled: DataFrame, reps: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """a, b: all pairs that share a prefix shingle, differ in component and may be similar by length, position and signature."""
+def _clusters(labelled: DataFrame, reps: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """a, b: stars that connect all pairs that share a prefix shingle, differ in component and may be similar.
+
+    Length, position and signature bounds rule pairs out; those left are not listed but joined to clusters in each bucket.
+    """
 
     def mixed(t: pa.Table) -> pa.Table:
         d, a, b = _mixed(t)
@@ -374,33 +383,76 @@ def _open_pairs(labelled: DataFrame, reps: DataFrame, buckets: int, percent: int
         d = SIGNED.join(t)
         o = np.lexsort((d["rep"], d["size"], d["token"]))
         d = {f: v[o] for f, v in d.items()}
-        found = [np.zeros((0, 2), np.int64)]
+        every, who = np.unique(d["rep"], return_inverse=True)
+        comp = Components(len(every))
         for x, y in zip(*runs(d["token"]), strict=True):
-            rep, size, label, at = (d[f][x:y] for f in ("rep", "size", "label", "at"))
+            size, label, at, idx = (v[x:y] for v in (d["size"], d["label"], d["at"], who))
+            cluster = np.array([comp.find(i) for i in idx.tolist()])
+            if cluster.min() == cluster.max():
+                continue
             n, sig = size.astype(np.int64), d["sig"][x:y]
             length = np.array([len(v) for v in sig])
-            folded = {m: np.stack([fold(v, m) if len(v) >= m else np.zeros(m // 8, np.uint64) for v in sig]) for m in np.unique(length)}
-            for i in range(len(rep) - 1):  # partners that are no smaller, up to the largest allowed
+            folded: dict[int, np.ndarray] = {}
+            for i in range(y - x - 1):  # partners that are no smaller, up to the largest allowed
                 to = np.searchsorted(n, 100 * n[i] // percent, "right")
                 j = np.arange(i + 1, max(to, i + 1))
-                j = j[label[j] != label[i]]
+                j = j[(label[j] != label[i]) & (cluster[j] != cluster[i])]
                 need = -(-percent * (n[i] + n[j]) // (100 + percent))
                 # The overlap lies in what follows this shingle, itself included, or before it in both.
                 j = j[np.minimum(n[i] - at[i], n[j] - at[j]) + np.minimum(at[i], at[j]) >= need]
                 if len(j):
-                    m = folded[length[i]]
-                    j = j[np.bitwise_count(m[j] ^ m[i]).sum(1) * (100 + percent) <= (100 - percent) * (n[i] + n[j])]
-                if len(j):
-                    found.append(np.sort(np.stack([np.full(len(j), rep[i]), rep[j]], 1), 1))
-            if len(found) > 200:
-                found = [np.unique(np.concatenate(found), axis=0)]
-        p = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64())})
+                    m = length[i]
+                    if m not in folded:
+                        folded[m] = np.stack([fold(v, m) if len(v) >= m else np.zeros(m // 8, np.uint64) for v in sig])
+                    j = j[np.bitwise_count(folded[m][j] ^ folded[m][i]).sum(1) * (100 + percent) <= (100 - percent) * (n[i] + n[j])]
+                for k in j.tolist():
+                    comp.join(int(idx[i]), int(idx[k]))
+        up = np.array([comp.find(i) for i in range(len(every))], np.int64)
+        rest = np.flatnonzero(up != np.arange(len(up)))
+        return pa.table({"a": pa.array(every[rest], pa.int64()), "b": pa.array(every[up[rest]], pa.int64())})
 
     signed = members.unionByName(sigs).groupBy("bucket").applyInArrow(attach, SIGNED.ddl)
     return signed.groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct()
 
 
+CLUSTERED = Layout(cluster="<i8", rep="<i8", size="<i8", label="<i8")
+
+
+def _cluster_blocks(clusters: DataFrame, labels: DataFrame, reps: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """PLACED records: of each cluster, pairs of blocks of like size that can hold similar sets."""
+    rows = (
+        clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")).join(reps.select("rep", F.col("n_shingles").alias("size")), "rep")
+        .join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("cluster", "rep", "size", F.coalesce("label", "rep").alias("label"))
+    )
+
+    def pack(it):
+        for batch in it:
+            d = {f: batch.column(f).to_numpy() for f in CLUSTERED.fields}
+            yield CLUSTERED.split(d, doc_bucket(d["cluster"], buckets))
+
+    def place(t: pa.Table) -> pa.Table:
+        d = CLUSTERED.join(t)
+        o = np.lexsort((d["rep"], d["size"], d["cluster"]))
+        d = {f: v[o] for f, v in d.items()}
+        block, take = [], []
+        half = BLOCK // 2
+        for x, y in zip(*runs(d["cluster"]), strict=True):
+            parts = [np.arange(p, min(p + half, y)) for p in range(x, y, half)]
+            near = [(i, j) for i in range(len(parts)) for j in range(i + 1, len(parts)) if percent * d["size"][parts[j][0]] <= 100 * d["size"][parts[i][-1]]]
+            met = {k for pair in near for k in pair}
+            # Two blocks that meet also compare their own members; a block that meets no other is alone.
+            for i, j in near + [(i, i) for i in range(len(parts)) if i not in met]:
+                both = parts[i] if j == i else np.concatenate([parts[i], parts[j]])
+                key = mix64(mix64(d["cluster"][x : x + 1].view(np.uint64)) ^ np.uint64(i << 32 | j)).view(np.int64)
+                take.append(both)
+                block.append(np.full(len(both), key[0]))
+        take = np.concatenate(take or [np.zeros(0, np.int64)])
+        out = {"block": np.concatenate(block or [np.zeros(0, np.int64)]), "rep": d["rep"][take], "label": d["label"][take]}
+        return pa.Table.from_batches([PLACED.split(out, doc_bucket(out["rep"], buckets))])
+
+    return rows.mapInArrow(pack, CLUSTERED.ddl).groupBy("bucket").applyInArrow(place, PLACED.ddl)
+
+
 def _pair_blocks(pairs: DataFrame, buckets: int) -> DataFrame:
     """PLACED records: pairs of one left side share blocks of at most BLOCK sets."""
 
@@ -423,6 +475,7 @@ def _pair_blocks(pairs: DataFrame, buckets: int) -> DataFrame:
                 rep += [np.array([a]), part]
                 name.append(np.full(len(part) + 1, key, np.uint64).view(np.int64))
         d = {"block": np.concatenate(name or [np.zeros(0, np.int64)]), "rep": np.concatenate(rep or [np.zeros(0, np.int64)])}
+        d["label"] = d["rep"]
         return pa.Table.from_batches([PLACED.split(d, doc_bucket(d["rep"], buckets))])
 
     return pairs.mapInArrow(place, PAIRED.ddl).groupBy("bucket").applyInArrow(block, PLACED.ddl)
@@ -446,16 +499,19 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     first = _trie_links(_sets_to_blocks(docs, reps, _blocks(shared, buckets), classes, n, buckets), percent, "links1")
     links, labels = first, components(first)
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        return _trie_links(_sets_to_blocks(docs, reps, _pair_blocks(stage(pairs, "pairs"), buckets), classes, n, buckets, True), percent, name)
+    def verify(placed: DataFrame, name: str) -> DataFrame:
+        return _trie_links(_sets_to_blocks(docs, reps, placed, classes, n, buckets, True), percent, name)
 
     for _ in range(CHAINS):
-        more = verify(_chain_pairs(_labelled(shared, labels, buckets), percent), "chained")
+        pairs = stage(_chain_pairs(_labelled(shared, labels, buckets), percent), "pairs")
+        more = verify(_pair_blocks(pairs, buckets), "chained")
         if more.isEmpty():
             break
         links = links.unionByName(more)
         labels = components(links)
-    last = verify(_open_pairs(_labelled(shared, labels, buckets), reps, buckets, percent), "last")
+    clusters = components(stage(_clusters(_labelled(shared, labels, buckets), reps, buckets, percent), "clusters"))
+    last = verify(_cluster_blocks(clusters, labels, reps, buckets, percent), "last")
+    # Members of one component may have met in separate blocks only: both sets of links count.
     final = labels if last.isEmpty() else components(links.unionByName(last))
     members = profile.select("doc_id", "n_shingles", "digest")
     linked_reps = reps.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")

@@ -100,10 +100,13 @@ class Components:
             self.up[max(a, b)] = min(a, b)
 
 
-def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect just what the similar pairs among the sets connect, by one trie for all."""
+def linked(sets: list[np.ndarray], percent: int, comp: Components | None = None) -> list[tuple[int, int]]:
+    """Links that connect just what the similar pairs among the sets connect, by one trie for all.
+
+    comp: components known before; they grow by the links, which join no two sets of one component.
+    """
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), sets[i].tobytes()[:64], i))
-    comp = Components(len(sets))
+    comp = comp or Components(len(sets))
     trie, links = PrefixTrie(percent, comp.find), []
     for i in order:
         if not len(sets[i]):
