@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import fresh, new_dir, stage
 
@@ -29,29 +30,31 @@ class DigestIndex:
 
     def __init__(self, spark):
         self.spark = spark
-        self.levels: list[str] = []
+        self.levels: list[tuple[str, StructType]] = []
 
     def append(self, rows: DataFrame) -> None:
         """Flush memtables of rows (digest, n_points, doc_id) as sorted runs with filters."""
         path = new_dir(self.spark, "runs")
         best = F.min(F.struct((-F.col("n_points")).alias("order"), F.col("doc_id"))).alias("best")
-        (
+        run = (
             rows.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(RUNS)).cast("int"))
             .groupBy("run", "digest")
             .agg(best, F.count("*").alias("n"))
             .sortWithinPartitions("run", "digest")
-            .write.partitionBy("run")
+        )
+        (
+            run.write.partitionBy("run")
             .option("compression", "zstd")
             .option("parquet.bloom.filter.enabled#digest", "true")
             .option("parquet.bloom.filter.adaptive.enabled#digest", "true")
             .option("parquet.bloom.filter.adaptive.enabled", "true")
             .parquet(path)
         )
-        self.levels.append(path)
+        self.levels.append((path, run.schema))
 
     def compact(self) -> DataFrame:
         """Merge every run into one level that keeps the smallest identity of each digest."""
-        runs = [self.spark.read.parquet(p).select("digest", "best", "n") for p in self.levels]
+        runs = [self.spark.read.schema(s).parquet(p).select("digest", "best", "n") for p, s in self.levels]
         merged = runs[0]
         for r in runs[1:]:
             merged = merged.unionByName(r)

@@ -103,6 +103,10 @@ def settle_windows(window: int):
     def settle(x, m):
         if not len(x["key"]):
             return {"doc": np.zeros(0, np.int64), "start": np.zeros(0, np.int32), "end": np.zeros(0, np.int32)}
+        # A repeated row shows the windows of a class again.
+        o = np.lexsort((x["at"], x["dig"], x["key"]))
+        o = o[runs(np.rec.fromarrays([x["key"][o], x["dig"][o], x["at"][o]]))[0]]
+        x = {f: v[o] for f, v in x.items()}
         o = np.lexsort((x["at"], x["doc"], x["name"], x["key"]))
         name, key = x["name"][o], x["key"][o]
         a, b = runs(np.rec.fromarrays([key, name]))

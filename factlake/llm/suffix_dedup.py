@@ -170,6 +170,9 @@ def settle_contexts(window: int):
     def settle(x, m):
         order = np.lexsort((x["dig"], x["key"]))
         x = {f: v[order] for f, v in x.items()}
+        # A repeated row shows the context of a class again.
+        once = runs(np.rec.fromarrays([x["key"], x["dig"]]))[0] if len(order) else order
+        order, x = once, {f: v[once] for f, v in x.items()}
         empty = {"doc": np.zeros(0, np.int64), "start": np.zeros(0, np.int32), "end": np.zeros(0, np.int32)}
         if not len(order):
             return empty
