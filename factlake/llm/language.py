@@ -151,6 +151,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_LA
     def run(it):
         for pdf in it:
             keep = pdf[pdf["text"].map(has_letter)]
+            if not len(keep):
+                continue
             x = features(list(keep["text"])).astype(np.float16)
             yield pd.DataFrame({"lang": list(keep["lang"]), "order": list(keep["doc_id"]), "x": [v.tobytes() for v in x]})
 

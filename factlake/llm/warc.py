@@ -132,7 +132,8 @@ def write_archives(pages: DataFrame, root: str, least: int = LEAST) -> DataFrame
                     out.write(data)
                     found.append((i, reversed_host_key(url), name, at, len(data)))
                     at += len(data)
-                yield pd.DataFrame(found, columns=["page_id", "key", "file", "at", "length"])
+                if found:
+                    yield pd.DataFrame(found, columns=["page_id", "key", "file", "at", "length"])
         finally:
             if out is not None:
                 out.close()
@@ -251,7 +252,8 @@ def look_up(index: CaptureIndex, wanted: DataFrame) -> DataFrame:
                 if (k, p) != last:  # a repeated page finds all its captures at once
                     rows += [(c[1], *c[2:]) for c in reader.find(k, int(p))]
                 last = (k, p)
-            yield pd.DataFrame(rows, columns=["page_id", "file", "at", "length"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["page_id", "file", "at", "length"])
 
     dealt = wanted.repartitionByRange(partitions(wanted.sparkSession), "key", "page_id").sortWithinPartitions("key", "page_id")
     return stage(dealt.mapInPandas(find, "page_id long, file string, at long, length long"), "found")
