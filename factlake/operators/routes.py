@@ -146,7 +146,8 @@ def _middleware_names(args: Column, patterns: Column) -> Column:
 def routes(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """All routes; service calls are joined by ``service_calls``."""
     f = files.filter(glob_any(F.col("file"), ROUTE_GLOBS)).withColumn("text", F.coalesce("text", F.lit("")))
-    f = f.withColumn("framework", route_framework(F.concat(F.lit("/"), F.col("file")), F.col("text")))
+    # Kept, as every framework's branch scans it and the classifier is a long expression.
+    f = f.withColumn("framework", route_framework(F.concat(F.lit("/"), F.col("file")), F.col("text"))).persist()
     of = lambda *fw: f.filter(F.col("framework").isin(*fw)).select("file", "text")
     t = F.col("text")
     out = []

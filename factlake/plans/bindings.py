@@ -584,6 +584,11 @@ def stream_batch_equal(spark, d):
 # -- extractors over composed sources ------------------------------------------------------
 
 
+def nodes_of(f: DataFrame) -> DataFrame:
+    """The node relation, kept: every extractor scans it several times and lexing is the costly part."""
+    return lex(f).persist()
+
+
 def composed(spark, d, name: str, key: str, folder: str, ending: str, *parts) -> DataFrame:
     """A source file for each row of a table: file, text, k."""
     col = [F.col(p[1:]).cast("string") if isinstance(p, str) and p.startswith("$") else F.lit(p) if isinstance(p, str) else p for p in parts]
@@ -597,7 +602,7 @@ def even(a: str, b: str, key: str, n: int = 2):
 @query("""SELECT 'src/s' || s_suppkey || '.ts' AS file, 2 AS line, CASE s_suppkey % 2 WHEN 0 THEN 'delete' ELSE 'get' END AS type, '[auth] `user:' || s_suppkey || '`' AS key, 'load' || s_suppkey AS caller_function FROM supplier""")
 def facts_cache(spark, d):
     f = composed(spark, d, "supplier", "s_suppkey", "src/s", ".ts", "export async function load", "$s_suppkey", "(id) {\n  return cache.", even("del", "get", "s_suppkey"), "(`user:", "$s_suppkey", "`);\n}\n")
-    return facts.cache_operations(lex(f)).select("file", "line", "type", "key", "caller_function")
+    return facts.cache_operations(nodes_of(f)).select("file", "line", "type", "key", "caller_function")
 
 
 @query("""SELECT 'src/s' || s_suppkey || '.ts' AS file, 2 AS line, 5 AS end_line, 'save' || s_suppkey AS function_name, s_suppkey % 3 <> 0 AS contains_side_effects, CASE s_suppkey % 3 WHEN 1 THEN 'email:4' WHEN 2 THEN 'queue:4' ELSE '' END AS effects FROM supplier""")
@@ -605,7 +610,7 @@ def facts_transactions(spark, d):
     k = F.col("s_suppkey") % 3
     effect = F.when(k == 1, "sendOrderEmail(u)").when(k == 2, "queue.add('x', {})").otherwise("tx.audit.create({})")
     f = composed(spark, d, "supplier", "s_suppkey", "src/s", ".ts", "export async function save", "$s_suppkey", "(u) {\n  await db.$transaction(async (tx) => {\n    await tx.order.update({});\n    await ", effect, ";\n  });\n}\n")
-    t = facts.transaction_scopes(lex(f))
+    t = facts.transaction_scopes(nodes_of(f))
     return t.select("file", "line", "end_line", "function_name", "contains_side_effects", F.array_join(F.transform("side_effects", lambda x: F.concat_ws(":", x["type"], x["line"].cast("string"))), ",").alias("effects"))
 
 
@@ -613,33 +618,33 @@ def facts_transactions(spark, d):
   CASE s_suppkey % 2 WHEN 0 THEN 'member' ELSE 'apiKey' END AS entity, s_suppkey % 4 = 0 AS has_cache_invalidation, 'high' AS confidence FROM supplier""")
 def facts_membership(spark, d):
     f = composed(spark, d, "supplier", "s_suppkey", "src/s", ".ts", "export async function ", even("removeMember", "revokeApiKey", "s_suppkey"), "$s_suppkey", "(teamId) {\n  await db.teamMember.delete({ where: { teamId } });\n", even("  await cache.del(`team:1`);\n", "", "s_suppkey", 4), "}\n")
-    return facts.membership_mutations(lex(f)).select("file", "line", "function_name", "mutation_type", "entity", "has_cache_invalidation", "confidence")
+    return facts.membership_mutations(nodes_of(f)).select("file", "line", "function_name", "mutation_type", "entity", "has_cache_invalidation", "confidence")
 
 
 @query("""SELECT 'jobs/s' || s_suppkey || '.ts' AS file, 2 AS line, 'q' || s_suppkey AS name, s_suppkey % 2 = 0 AS has_idempotency_check, 'bullmq' AS framework FROM supplier""")
 def facts_jobs(spark, d):
     f = composed(spark, d, "supplier", "s_suppkey", "jobs/s", ".ts", "import { Worker } from 'bullmq';\nconst w = new Worker('q", "$s_suppkey", "', async (j) => { ", even("await db.upsert(j.dedupKey);", "go(j);", "s_suppkey"), " });\n")
-    return facts.job_handlers(f, lex(f)).select("file", "line", "name", "has_idempotency_check", "framework")
+    return facts.job_handlers(f, nodes_of(f)).select("file", "line", "name", "has_idempotency_check", "framework")
 
 
 @query("""SELECT 'app/api/webhooks/s' || s_suppkey || '/route.ts' AS file, 1 AS line, CASE s_suppkey % 2 WHEN 0 THEN 'stripe' ELSE 'github' END AS provider, s_suppkey % 3 = 0 AS has_idempotency_check,
   CASE s_suppkey % 2 WHEN 0 THEN 'stripe_construct_event' ELSE 'github_signature' END AS signature, 'POST' AS handler_name FROM supplier""")
 def facts_webhooks(spark, d):
     f = composed(spark, d, "supplier", "s_suppkey", "app/api/webhooks/s", "/route.ts", "export async function POST(request) {\n  const e = ", even("stripe.webhooks.constructEvent(b)", "verifyGithub(request)", "s_suppkey"), ";\n", even("  if (await isDuplicate(e)) return;\n", "", "s_suppkey", 3), "}\n")
-    w = facts.webhook_handlers(f, lex(f))
+    w = facts.webhook_handlers(f, nodes_of(f))
     return w.select("file", "line", "provider", "has_idempotency_check", F.col("signature_verification.method").alias("signature"), "handler_name")
 
 
 @query("""SELECT 'src/routes/s' || s_suppkey || '.ts' AS file, 2 AS line, CASE s_suppkey % 2 WHEN 0 THEN 'POST' ELSE 'GET' END AS method, '/v/' || s_suppkey AS path, s_suppkey % 3 = 0 AS has_auth_middleware, 'express' AS framework FROM supplier""")
 def facts_routes(spark, d):
     f = composed(spark, d, "supplier", "s_suppkey", "src/routes/s", ".ts", "const router = express.Router();\nrouter.", even("post", "get", "s_suppkey"), "('/v/", "$s_suppkey", "', ", even("requireAuth, ", "", "s_suppkey", 3), "(req, res) => res.json(1));\n")
-    return routes.routes(f, lex(f)).select("file", "line", "method", "path", "has_auth_middleware", "framework")
+    return routes.routes(f, nodes_of(f)).select("file", "line", "method", "path", "has_auth_middleware", "framework")
 
 
 @query("""SELECT 'src/services/s' || s_suppkey || '.ts' AS file, 's' || s_suppkey AS name, 'get' || s_suppkey || ',put' || s_suppkey AS exported_functions, s_suppkey % 2 = 0 AS has_authz FROM supplier""")
 def facts_services(spark, d):
     f = composed(spark, d, "supplier", "s_suppkey", "src/services/s", ".ts", "export function get", "$s_suppkey", "(a) {", even(" checkPermission(a);", "", "s_suppkey"), " return a; }\nexport const put", "$s_suppkey", " = async (a) => { return a; };\nfunction hidden() {}\n")
-    n = lex(f)
+    n = nodes_of(f)
     auth = facts.authz_calls(f, n).select("file").distinct().withColumn("has", F.lit(True))
     return facts.services(f, n).join(auth, "file", "left").select("file", "name", F.array_join("exported_functions", ",").alias("exported_functions"), F.coalesce("has", F.lit(False)).alias("has_authz"))
 
@@ -650,14 +655,14 @@ def facts_tests(spark, d):
     k = F.col("s_suppkey") % 3
     body = F.when(k == 0, "expect(f()).toBe(2);").when(k == 1, "await sleep(5);").otherwise("try { f(); } catch (e) {}")
     f = composed(spark, d, "supplier", "s_suppkey", "src/s", ".test.ts", "describe('suite', () => {\n  it('case ", "$s_suppkey", "', async () => { ", body, " });\n});\n")
-    t = facts.test_cases(lex(f))
+    t = facts.test_cases(nodes_of(f))
     return t.select("file", "line", "name", "type", F.array_join("describes", ",").alias("describes"), F.size("assertions").alias("n_assertions"), F.array_join(F.transform("anti_patterns", lambda a: a["type"]), ",").alias("anti"))
 
 
 @query("""SELECT 'src/s' || s_suppkey || '.ts' AS file, 2 AS source_line, 'request_body' AS source_type, 4 AS sink_line, 'command_exec' AS sink_type, s_suppkey % 2 = 0 AS is_sanitized FROM supplier""")
 def facts_taint(spark, d):
     f = composed(spark, d, "supplier", "s_suppkey", "src/s", ".ts", "export function run", "$s_suppkey", "(req) {\n  const cmd = req.body.cmd;\n  const other = ", even("sanitize(cmd)", "lower(cmd)", "s_suppkey"), ";\n  exec(cmd);\n}\n")
-    n = lex(f)
+    n = nodes_of(f)
     fl = taint.connect(taint.sources(n), taint.sinks(n), taint.transforms(n)).filter("source.line = 2 AND sink.line = 4")
     return fl.select("file", F.col("source.line").alias("source_line"), F.col("source.type").alias("source_type"), F.col("sink.line").alias("sink_line"), F.col("sink.type").alias("sink_type"), "is_sanitized")
 
@@ -666,7 +671,7 @@ def facts_taint(spark, d):
 def facts_call_graph(spark, d):
     f = composed(spark, d, "supplier", "s_suppkey", "src/s", ".ts", "import { walk as go } from './lib';\nexport function f", "$s_suppkey", "() { return ", even("go", "helper", "s_suppkey"), "(1); }\n").select("file", "text")
     f = f.unionByName(spark.createDataFrame([("src/lib.ts", "export const walk = 1;\n")], "file string, text string"))
-    n = lex(f)
+    n = nodes_of(f)
     return graph.call_edges(n, graph.resolve_modules(graph.import_bindings(n), f)).select("file", "caller", "target_function", "target_file", "original_name")
 
 
@@ -683,7 +688,7 @@ def facts_tenant_queries(spark, d):
     k = F.col("s_suppkey") % 3
     op = F.when(k == 0, "findMany").when(k == 1, "create").otherwise("deleteMany")
     f = composed(spark, d, "supplier", "s_suppkey", "src/s", ".ts", "export const q", "$s_suppkey", " = () => prisma.order.", op, "({ where: { ", even("tenantId: t", "name: t", "s_suppkey"), " } });\n")
-    return facts.tenant_queries(lex(f)).select("file", "line", "table", "operation", "has_tenant_filter", "containing_function")
+    return facts.tenant_queries(nodes_of(f)).select("file", "line", "table", "operation", "has_tenant_filter", "containing_function")
 
 
 @query("""SELECT 's' || s_suppkey AS folder, 'a,next' AS deps, CASE s_suppkey % 2 WHEN 0 THEN '2' ELSE '1' END AS version FROM supplier""")
