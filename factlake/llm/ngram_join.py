@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, input_buckets, mix64, prepare, stage, word_hashes
+from .common import _LOWER, fresh, input_buckets, mix64, prepare, stage, word_spans
 from .components import components
 from .deal import Gatherer, Layout, MixedLayout, runs
 from .repeats import NO_DOC, Sums, doc_bucket
@@ -62,15 +62,47 @@ PAIRED = Layout(a="<i8", b="<i8")
 SETS = MixedLayout(block="<i8", rep="<i8", label="<i8", tokens="O")
 
 
-def shingle_hashes(text: str | None, n: int = N) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a text."""
-    w = word_hashes(text, lower=True)
-    if not len(w):
-        return w
-    if len(w) < n:
-        return mix64(Sums(w).of(np.zeros(1, np.int64), np.full(1, len(w), np.int64)))
-    at = np.arange(len(w) - n + 1)
-    return np.unique(mix64(Sums(w).of(at, at + n)))
+#: Bytes of texts that are hashed at once.
+TOGETHER = 1 << 20
+_LETTERS = mix64(np.arange(1, 257, dtype=np.uint64))[_LOWER]
+
+
+def shingle_sets(texts: list[str | None], n: int = N):
+    """For each text the sorted distinct 64-bit hashes of its shingles; short texts share the work of hashing."""
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        data = (text or "").encode("utf-8", "surrogatepass")
+        if held and size + len(data) > TOGETHER:
+            yield from _sets_of(held, n)
+            held, size = [], 0
+        held.append(data)
+        size += len(data) + 1
+    if held:
+        yield from _sets_of(held, n)
+
+
+def _sets_of(held: list[bytes], n: int):
+    a, start, end = word_spans(b"\n".join(held))
+    if not len(start):
+        yield from [np.zeros(0, np.uint64)] * len(held)
+        return
+    sums = Sums(Sums(_LETTERS[a]).of(start, end))
+    offsets = np.cumsum([0, *[len(d) + 1 for d in held]])
+    doc = np.searchsorted(offsets, start, "right") - 1
+    words = np.searchsorted(doc, np.arange(len(held) + 1))
+    at = np.arange(max(len(start) - n + 1, 0))
+    at = at[doc[at] == doc[at + n - 1]] if len(at) else at
+    whole = mix64(sums.of(at, at + n))
+    cut = np.searchsorted(doc[at], np.arange(len(held) + 1))
+    for d in range(len(held)):
+        m = words[d + 1] - words[d]
+        if m == 0:
+            yield np.zeros(0, np.uint64)
+        elif m < n:
+            yield mix64(sums.of(words[d : d + 1], words[d + 1 : d + 2]))
+        else:
+            yield np.unique(whole[cut[d] : cut[d + 1]])
 
 
 def table_slot(h: np.ndarray, slots: int) -> np.ndarray:
@@ -84,8 +116,7 @@ def count_table(docs: DataFrame, n: int = N) -> np.ndarray:
     def count(it):
         t = np.zeros(slots, np.int32)
         for batch in it:
-            # All shingles of a batch at once; distinct within a document.
-            held = [shingle_hashes(x.as_py(), n) for x in batch.column("text")]
+            held = list(shingle_sets(batch.column("text").to_pylist(), n))
             if held:
                 at, times = np.unique(table_slot(np.concatenate(held), slots), return_counts=True)
                 t[at] += times.astype(np.int32)
@@ -107,9 +138,8 @@ def count_table(docs: DataFrame, n: int = N) -> np.ndarray:
     return t.ravel()
 
 
-def ordered_set(text: str | None, classes: np.ndarray, n: int = N) -> np.ndarray:
-    """The set of a text in the global order: class in the upper 8 bits, hash below."""
-    h = shingle_hashes(text, n)
+def ordered_set(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """A set of hashes in the global order: class in the upper 8 bits, hash below."""
     return np.sort((h >> np.uint64(8)) | (classes[table_slot(h, len(classes))].astype(np.uint64) << np.uint64(56)))
 
 
@@ -142,7 +172,7 @@ def profiles(docs: DataFrame, classes, n: int, percent: int) -> DataFrame:
 
     def run(it):
         for batch in it:
-            rows = [ordered_set(x.as_py(), classes.value, n) for x in batch.column("text")]
+            rows = [ordered_set(h, classes.value) for h in shingle_sets(batch.column("text").to_pylist(), n)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -230,8 +260,8 @@ def _sets_to_blocks(docs: DataFrame, reps: DataFrame, placed: DataFrame, classes
     def build(it):
         out = Gatherer(SETS, 20_000)
         for batch in it:
-            for rep, text, digest, blocks, labels in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "digest", "blocks", "labels")), strict=True):
-                s = ordered_set(text, classes.value, n)
+            for rep, digest, blocks, labels, h in zip(*(batch.column(c).to_pylist() for c in ("id", "digest", "blocks", "labels")), shingle_sets(batch.column("text").to_pylist(), n), strict=True):
+                s = ordered_set(h, classes.value)
                 if hashlib.blake2b(s.tobytes(), digest_size=16).digest() != digest:
                     continue  # another row with this doc_id
                 b = np.frombuffer(blocks, "<i8")
