@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.matching import first_match
+from ..sources.shipping import ship
 
 # Objects whose methods are no call edges, and suffixes tried for relative modules, in order.
 BUILTIN_OBJECTS = ["console", "Math", "JSON", "Object", "Array", "Promise", "String", "Number", "Boolean", "Date", "RegExp", "Error", "Map", "Set", "WeakMap", "WeakSet"]
@@ -61,6 +62,7 @@ def import_bindings(nodes: DataFrame) -> DataFrame:
             rows = [(f, o * 100 + k, *b) for f, o, t in zip(pdf["file"], pdf["ord"], pdf["text"], strict=True) for k, b in enumerate(_bindings_of(t))]
             yield pd.DataFrame(rows, columns=["file", "ord", "local_name", "original_name", "source_module", "type"])
 
+    ship(nodes.sparkSession)
     wanted = nodes.filter("kind = 'ImportDeclaration' OR (kind = 'VariableDeclaration' AND text LIKE '%require(%')")
     return wanted.select("file", "ord", "text").mapInPandas(run, BINDINGS)
 

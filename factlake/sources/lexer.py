@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .shipping import ship
+
 SCHEMA = (
     "file string, ord int, parent_ord int, kind string, name string, start_line int, end_line int, "
     "start_off int, end_off int, text string, callee string, callee_object string, args array<string>, "
@@ -710,4 +712,5 @@ def lex(files: DataFrame) -> DataFrame:
                 out[c] = out[c].astype("Int32")
             yield out
 
+    ship(files.sparkSession)
     return files.select("file", "text").mapInPandas(run, SCHEMA)
