@@ -32,7 +32,7 @@ PER_LANGUAGE = 600
 MOST_LANGUAGES = 32
 #: Bits of a codeword for more than six languages; up to six, all distinct splits are used.
 CODE_BITS = 40
-EPOCHS = 300
+EPOCHS = 120
 #: Ambiguous: the runner-up's mean loss per bit is at most this much larger.
 MARGIN = 0.05
 HELD_OUT = 1
@@ -124,16 +124,16 @@ def fit_features(x: np.ndarray, labels: list[str]) -> CodeModel:
     if len(languages) < 2:
         return CodeModel(languages, code, np.zeros((FEATURES, code.shape[1]), np.float32), np.ones(code.shape[1]))
     number = np.array([languages.index(v) for v in labels])
-    y = code[number]
+    y = code[number].astype(np.float32)
     # Languages weigh alike, however many rows each has.
-    row = (1.0 / np.bincount(number, minlength=len(languages)))[number][:, None] / len(languages)
-    w, b = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1])
-    vw, vb, rate = np.zeros_like(w), np.zeros_like(b), 4.0
+    row = (1.0 / np.bincount(number, minlength=len(languages)))[number][:, None].astype(np.float32) / np.float32(len(languages))
+    w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+    vw, vb, rate = np.zeros_like(w), np.zeros_like(b), 6.0
     for _ in range(EPOCHS):
         m = y * (x @ w + b)
         g = -y * row / (1 + np.exp(np.clip(m, -30, 30)))
-        vw = 0.9 * vw - rate * (x.T @ g + 1e-5 * w)
-        vb = 0.9 * vb - rate * g.sum(0)
+        vw = np.float32(0.9) * vw - np.float32(rate) * (x.T @ g + np.float32(1e-5) * w)
+        vb = np.float32(0.9) * vb - np.float32(rate) * g.sum(0)
         w, b = w + vw, b + vb
     return CodeModel(languages, code, w.astype(np.float32), b)
 
