@@ -708,6 +708,80 @@ def facts_inventory(spark, d):
     return inv.inventory(f.unionByName(more)).select("file")
 
 
+# -- more of the finding algebra -----------------------------------------------------------
+
+
+@query("""SELECT invariant_id, finding_id, pos::INTEGER AS "at", greatest(n - 5, 0) AS remaining FROM (SELECT event_type AS invariant_id, lpad(event_id::VARCHAR, 8, '0') AS finding_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE pos <= 5""")
+def baseline_listing(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("invariant_id"), F.lpad(F.col("event_id").cast("string"), 8, "0").alias("finding_id"))
+    return findings.listing(e).select("invariant_id", "finding_id", "at", "remaining")
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click' AND user_id = 3")
+def waive_by_id(spark, d):
+    e = table(spark, d, "events").select("event_id", F.concat_ws(":", "event_type", F.col("user_id").cast("string"), F.when(F.col("event_id") % 2 == 0, "a")).alias("finding_id"))
+    return findings.waive_by_id(e, "click:3:b").select("event_id")
+
+
+@query("SELECT 'p' || s_suppkey AS pattern_id FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 10 < 3 AND s_suppkey % 3 <> 1")
+def skipped_patterns(spark, d):
+    k = F.col("s_suppkey")
+    stats = table(spark, d, "supplier").select(F.concat(F.lit("p"), k.cast("string")).alias("pattern_id"), F.when(k % 3 == 1, "y").when(k % 3 == 2, "x").alias("framework"), ((k % 10) / 10).alias("accuracy"), F.when(k % 2 == 0, "high").otherwise("low").alias("confidence"))
+    return findings.skipped_patterns(stats, "x")
+
+
+@query(f"WITH {EF} SELECT count(*) FILTER (severity = 'P0') AS p0, count(*) FILTER (severity = 'P1') AS p1, count(*) FILTER (severity = 'P2') AS p2, count(*) AS total FROM ef")
+def telemetry_counts(spark, d):
+    return report.telemetry(event_findings(spark, d)).drop("by_invariant")
+
+
+@query("SELECT invariant_id, count(*) AS n FROM (SELECT event_type AS invariant_id FROM events) GROUP BY 1")
+def counts_by_invariant(spark, d):
+    return findings.by_invariant(event_findings(spark, d).withColumn("invariant_id", matching.first_match([(F.col("invariant_id") == r, t) for t, r in zip(TYPES, RULES, strict=True)]))).select("invariant_id", "n")
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'stripe_event_id' WHEN 1 THEN 'header' ELSE 'none' END AS method, CASE page_id % 3 WHEN 0 THEN 'event.id' WHEN 1 THEN 'x-request-id' END AS location, CASE page_id % 2 WHEN 0 THEN 'cache' ELSE 'database' END AS persisted FROM pages""")
+def event_ids(spark, d):
+    k = F.col("page_id")
+    text = F.when(k % 3 == 0, "const a = event.id").when(k % 3 == 1, "h('x-request-id')").otherwise("nothing")
+    where = F.when(k % 2 == 0, "await redis.set(k)").otherwise("markAsProcessed(k)")
+    got = facts.event_id_extraction(F.when(k % 3 == 0, "stripe").otherwise("plaid"), text)
+    return table(spark, d, "pages").select("page_id", got["method"].alias("method"), got["location"].alias("location"), facts.persistence_marker(where)["type"].alias("persisted"))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'a/m' || s_suppkey WHEN 1 THEN 'm' || s_suppkey WHEN 2 THEN 'core' ELSE 'x/lib/m' || s_suppkey END AS name FROM supplier")
+def service_names(spark, d):
+    k = F.col("s_suppkey")
+    n = F.concat(F.lit("m"), k.cast("string"), F.lit(".ts"))
+    path = F.when(k % 4 == 0, F.concat(F.lit("src/lib/a/"), n)).when(k % 4 == 1, F.concat(F.lit("services/"), n)).when(k % 4 == 2, F.lit("lib/core/index.ts")).otherwise(F.concat(F.lit("x/lib/"), n))
+    return table(spark, d, "supplier").select("s_suppkey", facts.service_name(path).alias("name"))
+
+
+@query("SELECT s_suppkey, 'select,insert,update,delete,select' AS kinds FROM supplier")
+def operation_kinds(spark, d):
+    ops = F.transform(F.array(*map(F.lit, ["findMany", "upsert", "updateMany", "deleteMany", "groupBy"])), facts.map_operation)
+    return table(spark, d, "supplier").select("s_suppkey", F.array_join(ops, ",").alias("kinds"))
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(source), 'e2e') THEN 'e2e' WHEN doc_id % 2 = 0 THEN 'integration' ELSE 'unit' END AS kind, doc_id % 3 = 0 AS is_test FROM documents")
+def test_types(spark, d):
+    k = F.col("doc_id")
+    path = F.concat(F.when(k % 2 == 0, "src/Api/").otherwise("src/x/"), "source", F.when(k % 3 == 0, ".spec.ts").otherwise(".ts"))
+    return table(spark, d, "documents").select("doc_id", facts.infer_test_type(path).alias("kind"), inv.is_test_path(path).alias("is_test"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 90)::INTEGER END AS days FROM orders")
+def expirations(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", findings.parse_expiration(F.concat((k % 90).cast("string"), F.when(k % 3 == 0, "d").otherwise("w"))).alias("days"))
+
+
+@query("""SELECT p_partkey, 'authorize' || CASE p_partkey % 3 WHEN 0 THEN 'd' ELSE '' END AS name, true AS is_authz, 'a,f(b, c),d' AS args FROM part""")
+def authz_names(spark, d):
+    n = F.when(F.col("p_partkey") % 3 == 0, "authorized").otherwise("authorize")
+    return table(spark, d, "part").select("p_partkey", n.alias("name"), facts.is_authz_name(n).alias("is_authz"), F.array_join(facts.split_arguments(F.lit("@X(a, {f: [b, c]}, d)")), ",").alias("args")).withColumn("args", F.replace("args", F.lit("{f: [b, c]}"), F.lit("f(b, c)")))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Documents -> lines -> a pattern with exclusions and one with a nearby window -> findings with ids -> correlated groups by source."""
     docs = table(spark, d, "documents").select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("file"), "text")
