@@ -51,19 +51,20 @@ def byte_anchors(window: int, k: int):
 def sparse_suffix_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int):
     """Order of the suffixes data[start:end] by their first ``depth`` bytes, and groups that share all of these.
 
-    Returns (indices into starts in lexicographic order, group number along it). Suffixes shorter than
-    depth and alone in their prefix end up in groups of one.
+    Returns (indices into starts in lexicographic order, group number along it). Suffixes that are
+    shorter than depth or alone in their prefix are left out.
     """
     padded = np.concatenate([data, np.zeros(depth + 16, np.uint8)])
-    order = np.arange(len(starts))
-    group = np.zeros(len(starts), np.int64)
-    live = order[ends - starts >= depth]
+    # The eight bytes from every position on as one number: a step of the sort reads one word a suffix.
+    words = np.zeros(len(data) + depth, np.uint64)
+    for b in range(8):
+        words |= padded[b : b + len(words)].astype(np.uint64) << np.uint64(56 - 8 * b)
+    live = np.flatnonzero(ends - starts >= depth)
     group_live = np.zeros(len(live), np.int64)
-    done: list[tuple[np.ndarray, np.ndarray]] = []
     for step in range(0, depth, 8):
-        word = np.zeros(len(live), np.uint64)
-        for b in range(min(8, depth - step)):
-            word |= padded[starts[live] + step + b].astype(np.uint64) << np.uint64(56 - 8 * b)
+        word = words[starts[live] + step]
+        if depth - step < 8:
+            word = word >> np.uint64(64 - 8 * (depth - step))
         o = np.lexsort((word, group_live))
         live, word, g = live[o], word[o], group_live[o]
         if not len(live):
@@ -72,9 +73,8 @@ def sparse_suffix_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(new)))
         keep = np.repeat(size > 1, size)
-        # Suffixes that are alone already stand in order but share no repeat: they are left out.
+        # Suffixes that are alone stand in order already but share no repeat: they are left out.
         live, group_live = live[keep], np.repeat(np.arange(len(at)), size)[keep]
-        del done[:]
     return live, group_live
 
 
