@@ -95,7 +95,7 @@ class MixedLayout(Layout):
 class Gatherer:
     """Collects record arrays and yields dealt batches of about ``most`` records."""
 
-    def __init__(self, layout: Layout, most: int = 1_000_000):
+    def __init__(self, layout: Layout, most: int = 400_000):
         self.layout, self.most, self.parts, self.n = layout, most, [], 0
 
     def add(self, data: dict[str, np.ndarray], bucket: np.ndarray):

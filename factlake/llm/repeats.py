@@ -28,7 +28,7 @@ MEMBER = Layout(key="<u8", dig="<u8", doc="<i8", start="<i4", first="u1")
 REQUEST = Layout(key="<u8", dig="<u8", doc="<i8", start="<i4", count="<u2", off="<u2", many="u1")
 RANGE = Layout(doc="<i8", start="<i4", end="<i4")
 #: Symbols handled at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Stands for a null doc_id inside.
 NO_DOC = -(1 << 63)
 
