@@ -758,7 +758,7 @@ def service_names(spark, d):
 
 
 @query("SELECT s_suppkey, 'select,insert,update,delete,select' AS kinds FROM supplier")
-def operation_kinds(spark, d):
+def mapped_operations(spark, d):
     ops = F.transform(F.array(*map(F.lit, ["findMany", "upsert", "updateMany", "deleteMany", "groupBy"])), facts.map_operation)
     return table(spark, d, "supplier").select("s_suppkey", F.array_join(ops, ",").alias("kinds"))
 
