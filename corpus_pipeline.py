@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's docs. Stages work on all rows their predecessor kept. All but the
-last return the columns of ``documents``; extra columns are dropped. A row is known by its doc_id:
-where rows share one, exact dedup keeps one of them. Empty tables pass through every stage.
+last return the columns of ``documents``; extra columns are dropped. Rows are told apart by a key of
+the row (``row_keys``), so null or repeated doc_ids lose none. Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.llm import bpe, exact_dedup, language, mixing, ngram_join
-from factlake.llm.common import fresh, stage, table
+from factlake.llm.common import fresh, row_keys, stage, table
 from factlake.llm.queries import vocabulary_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,24 +24,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return told.filter(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 
+def _by_key(rows: DataFrame) -> DataFrame:
+    """The rows with their key in place of doc_id."""
+    return rows.drop("doc_id").withColumnRenamed("id", "doc_id")
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of equal texts the longest row, then the smallest doc_id."""
-    keep = exact_dedup.exact_dedup(docs).filter("kept").groupBy("doc_id").count()
-    kept = fresh(docs, *COLUMNS).join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    repeated = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    rows = row_keys(fresh(docs, *COLUMNS), each=True)
+    keep = exact_dedup.exact_dedup(_by_key(rows)).filter("kept").select(F.col("doc_id").alias("id"))
+    return rows.join(keep.hint("merge"), "id", "left_semi").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of similar documents the smallest doc_id."""
-    first = ngram_join.ngram_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return fresh(docs, *COLUMNS).join(first.hint("merge"), docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    """Keeps of each component of similar documents the smallest doc_id (null last)."""
+    rows = row_keys(fresh(docs, *COLUMNS), nulls_first=False, each=True)
+    first = ngram_join.ngram_components(_by_key(rows)).filter("doc_id = component_id").select(F.col("doc_id").alias("id"))
+    return rows.join(first.hint("merge"), "id", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as its source's target asks for; copies of 0 go."""
-    copies = mixing.mix_sources(docs).filter("copies > 0").select(F.col("doc_id").alias("id"), "copies")
-    taken = fresh(docs, *COLUMNS).join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")))
+    rows = row_keys(fresh(docs, *COLUMNS), each=True)
+    copies = mixing.mix_sources(_by_key(rows)).filter("copies > 0").select(F.col("doc_id").alias("id"), "copies")
+    taken = rows.join(copies.hint("merge"), "id")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 

@@ -91,6 +91,30 @@ def fresh(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def row_keys(docs: DataFrame, nulls_first: bool = True, each: bool = False) -> DataFrame:
+    """Adds ``id``, a key of the row in the order of doc_id: doc_id itself where none is null or repeats.
+
+    Else rows are numbered once and staged. Rows with a null doc_id are documents of their own; rows with
+    one doc_id share a key only if their texts are equal, and not even then with ``each``.
+    """
+    if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        return docs.withColumn("id", F.col("doc_id"))
+    row = F.monotonically_increasing_id()
+    names = ["absent", "named", "digest", "row"]
+    rows = stage(
+        docs.withColumn("absent", F.col("doc_id").isNull() != F.lit(nulls_first))
+        .withColumn("named", F.coalesce("doc_id", F.lit(0)).cast("long"))
+        .withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+        .withColumn("row", row if each else F.when(F.col("doc_id").isNull(), row).otherwise(F.lit(-1).cast("long"))),
+        "rows",
+    )
+    # Ranges are in order and each is sorted, so the numbers rise with the names over all of them.
+    numbered = stage(
+        rows.select(*names).distinct().repartitionByRange(*names).sortWithinPartitions(*names).withColumn("id", row), "row_keys"
+    )
+    return stage(rows.join(numbered.hint("merge"), names).drop(*names), "keyed")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit values."""
     x = x.astype(np.uint64, copy=True)

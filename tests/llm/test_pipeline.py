@@ -52,3 +52,16 @@ def test_empty_tables_pass(spark):
     for _, step in P.STAGES:
         empty = step(spark, empty, SMALL)
     assert empty.count() == 0
+
+
+def test_null_and_repeated_ids_lose_no_document(spark):
+    """Rows are known by a key of the row, not by doc_id."""
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdef"}
+    rows = [(0, "a"), (1, "a"), (1, "b"), (None, "c"), (None, "d"), (None, "a"), (None, "d"), (2, "e"), (2, "f"), (2, "f")]
+    docs = spark.createDataFrame([(i, texts[k], "en", "s", 1) for i, k in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted((str(i), texts[k]) for i, k in [(None, "a"), (1, "b"), (None, "c"), (None, "d"), (2, "e"), (2, "f")])
+    b = P.drop_exact_copies(spark, docs, SMALL)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in b.collect()) == want
+    c = P.drop_near_copies(spark, b, SMALL)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in c.collect()) == want
+    assert sorted((str(r["doc_id"]), r["text"]) for r in P.mix_sources(spark, c, SMALL).collect()) == want
