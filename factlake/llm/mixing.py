@@ -11,7 +11,8 @@ Because the entropy counts tokens, long and short documents of a source are tilt
 
 Rates become whole copies: every document is taken floor(r_i) times, and the words that are
 still missing come from one more copy of documents in the order of a hash of their identifier
-(scaled by their fraction), as far as they fit; then up to ``FILL`` best-fitting single documents.
+(scaled by their fraction), as far as they fit; then ``FILL`` best-fitting single documents; then, until
+no document that could be taken once more fits, the prefix step again over those that still fit.
 
 Defined results: a null text has size 0 and is taken 0 words; a null source is a source, the last.
 A source of size 0 has target 0. Repeated rows are separate documents. An empty table gives an
@@ -126,10 +127,38 @@ def _source_key() -> Column:
     return F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), F.col("source")))
 
 
-def mix_sources(docs: DataFrame, prior: str | None = None, most: int = MOST) -> DataFrame:
+def _with_filled(flagged: DataFrame, fill: DataFrame) -> DataFrame:
+    return flagged.join(fill, "row", "left").withColumn("extra", F.col("extra") + F.coalesce("filled", F.lit(0))).drop("filled")
+
+
+def _words_left(now: DataFrame) -> DataFrame:
+    given = F.sum(F.col("size") * (F.col("floor") + F.col("extra")))
+    return now.groupBy("source_key").agg((F.round(F.first("target")).cast("long") - given).alias("left"))
+
+
+def _open(now: DataFrame, most: int) -> DataFrame:
+    """The documents that may be taken once more."""
+    return now.filter((F.col("extra") == 0) & (F.col("floor") < most) & (F.col("size") > 0) & (F.col("part") > 0))
+
+
+def _prefix(fits: DataFrame) -> DataFrame:
+    """Rows of the longest prefix of the order whose words fit into ``left``, source by source.
+
+    Each of the many slices is sorted for itself.
+    """
+    sums = fits.groupBy("source_key", "slice").agg(F.sum("size").alias("words"))
+    w = Window.partitionBy("source_key").orderBy("slice")
+    sums = sums.withColumn("before", F.sum("words").over(w) - F.col("words")).drop("words")
+    placed = fits.join(stage(sums, "cuts"), ["source_key", "slice"]).filter("before < left")
+    inner = Window.partitionBy("source_key", "slice").orderBy("order", "doc_id", "row")
+    return placed.withColumn("at", F.col("before") + F.sum("size").over(inner)).filter("at <= left")
+
+
+def mix_sources(docs: DataFrame, prior: str | None = None, most: int = MOST, until_full: bool = True) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, rate, source for each row of docs.
 
-    prior: column of prior rates > 0 (1 where null or not given).
+    prior: column of prior rates > 0 (1 where null or not given). until_full: without it rounding ends
+    after the FILL single documents, as ``SQL`` does.
     """
     q = F.coalesce(F.col(f"`{prior}`").cast("double"), F.lit(1.0)) if prior else F.lit(1.0)
     rows = stage(
@@ -202,15 +231,10 @@ def mix_sources(docs: DataFrame, prior: str | None = None, most: int = MOST) ->
     )
     fill = None
     for _ in range(FILL):
-        now = flagged if fill is None else flagged.join(fill, "row", "left").withColumn(
-            "extra", F.col("extra") + F.coalesce("filled", F.lit(0))
-        ).drop("filled")
-        left = now.groupBy("source_key").agg(
-            (F.round(F.first("target")).cast("long") - F.sum(F.col("size") * (F.col("floor") + F.col("extra")))).alias("left")
-        )
+        now = flagged if fill is None else _with_filled(flagged, fill)
         pick = (
-            now.filter((F.col("extra") == 0) & (F.col("floor") < most) & (F.col("size") > 0) & (F.col("part") > 0))
-            .join(stage(left.filter("left > 0"), "left"), "source_key")
+            _open(now, most)
+            .join(stage(_words_left(now).filter("left > 0"), "left"), "source_key")
             .filter("size <= left")
             .groupBy("source_key")
             .agg(F.max(F.struct("size", (-F.col("doc_id")).alias("id"), (-F.col("row")).alias("r"))).alias("best"))
@@ -218,9 +242,18 @@ def mix_sources(docs: DataFrame, prior: str | None = None, most: int = MOST) ->
         )
         pick = stage(pick if fill is None else fill.unionByName(pick), "fill")
         fill = pick
-    out = flagged.join(fill, "row", "left").withColumn(
-        "copies", (F.col("floor") + F.col("extra") + F.coalesce("filled", F.lit(0))).cast("long")
-    )
+    # Documents too long for the rest stay out of the running sum, so each round takes at least one for each
+    # source where one fits.
+    now = _with_filled(flagged, fill)
+    while until_full:
+        now = stage(_with_filled(flagged, fill), "filling")
+        left = stage(_words_left(now).filter("left > 0"), "left")
+        fits = stage(_open(now, most).join(left, "source_key").filter("size <= left"), "fits")
+        if fits.isEmpty():
+            break
+        more = _prefix(fits).select("row", F.lit(1).alias("filled"))
+        fill = stage(fill.unionByName(more), "fill")
+    out = now.withColumn("copies", (F.col("floor") + F.col("extra")).cast("long"))
     return out.select(
         "doc_id",
         "size",

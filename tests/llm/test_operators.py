@@ -110,6 +110,17 @@ def test_mixing_targets_and_limits(spark, docs, odd, none):
     assert sorted(map(tuple, mixing.mix_sources(docs).collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
+def test_mixing_goes_on_until_nothing_fits(spark):
+    """Two long documents against 150 short ones, targets near half: short ones fill what a long one leaves."""
+    size = {i: 20_000 if i < 2 else 100 + i % 7 for i in range(152)}
+    rows = [(i, "w " * n, None, "b", 0, "", 0) for i, n in size.items()] + [(1000, "w " * 8000, None, "a", 0, "", 0)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, DOCS)).collect()
+    for source in "ab":
+        rs = [r for r in out if r["source"] == source]
+        left = round(rs[0]["target"]) - sum(r["taken"] for r in rs)
+        assert left >= 0 and not [r for r in rs if r["size"] <= left and r["copies"] < r["rate"]]
+
+
 def test_mixing_water_level_and_prior(spark):
     s = spark.createDataFrame([("a", 10, 1), ("b", 1, 2), ("c", 100, 3), ("d", 0, 1)], "source string, source_size long, weight long")
     t = {r["source"]: r["target"] for r in mixing.capped_targets(s).collect()}
