@@ -8,7 +8,7 @@ gives the best tag sequence. It is trained here from labelled spans in invented
 Texts are read whole. Every kind is written with digits or with ``@``; windows without either and without
 a spelled-out sign hold nothing to tag and are not decoded. Windows overlap by OVERLAP characters;
 their spans are reconciled over the whole text: a span cut by a window's edge gives way to the
-window that sees it whole, the better-scored of two overlapping spans stays, and a span that
+window that sees it whole, or is decoded again in a window around it that grows until it does; the better-scored of two overlapping spans stays, and a span that
 touches a base span is dropped. A tagged span counts only above ``LEAST`` mean tag probability and if it
 has the shape of its kind (``plausible``).
 
@@ -18,7 +18,9 @@ columns are ignored; an empty table gives an empty result. The counts are those
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from functools import lru_cache
 
@@ -283,7 +285,7 @@ def windows(text: str):
     out, last = [], -1
     step = WINDOW - OVERLAP
     for m in _SIGNAL.finditer(text):
-        for w in {max(0, m.start() - OVERLAP) // step, m.start() // step}:
+        for w in sorted({max(0, m.start() - OVERLAP) // step, m.start() // step}):
             if w > last and w * step <= m.start() < w * step + WINDOW:
                 out.append(w * step)
                 last = w
@@ -303,29 +305,88 @@ def plausible(kind: str, s: str) -> bool:
     return 8 <= len(digits) <= 15 and re.fullmatch(r"[+(]?[0-9][0-9 ().\-/]*[0-9]", s) is not None and s[0] in "+(0"
 
 
+def _by_job(texts: list[str], jobs: list[tuple[int, int, int]], tagger: Tagger) -> list[list]:
+    """(whole, score, kind, start, end) of the spans in each window (text, start, length)."""
+    found: list[list] = [[] for _ in jobs]
+    by_length: dict[int, list[int]] = {}
+    for j, (_, _, length) in enumerate(jobs):
+        by_length.setdefault(length, []).append(j)
+    for length, of in by_length.items():
+        some = max(1, 256 * WINDOW // length)
+        for a in range(0, len(of), some):
+            part = of[a : a + some]
+            codes = np.zeros((len(part), length), np.int64)
+            for r, j in enumerate(part):
+                i, w, _ = jobs[j]
+                c = encode(texts[i][w : w + length])
+                codes[r, : len(c)] = c
+            path, prob = tagger.decode(codes)
+            for r, t0 in zip(*np.nonzero((path % 2 == 1) & (path > 0)), strict=True):
+                i, w, _ = jobs[part[r]]
+                kind, end = KINDS[(path[r, t0] - 1) // 2], t0 + 1
+                while end < length and path[r, end] == path[r, t0] + 1:
+                    end += 1
+                whole = (t0 > 0 or w == 0) and (end < length or w + length >= len(texts[i]))
+                end_at = min(w + end, len(texts[i]))
+                found[part[r]].append((bool(whole), float(prob[r, t0:end].mean()), kind, int(w + t0), int(end_at)))
+    return found
+
+
+def _decoded(texts: list[str], jobs: list[tuple[int, int, int]], tagger: Tagger) -> list[list]:
+    """The spans of all windows, text by text."""
+    found: list[list] = [[] for _ in texts]
+    for (i, _, _), spans in zip(jobs, _by_job(texts, jobs, tagger), strict=True):
+        found[i] += spans
+    return found
+
+
+def _joined_places(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Union of places as sorted disjoint places (touching ones join)."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(places):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
+def _cut_places(spans) -> list[tuple[int, int]]:
+    """Where windows cut spans that no window holds whole."""
+    whole = sorted((s, e) for held, _, _, s, e in spans if held)
+    reach, starts = list(itertools.accumulate((e for _, e in whole), max)), [s for s, _ in whole]
+    cut = []
+    for held, _, _, s, e in spans:
+        k = bisect.bisect_right(starts, s)
+        if not held and not (k and reach[k - 1] >= e):
+            cut.append((s, e))
+    return _joined_places(cut)
+
+
 def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int, int, float]]]:
     """Reconciled spans of whole texts: (kind, start, end, score)."""
-    jobs = [(i, w) for i, t in enumerate(texts) for w in windows(t)]
-    found: list[list] = [[] for _ in texts]
-    for a in range(0, len(jobs), 256):
-        part = jobs[a : a + 256]
-        codes = np.zeros((len(part), WINDOW), np.int64)
-        for r, (i, w) in enumerate(part):
-            c = encode(texts[i][w : w + WINDOW])
-            codes[r, : len(c)] = c
-        path, prob = tagger.decode(codes)
-        for r, t0 in zip(*np.nonzero((path % 2 == 1) & (path > 0)), strict=True):
-            i, w = part[r]
-            kind, end = KINDS[(path[r, t0] - 1) // 2], t0 + 1
-            while end < WINDOW and path[r, end] == path[r, t0] + 1:
-                end += 1
-            whole = (t0 > 0 or w == 0) and (end < WINDOW or w + WINDOW >= len(texts[i]))
-            end_at = min(w + end, len(texts[i]))
-            found[i].append((bool(whole), float(prob[r, t0:end].mean()), kind, int(w + t0), int(end_at)))
+    found = [set(x) for x in _decoded(texts, [(i, w, WINDOW) for i, t in enumerate(texts) for w in windows(t)], tagger)]
+    cut = [_cut_places(x) for x in found]
+    size = 2 * WINDOW
+    while any(cut):
+        jobs, places = [], []
+        for i, spans in enumerate(cut):
+            for s, e in spans:
+                length = max(size, 2 * (e - s))
+                length = 1 << (length - 1).bit_length()
+                jobs.append((i, max(0, (s + e - length) // 2), length))
+                places.append((s, e))
+        cut = [[] for _ in texts]
+        for (i, _, _), (s, e), spans in zip(jobs, places, _by_job(texts, jobs, tagger), strict=True):
+            near = [x for x in spans if x[3] < e and s < x[4]]
+            found[i].update(x for x in near if x[0])
+            cut[i] += [(min(x[3], s), max(x[4], e)) for x in near if not x[0]]
+        cut = [_joined_places(x) for x in cut]
+        size *= 2
     out = []
     for i, spans in enumerate(found):
         kept: list[tuple[str, int, int, float]] = []
-        for whole, score, kind, s, e in sorted(set(spans), key=lambda x: (not x[0], -x[1], x[3], x[4], x[2])):
+        for whole, score, kind, s, e in sorted(spans, key=lambda x: (not x[0], -x[1], x[3], x[4], x[2])):
             if whole and score >= LEAST and plausible(kind, texts[i][s:e]) and all(e <= k[1] or s >= k[2] for k in kept):
                 kept.append((kind, s, e, score))
         out.append(sorted(kept, key=lambda k: k[1]))

@@ -313,6 +313,34 @@ def test_pii_query_and_tagger(spark, docs, odd, none):
     assert right / total > 0.93
 
 
+def test_spans_at_window_edges_are_whole():
+    """A signal in the overlap of two windows opens both; what no window holds is decoded again."""
+    for k in range(1, 40):
+        at = 96 * k + 5
+        assert pii.windows("x" * at + "@" + "x" * 300) == [96 * (k - 1), 96 * k]
+    mail = "alice.smith [at] host [dot] org"
+    text = "the on is " * 76 + "\n" + mail + " " + "the on is " * 30
+    assert text.index(mail) == 761 and pii.windows(text)[0] == 672
+
+    class Marks:
+        """Tags every run of '@' in full, wherever a window shows it."""
+
+        def decode(self, codes):
+            on = codes == pii.encode("@")[0]
+            begin = on & ~np.concatenate([np.zeros((len(on), 1), bool), on[:, :-1]], 1)
+            return np.where(begin, 1, np.where(on, 2, 0)), np.ones(on.shape)
+
+    seen, plausible = [], pii.plausible
+    try:
+        pii.plausible = lambda kind, s: True
+        for start, n in [(90, 80), (150, 159), (40, 700), (0, 300), (500, 20)]:
+            text = "x" * start + "@" * n + "x" * 400
+            seen.append([(s, e) for _, s, e, _ in pii.tagged_spans([text], Marks())[0]] == [(start, start + n)])
+    finally:
+        pii.plausible = plausible
+    assert all(seen), seen
+
+
 def test_tagger_gradient():
     t, r = pii.Tagger(), np.random.default_rng(3)
     made = [pii.labelled(r, 20) for _ in range(3)]
