@@ -5,11 +5,12 @@ predicts each bit. Decoding weighs the loss of every bit: the language with the
 logistic loss wins; a text is ambiguous when the runner-up is nearly as close.
 
 Learning takes a bounded sample of the labelled rows: from each language about ``PER_LANGUAGE``
-documents, chosen by a hash of their identifiers, at most ``MOST_LANGUAGES`` languages (the most
-frequent, ties by name). Prediction covers every row and whole texts.
+documents, chosen by a hash of their identifiers; of more than ``FULL_LANGUAGES`` languages each gives
+fewer, so that the rows in memory stay bounded, but ``LEAST_PER_LANGUAGE`` or all it has. Every language
+is learned. Prediction covers every row and whole texts.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter. Without a single
-labelled row every text is ``und``. lang, source and doc_id are no inputs of a prediction; other
+labelled row every text is ``und`` (``letters_only`` gives the model that tells letters alone). lang, source and doc_id are no inputs of a prediction; other
 columns are ignored; an empty table gives an empty result. Equal losses go to the language that
 sorts first. A null doc_id counts as text '' in the split.
 """
@@ -24,14 +25,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mix64, prepare
+from .common import fresh, mix64, prepare, stage
 
 #: Hashed features: n-grams of 1 to 3 bytes of the lower-cased text.
 FEATURES = 1 << 12
 PER_LANGUAGE = 600
-MOST_LANGUAGES = 32
-#: Bits of a codeword for more than six languages; up to six, all distinct splits are used.
+LEAST_PER_LANGUAGE = 40
+#: Up to so many languages give PER_LANGUAGE documents each.
+FULL_LANGUAGES = 32
+#: Bits of a codeword for 7 to 32 languages; more have BITS_PER_DOUBLING for each doubling of their
+#: number; up to six, all distinct splits are used.
 CODE_BITS = 40
+BITS_PER_DOUBLING = 8
 EPOCHS = 120
 #: Ambiguous: the runner-up's mean loss per bit is at most this much larger.
 MARGIN = 0.05
@@ -80,9 +85,12 @@ def codewords(n: int) -> np.ndarray:
         cols = [c for c in itertools.product([-1, 1], repeat=n) if c[0] == 1 and min(c) == -1]
         return np.array(cols, float).T
     best, rng = None, np.random.default_rng(7)
-    for _ in range(200):
-        code = rng.choice([-1.0, 1.0], (n, CODE_BITS))
-        near = min(((code[i] != code[j]).sum() for i in range(n) for j in range(i)), default=0)
+    bits = max(CODE_BITS, BITS_PER_DOUBLING * (n - 1).bit_length())
+    for _ in range(200 if n <= 1000 else 10):
+        code = rng.choice([-1.0, 1.0], (n, bits))
+        alike = code @ code.T
+        np.fill_diagonal(alike, -bits)
+        near = (bits - alike.max()) / 2
         if best is None or near > best[0]:
             best = (near, code)
     return best[1]
@@ -123,7 +131,8 @@ def fit_features(x: np.ndarray, labels: list[str]) -> CodeModel:
     code = codewords(len(languages))
     if len(languages) < 2:
         return CodeModel(languages, code, np.zeros((FEATURES, code.shape[1]), np.float32), np.ones(code.shape[1]))
-    number = np.array([languages.index(v) for v in labels])
+    place = {v: i for i, v in enumerate(languages)}
+    number = np.array([place[v] for v in labels])
     y = code[number].astype(np.float32)
     # Languages weigh alike, however many rows each has.
     row = (1.0 / np.bincount(number, minlength=len(languages)))[number][:, None].astype(np.float32) / np.float32(len(languages))
@@ -138,15 +147,23 @@ def fit_features(x: np.ndarray, labels: list[str]) -> CodeModel:
     return CodeModel(languages, code, w.astype(np.float32), b)
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_LANGUAGES) -> CodeModel:
+def letters_only() -> CodeModel:
+    """Learned from nothing: one name for whatever has a letter, ``und`` for the rest."""
+    return fit_features(np.zeros((0, FEATURES), np.float32), ["?"])
+
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> CodeModel:
     """Learn from rows with a lang whose split is not HELD_OUT: a bounded sample of each language."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (split_of() != HELD_OUT))
-    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most).collect()
-    if not counts:
+    counts = stage(rows.groupBy(F.col("lang").alias("name")).agg(F.count("*").alias("n_rows")), "languages")
+    n = counts.count()
+    if not n:
         return fit_features(np.zeros((0, FEATURES), np.float32), [])
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_language / r["count"]))])
+    if n > FULL_LANGUAGES:
+        per_language = min(per_language, max(LEAST_PER_LANGUAGE, per_language * FULL_LANGUAGES // n))
     unit = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(F.col("lang").isin([r["lang"] for r in counts]) & (unit < share[F.col("lang")]))
+    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n_rows"))
+    sample = rows.join(F.broadcast(counts), F.col("lang") == F.col("name")).filter(unit < share)
 
     def run(it):
         for pdf in it:

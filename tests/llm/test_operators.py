@@ -240,6 +240,14 @@ def test_language_accuracy(spark, none, docs):
     assert {r["lang_pred"] for r in language.identify(unlabelled).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """More languages than 32, one of them rare."""
+    rows = [(40 * k + i, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(107 + k % 11)}" for _ in range(20 + i)), f"l{k:02}", None, 0, "", 0) for k in range(45) for i in range(40 if k else 12)]
+    model = language.train(spark.createDataFrame(rows, DOCS))
+    assert model.languages == [f"l{k:02}" for k in range(45)] and model.code.shape[1] == 48
+    assert model.predict([r[1] for r in rows])[0].tolist() == [r[2] for r in rows]
+
+
 def test_codewords_correct_errors():
     for n in (2, 3, 4, 6, 9):
         c = language.codewords(n)
