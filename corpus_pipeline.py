@@ -20,7 +20,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what has no language: null texts and texts without a letter."""
-    told = language.identify(fresh(docs, *COLUMNS), keep=COLUMNS[1:])
+    docs = fresh(docs, *COLUMNS)
+    model = language.train(docs)
+    # Without labelled rows nothing is learned, but letters can still be told.
+    told = language.identify(docs, model if model.languages else language.letters_only(), keep=COLUMNS[1:])
     return told.filter(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 

@@ -54,6 +54,12 @@ def test_empty_tables_pass(spark):
     assert empty.count() == 0
 
 
+def test_unlabelled_corpus_passes_language_id(spark):
+    rows = [(1, "some words", None, "s", 1), (2, "123 !!", None, "s", 1), (3, None, None, "s", 1), (None, "été", None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in P.identify_language(spark, docs, SMALL).collect()} == {1, None}
+
+
 def test_null_and_repeated_ids_lose_no_document(spark):
     """Rows are known by a key of the row, not by doc_id."""
     texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdef"}
