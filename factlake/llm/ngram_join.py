@@ -18,7 +18,8 @@ missed: each is in one component by then or in one cluster of the last round.
 
 Defined results: a text without words has the empty set and links with nothing; with fewer than n
 words the whole sequence is its one shingle. Repeated rows are copies. Rows with one doc_id and
-different texts count by their own sets. A null doc_id has component null. Other columns are
+different texts count by their own sets. A null doc_id is a document of its own; a component is named
+by its smallest doc_id that is not null, null if it has none. Other columns are
 ignored; an empty table gives an empty result. Shingles are compared by 56 bits of a hash and their
 count class.
 """
@@ -33,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, fresh, input_buckets, mix64, prepare, stage, word_spans
+from .common import _LOWER, fresh, input_buckets, mix64, prepare, row_keys, stage, word_spans
 from .components import components
 from .deal import Gatherer, Layout, MixedLayout, runs
-from .repeats import NO_DOC, Sums, doc_bucket
+from .repeats import Sums, doc_bucket
 from .trie import Components, linked
 
 N = 5
@@ -515,7 +516,9 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     """doc_id, n_shingles, component_id for each row; documents with a common component are connected by links."""
     spark = docs.sparkSession
     prepare(spark)
-    docs = fresh(docs, "doc_id", "text").withColumn("id", F.coalesce(F.col("doc_id"), F.lit(NO_DOC)))
+    docs = row_keys(fresh(docs, "doc_id", "text"), nulls_first=False)
+    # Keys that are not the doc_id itself are staged; they lead back to it at the end.
+    renamed = not docs.filter("doc_id IS NULL OR doc_id != id").isEmpty()
     buckets = input_buckets(docs)
     classes = spark.sparkContext.broadcast(count_table(docs, n))
     profile = stage(profiles(docs.select(F.col("id").alias("doc_id"), "text"), classes, n, percent), "profiles")
@@ -546,10 +549,13 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     members = profile.select("doc_id", "n_shingles", "digest")
     linked_reps = reps.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     known = stage(linked_reps.select("digest", F.coalesce("label", "rep").alias("label")), "known")
-    sentinel = lambda c: F.when(c != NO_DOC, c)
-    return members.join(known, "digest", "left").select(
-        sentinel(F.col("doc_id")).alias("doc_id"), "n_shingles", sentinel(F.coalesce("label", "doc_id")).alias("component_id")
-    )
+    out = members.join(known, "digest", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    if not renamed:
+        return out
+    names = docs.select(F.col("id").alias("key"), F.col("doc_id").alias("name")).distinct()
+    for c in ("doc_id", "component_id"):
+        out = out.join(names.hint("merge"), F.col(c) == F.col("key")).withColumn(c, F.col("name")).drop("key", "name")
+    return out
 
 
 SQL = r"""

@@ -15,8 +15,8 @@ sequence, and every place but the earliest is removed.
 
 Defined results: a null text has no words; texts of fewer words than WINDOW keep all; windows never
 cross documents; earlier means smaller doc_id (null first), or the same document and an earlier
-start. Rows with the same doc_id should have the same text: they are one place, and repeated rows
-keep or lose the same words. Other columns are ignored; an empty table gives an empty result.
+start. Repeated rows are one place and keep or lose the same words; rows with one doc_id and different
+texts, or with a null doc_id, are documents of their own, in a fixed order. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

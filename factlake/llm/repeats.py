@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, input_buckets, merged, mix64, powers, stage
+from .common import BASE, input_buckets, merged, mix64, powers, row_keys, stage
 from .deal import Gatherer, Layout, runs
 
 STRETCH = Layout(key="<u8", dig="<u8", doc="<i8", start="<i4", count="<u2", off="<u2")
@@ -29,8 +29,6 @@ REQUEST = Layout(key="<u8", dig="<u8", doc="<i8", start="<i4", count="<u2", off=
 RANGE = Layout(doc="<i8", start="<i4", end="<i4")
 #: Symbols handled at once.
 CHUNK = 1 << 19
-#: Stands for a null doc_id inside.
-NO_DOC = -(1 << 63)
 
 
 class Sums:
@@ -116,9 +114,9 @@ def deal_stretches(docs: DataFrame, symbols: Callable, window: int, anchors: Cal
     def run(it):
         out = Gatherer(STRETCH)
         for batch in it:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            ids, texts = batch.column("id").to_pylist(), batch.column("text")
             for flat, starts, doc, offsets in pieces(
-                ((NO_DOC if i is None else i, symbols(t.as_py())) for i, t in zip(ids, texts, strict=True)), window
+                ((i, symbols(t.as_py())) for i, t in zip(ids, texts, strict=True)), window
             ):
                 got = stretches(flat, starts, doc, offsets, window, anchors)
                 yield from out.add(got, (got["key"] % np.uint64(buckets)).astype(np.int64))
@@ -226,15 +224,12 @@ def ranges_by_doc(*kinds: DataFrame) -> DataFrame:
     return both.groupBy("bucket").applyInArrow(run, "id long, starts binary, ends binary")
 
 
-def keyed(docs: DataFrame):
-    return docs.withColumn("id", F.coalesce(F.col("doc_id"), F.lit(NO_DOC)))
-
-
 def repeated_ranges(docs: DataFrame, symbols: Callable, window: int, anchors: Callable, look: Callable, settle: Callable, layout: Layout, keep_first: bool) -> DataFrame:
     """docs with the packed ranges to remove (null: none): doc_id, text, starts, ends.
 
     look(text, requests) -> records of ``layout`` (has key); settle(records, members) -> RANGE records.
     """
+    docs = row_keys(docs)
     buckets = input_buckets(docs)
     kinds = stage(classify(deal_stretches(docs, symbols, window, anchors, buckets), window, buckets, keep_first), "kinds")
 
@@ -248,7 +243,7 @@ def repeated_ranges(docs: DataFrame, symbols: Callable, window: int, anchors: Ca
 
     wanted = stage(requests_by_doc(kinds), "requests")
     # Requests and ranges follow the documents in number, so they are never broadcast, however few there are now.
-    looked = keyed(docs).join(wanted.hint("merge"), "id").select("id", "text", "key", "dig", "start", "count", "off", "many").mapInArrow(fetch, layout.ddl)
+    looked = docs.join(wanted.hint("merge"), "id").select("id", "text", "key", "dig", "start", "count", "off", "many").mapInArrow(fetch, layout.ddl)
     extra = [f for f in layout.fields if f not in MEMBER.fields]
     members = kinds.filter("kind = 'member'").select("bucket", "key", "dig", "doc", "start", F.col("flag").alias("first"))
     for f in extra:
@@ -268,4 +263,4 @@ def repeated_ranges(docs: DataFrame, symbols: Callable, window: int, anchors: Ca
 
     settled = stage(both.groupBy("bucket").applyInArrow(run, KINDS), "settled")
     ranges = stage(ranges_by_doc(kinds, settled), "ranges")
-    return keyed(docs).join(ranges.hint("merge"), "id", "left").select("doc_id", "text", "starts", "ends")
+    return docs.join(ranges.hint("merge"), "id", "left").select("doc_id", "text", "starts", "ends")

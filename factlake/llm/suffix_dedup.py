@@ -9,8 +9,8 @@ tree of common-prefix intervals; an interval whose occurrences have different by
 of an occurrence of a repeat of at least WINDOW bytes is removed.
 
 Defined results: a null text is empty; texts shorter than WINDOW keep everything; windows never
-cross documents. Rows with the same doc_id should have the same text: such repeated rows are
-repeats of each other (ranges found in one are cut to the length of the other if the texts differ).
+cross documents. Repeated rows are repeats of each other; rows with one doc_id and different texts, or
+with a null doc_id, are documents of their own.
 Other columns are ignored; an empty table gives an empty result. Equal windows are recognised by
 64-bit hashes of stretches, and by their bytes where an anchor has several contexts.
 """

@@ -396,6 +396,19 @@ def test_every_window_has_a_border():
 # -- 10 ----------------------------------------------------------------------------------
 
 
+def test_null_and_repeated_ids_are_documents_of_their_own(spark):
+    r = random.Random(8)
+    a, b, c, d, e = (" ".join(f"{k}{r.randrange(10**6)}" for _ in range(80)) for k in "abcde")
+    rows = [(None, a), (None, b), (None, c), (7, d), (7, e), (8, b + " tail"), (9, e + " tail"), (9, d)]
+    t = spark.createDataFrame([(i, x, None, None, 0, "", 0) for i, x in rows], DOCS)
+    got = Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in ngram_join.ngram_components(t).collect())
+    assert got == Counter([(None, 76, None)] * 2 + [(None, 76, 8), (7, 76, 7), (7, 76, 7), (8, 77, 8), (9, 77, 7), (9, 76, 7)])
+    kept = sorted((str(x["doc_id"]), x["kept"]) for x in recompression.substring_dedup(t, with_text=True).collect())
+    assert kept == sorted([("None", a), ("None", b), ("None", c), ("7", d), ("7", e), ("8", "tail"), ("9", "tail"), ("9", "")])
+    kept = sorted((str(x["doc_id"]), bytes(x["kept"]).decode()) for x in suffix_dedup.suffix_dedup(t, with_text=True).collect())
+    assert kept == sorted([("None", a), ("None", ""), ("None", c), ("7", ""), ("7", ""), ("8", " tail"), ("9", " tail"), ("9", "")])
+
+
 def test_topk(spark, none):
     r = np.random.default_rng(9)
     v = r.normal(0, 0.3, (400, 24)).round(2)
