@@ -7,8 +7,9 @@ last tokens back from the end emits the ids. Two tokens are compatible when no m
 border would happen before both are complete; this is tested once per pair and remembered.
 
 The automaton keeps, for each position, suffix links to every token that ends there; its size is
-that of the vocabulary. Pieces come from the tokenizer's own split of the text; pieces seen before
-in a task are remembered up to ``REMEMBERED`` of them.
+that of the vocabulary. Pieces come from the tokenizer's own split of the text. What a task remembers of
+pieces and pairs is bounded in bytes (``REMEMBERED``) and forgotten at the end of the task, so that an
+idle worker holds the vocabulary and nothing else; it changes no result.
 
 Defined results: a null text is empty and has no ids; special tokens in a text are encoded as
 such. Ties cannot occur. Decoding replaces invalid UTF-8 by U+FFFD, as the library does.
@@ -24,11 +25,14 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import fresh, prepare
+from .common import fresh, light, prepare
 
 #: The split that byte-level pre-tokenizers make (fixed value of the file format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 600_000
+#: Most bytes that remembered pieces take, and as many remembered pairs.
+REMEMBERED = 24 << 20
+#: Bytes of a remembered pair, and of a remembered piece besides 4 for each of its bytes and 36 for each id.
+PAIR_BYTES, PIECE_BYTES = 112, 200
 #: Pieces longer than this are not remembered.
 LONG = 64
 
@@ -91,6 +95,8 @@ class Vocabulary:
         key = left << 32 | right
         known = self.known.get(key)
         if known is None:
+            if len(self.known) * PAIR_BYTES >= REMEMBERED:
+                self.known.clear()
             known = self.known[key] = self._stays_apart(left, right)
         return known
 
@@ -140,10 +146,15 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes whole texts, remembering pieces; a worker process keeps one for all its tasks."""
+    """Encodes whole texts, remembering pieces."""
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.seen = vocab, {}
+        self.vocab, self.seen, self.held = vocab, {}, 0
+
+    def forget(self) -> None:
+        """Drop all that was remembered."""
+        self.seen, self.held, self.vocab.known = {}, 0, {}
+        self.vocab.edges = ({}, {})
 
     def _plain(self, text: str, out: list[int]) -> None:
         seen, encode = self.seen, self.vocab.encode_piece
@@ -152,8 +163,10 @@ class Encoder:
             if ids is None:
                 ids = encode(piece.encode("utf-8", "replace").decode("latin-1"))
                 if len(piece) <= LONG:
-                    if len(seen) >= REMEMBERED:
+                    self.held += PIECE_BYTES + 4 * len(piece) + 36 * len(ids)
+                    if self.held > REMEMBERED:
                         seen.clear()
+                        self.held = 0
                     seen[piece] = ids
             out += ids
 
@@ -194,6 +207,12 @@ def bpe_round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = (), with_
 
     def run(it):
         coder = encoder(path)
+        try:
+            yield from encoded(coder, it)
+        finally:
+            coder.forget()
+
+    def encoded(coder, it):
         for batch in it:
             rows = []
             for text in batch.column("text").to_pylist():
@@ -214,4 +233,4 @@ def bpe_round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = (), with_
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *kept, *names])
 
     need = fresh(docs, *dict.fromkeys(["doc_id", "text", *kept]))
-    return need.mapInArrow(run, schema)
+    return need.mapInArrow(light(run), schema)

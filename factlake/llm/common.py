@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import inspect
 import os
 import re
 import shutil
@@ -15,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, one machine).
+#: Used only where the session names no shared folder and runs on one machine (tests).
 LOCAL_SHARED = "file:///tmp/checkpoints/factlake"
 
 #: Words are maximal runs of characters outside this class.
@@ -27,8 +29,12 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else a local default."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED).rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local default on one machine only."""
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "local")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
@@ -41,19 +47,76 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, after: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors.
 
+    after: staged tables that nothing needs any more once this one is written; their files go.
     Shuffle files of the finished job are released at once instead of at some later collection.
     """
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    out.staged_at = path
+    for old in after:
+        discard(old)
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
     return out
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of staged tables (as ``stage`` returned them) that nothing reads any more."""
+    for df in tables:
+        path = None if df is None else vars(df).get("staged_at")
+        if path is None:
+            continue
+        context = df.sparkSession.sparkContext
+        jvm = context._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        df.staged_at = None
+
+
+def release() -> None:
+    """Give memory that this Python worker no longer uses back to the system: workers live on between tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def light(run):
+    """A function of a Python worker that gives its memory back when it is done."""
+    if inspect.isgeneratorfunction(run):
+
+        def walk(batches):
+            try:
+                yield from run(batches)
+            finally:
+                release()
+
+        return walk
+
+    def call(group):
+        try:
+            return run(group)
+        finally:
+            release()
+
+    def call_two(group, other):
+        try:
+            return run(group, other)
+        finally:
+            release()
+
+    return call if len(inspect.signature(run).parameters) == 1 else call_two
+
+
 def prepare(spark: SparkSession) -> None:
     """Ship this package to executors that can't import it and bound Arrow batches by rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
@@ -77,12 +140,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def input_buckets(df: DataFrame, each_mb: int = 2, least: int = 32) -> int:
-    """Buckets to deal ``df`` into so that a bucket answers to about ``each_mb`` MB of its files."""
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # plan statistics are a JVM-side detail that a Connect session lacks
-        size = 1 << 30
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    """Bytes of all texts: how much there is to do, however well the files are compressed."""
+    return int(docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)
+
+
+def buckets_for(size: int, each_mb: int = 4, least: int = 32) -> int:
+    """Buckets to deal ``size`` bytes of text into so that one answers to about ``each_mb`` MB."""
     return int(min(1 << 20, max(least, size // (each_mb << 20))))
 
 

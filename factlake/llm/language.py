@@ -18,14 +18,14 @@ sorts first. A null doc_id counts as text '' in the split.
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mix64, prepare, stage
+from .common import fresh, light, mix64, prepare, stage
 
 #: Hashed features: n-grams of 1 to 3 bytes of the lower-cased text.
 FEATURES = 1 << 12
@@ -42,7 +42,8 @@ EPOCHS = 120
 MARGIN = 0.05
 HELD_OUT = 1
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter is a character of Unicode category L: number forms and fractions are none.
+_LETTER = regex.compile(r"\p{L}")
 _SEEDS = mix64(np.arange(1, 4, dtype=np.uint64))
 
 
@@ -204,4 +205,4 @@ def identify(docs: DataFrame, model: CodeModel | None = None, keep: tuple[str, .
 
     need = fresh(docs, "doc_id", *kept).withColumn("held_out", split_of() == HELD_OUT)
     out = [f"`{c}` {fields[c]}" for c in dict.fromkeys(["doc_id", *keep])]
-    return need.mapInArrow(run, ", ".join([*out, "held_out boolean, lang_pred string, score double, ambiguous boolean"]))
+    return need.mapInArrow(light(run), ", ".join([*out, "held_out boolean, lang_pred string, score double, ambiguous boolean"]))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, fresh, input_buckets, mix64, prepare, row_keys, stage, word_spans
+from .common import _LOWER, buckets_for, fresh, light, mix64, prepare, row_keys, stage, text_bytes, word_spans
 from .components import components
 from .deal import Gatherer, Layout, MixedLayout, runs
 from .repeats import Sums, doc_bucket
@@ -110,9 +110,10 @@ def table_slot(h: np.ndarray, slots: int) -> np.ndarray:
     return (h & np.uint64(slots - 1)).astype(np.int64)
 
 
-def count_table(docs: DataFrame, n: int = N) -> np.ndarray:
+def count_table(docs: DataFrame, n: int = N, size: int | None = None) -> np.ndarray:
     """Class of the count of each hash bucket over all documents: four classes for each doubling."""
-    slots = min(TABLE[1], max(TABLE[0], 1 << (input_buckets(docs, 1, 1) * (1 << 14)).bit_length()))
+    size = text_bytes(docs) if size is None else size
+    slots = min(TABLE[1], max(TABLE[0], 1 << (size // 64).bit_length()))
 
     def count(it):
         t = np.zeros(slots, np.int32)
@@ -132,7 +133,7 @@ def count_table(docs: DataFrame, n: int = N) -> np.ndarray:
         return pa.table({"piece": t.column("piece").slice(0, 1), "counts": pa.array([cls.tobytes()], pa.binary())})
 
     schema = "piece int, counts binary"
-    summed = docs.select("text").mapInArrow(count, schema).groupBy("piece").applyInArrow(add, schema)
+    summed = docs.select("text").mapInArrow(light(count), schema).groupBy("piece").applyInArrow(light(add), schema)
     t = np.zeros((PIECES, slots // PIECES), np.uint8)
     for r in summed.collect():
         t[r["piece"]] = np.frombuffer(r["counts"], np.uint8)
@@ -185,7 +186,7 @@ def profiles(docs: DataFrame, classes, n: int, percent: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "digest", "prefix", "sig"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, prefix binary, sig binary")
+    return docs.mapInArrow(light(run), "doc_id long, n_shingles long, digest binary, prefix binary, sig binary")
 
 
 def _shared_prefixes(reps: DataFrame, buckets: int) -> DataFrame:
@@ -208,7 +209,7 @@ def _shared_prefixes(reps: DataFrame, buckets: int) -> DataFrame:
         d = {f: v[o] for f, v in d.items()}
         return pa.Table.from_batches([SHARE.split(d, doc_bucket(d["rep"], buckets))])
 
-    return stage(reps.select("rep", "n_shingles", "prefix").mapInArrow(deal, SHARE.ddl).groupBy("bucket").applyInArrow(shared, SHARE.ddl), "shared")
+    return stage(reps.select("rep", "n_shingles", "prefix").mapInArrow(light(deal), SHARE.ddl).groupBy("bucket").applyInArrow(light(shared), SHARE.ddl), "shared")
 
 
 def _blocks(shared: DataFrame, buckets: int) -> DataFrame:
@@ -239,8 +240,8 @@ def _blocks(shared: DataFrame, buckets: int) -> DataFrame:
         d["label"] = d["rep"]
         return pa.Table.from_batches([PLACED.split(d, doc_bucket(d["rep"], buckets))])
 
-    owned = shared.groupBy("bucket").applyInArrow(own, OWNED.ddl)
-    return stage(owned.groupBy("bucket").applyInArrow(cut, PLACED.ddl), "blocks")
+    owned = shared.groupBy("bucket").applyInArrow(light(own), OWNED.ddl)
+    return stage(owned.groupBy("bucket").applyInArrow(light(cut), PLACED.ddl), "blocks")
 
 
 def _sets_to_blocks(docs: DataFrame, reps: DataFrame, placed: DataFrame, classes, n: int, buckets: int, few: bool = False) -> DataFrame:
@@ -272,7 +273,7 @@ def _sets_to_blocks(docs: DataFrame, reps: DataFrame, placed: DataFrame, classes
                 yield from out.add(d, doc_bucket(b, buckets))
         yield out.flush()
 
-    wanted = placed.groupBy("bucket").applyInArrow(by_rep, "id long, blocks binary, labels binary")
+    wanted = placed.groupBy("bucket").applyInArrow(light(by_rep), "id long, blocks binary, labels binary")
     # Rows with one doc_id and several sets: a representative is told by its digest too.
     wanted = wanted.join(reps.select("digest", F.col("rep").alias("id")), "id")
     how = "merge"
@@ -280,7 +281,7 @@ def _sets_to_blocks(docs: DataFrame, reps: DataFrame, placed: DataFrame, classes
         wanted = stage(wanted, "wanted")
         size = wanted.agg(F.sum(2 * F.octet_length("blocks") + F.octet_length("digest") + 8)).first()[0] or 0
         how = "broadcast" if size <= BROADCAST else "merge"
-    return docs.join(wanted.hint(how), "id").select("id", "text", "digest", "blocks", "labels").mapInArrow(build, SETS.ddl)
+    return docs.join(wanted.hint(how), "id").select("id", "text", "digest", "blocks", "labels").mapInArrow(light(build), SETS.ddl)
 
 
 def _trie_links(sets: DataFrame, percent: int, name: str) -> DataFrame:
@@ -307,7 +308,7 @@ def _trie_links(sets: DataFrame, percent: int, name: str) -> DataFrame:
                     right.append(int(reps[comp.find(i)]))
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    return stage(sets.groupBy("bucket").applyInArrow(run, "a long, b long"), name)
+    return stage(sets.groupBy("bucket").applyInArrow(light(run), "a long, b long"), name)
 
 
 def _labelled(shared: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
@@ -321,7 +322,7 @@ def _labelled(shared: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
             yield from out.add({"rep": rep, "label": label}, doc_bucket(rep, buckets))
         yield out.flush()
 
-    known = labels.mapInArrow(pack, packed.ddl).select("bucket", _none("token"), "rep", _none("size"), _none("at"), "label", F.lit("label").alias("what"))
+    known = labels.mapInArrow(light(pack), packed.ddl).select("bucket", _none("token"), "rep", _none("size"), _none("at"), "label", F.lit("label").alias("what"))
     both = shared.select("bucket", "token", "rep", "size", "at", _none("label"), F.lit("share").alias("what")).unionByName(known)
 
     def attach(t: pa.Table) -> pa.Table:
@@ -332,7 +333,7 @@ def _labelled(shared: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
         label[hit] = known["label"][at[hit]]
         return pa.Table.from_batches([LABELLED.split(d | {"label": label}, _bucket(d["token"], buckets))])
 
-    return both.groupBy("bucket").applyInArrow(attach, LABELLED.ddl)
+    return both.groupBy("bucket").applyInArrow(light(attach), LABELLED.ddl)
 
 
 def _none(name: str):
@@ -371,7 +372,7 @@ def _chain_pairs(labelled: DataFrame, percent: int) -> DataFrame:
         p = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64())})
 
-    return labelled.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+    return labelled.groupBy("bucket").applyInArrow(light(run), "a long, b long").distinct()
 
 
 SIGNED = MixedLayout(token="<u8", rep="<i8", size="<i4", at="<i4", label="<i8", sig="O")
@@ -400,8 +401,8 @@ def _clusters(labelled: DataFrame, reps: DataFrame, buckets: int, percent: int)
             yield from out.add({"rep": rep, "sig": sig}, doc_bucket(rep, buckets))
         yield out.flush()
 
-    members = labelled.groupBy("bucket").applyInArrow(mixed, LABELLED.ddl).select("*", _none("sig"), F.lit("member").alias("what"))
-    sigs = reps.select("rep", "sig").mapInArrow(pack, packed.ddl).select("bucket", _none("token"), "rep", _none("size"), _none("at"), _none("label"), "sig", F.lit("sig").alias("what"))
+    members = labelled.groupBy("bucket").applyInArrow(light(mixed), LABELLED.ddl).select("*", _none("sig"), F.lit("member").alias("what"))
+    sigs = reps.select("rep", "sig").mapInArrow(light(pack), packed.ddl).select("bucket", _none("token"), "rep", _none("size"), _none("at"), _none("label"), "sig", F.lit("sig").alias("what"))
 
     def attach(t: pa.Table) -> pa.Table:
         is_sig = np.array([w == "sig" for w in t.column("what").to_pylist()], bool)
@@ -442,8 +443,8 @@ def _clusters(labelled: DataFrame, reps: DataFrame, buckets: int, percent: int)
         rest = np.flatnonzero(up != np.arange(len(up)))
         return pa.table({"a": pa.array(every[rest], pa.int64()), "b": pa.array(every[up[rest]], pa.int64())})
 
-    signed = members.unionByName(sigs).groupBy("bucket").applyInArrow(attach, SIGNED.ddl)
-    return signed.groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct()
+    signed = members.unionByName(sigs).groupBy("bucket").applyInArrow(light(attach), SIGNED.ddl)
+    return signed.groupBy("bucket").applyInArrow(light(pairs), "a long, b long").distinct()
 
 
 CLUSTERED = Layout(cluster="<i8", rep="<i8", size="<i8", label="<i8")
@@ -481,7 +482,7 @@ def _cluster_blocks(clusters: DataFrame, labels: DataFrame, reps: DataFrame, buc
         out = {"block": np.concatenate(block or [np.zeros(0, np.int64)]), "rep": d["rep"][take], "label": d["label"][take]}
         return pa.Table.from_batches([PLACED.split(out, doc_bucket(out["rep"], buckets))])
 
-    return rows.mapInArrow(pack, CLUSTERED.ddl).groupBy("bucket").applyInArrow(place, PLACED.ddl)
+    return rows.mapInArrow(light(pack), CLUSTERED.ddl).groupBy("bucket").applyInArrow(light(place), PLACED.ddl)
 
 
 def _pair_blocks(pairs: DataFrame, buckets: int) -> DataFrame:
@@ -509,7 +510,7 @@ def _pair_blocks(pairs: DataFrame, buckets: int) -> DataFrame:
         d["label"] = d["rep"]
         return pa.Table.from_batches([PLACED.split(d, doc_bucket(d["rep"], buckets))])
 
-    return pairs.mapInArrow(place, PAIRED.ddl).groupBy("bucket").applyInArrow(block, PLACED.ddl)
+    return pairs.mapInArrow(light(place), PAIRED.ddl).groupBy("bucket").applyInArrow(light(block), PLACED.ddl)
 
 
 def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -519,8 +520,9 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     docs = row_keys(fresh(docs, "doc_id", "text"), nulls_first=False)
     # Keys that are not the doc_id itself are staged; they lead back to it at the end.
     renamed = not docs.filter("doc_id IS NULL OR doc_id != id").isEmpty()
-    buckets = input_buckets(docs)
-    classes = spark.sparkContext.broadcast(count_table(docs, n))
+    size = text_bytes(docs)
+    buckets = buckets_for(size)
+    classes = spark.sparkContext.broadcast(count_table(docs, n, size))
     profile = stage(profiles(docs.select(F.col("id").alias("doc_id"), "text"), classes, n, percent), "profiles")
     reps = stage(
         profile.filter("n_shingles > 0")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, input_buckets, merged, mix64, powers, row_keys, stage
+from .common import BASE, buckets_for, light, merged, mix64, powers, row_keys, stage, text_bytes
 from .deal import Gatherer, Layout, runs
 
 STRETCH = Layout(key="<u8", dig="<u8", doc="<i8", start="<i4", count="<u2", off="<u2")
@@ -122,7 +122,7 @@ def deal_stretches(docs: DataFrame, symbols: Callable, window: int, anchors: Cal
                 yield from out.add(got, (got["key"] % np.uint64(buckets)).astype(np.int64))
         yield out.flush()
 
-    return docs.mapInArrow(run, STRETCH.ddl)
+    return docs.mapInArrow(light(run), STRETCH.ddl)
 
 
 KINDS = "kind string, bucket int, key binary, dig binary, doc binary, start binary, end binary, count binary, off binary, flag binary"
@@ -179,7 +179,7 @@ def classify(dealt: DataFrame, window: int, buckets: int, keep_first: bool) -> D
             _kind("request", REQUEST, r, doc_bucket(r["doc"], buckets)),
         ])
 
-    return dealt.groupBy("bucket").applyInArrow(run, KINDS)
+    return dealt.groupBy("bucket").applyInArrow(light(run), KINDS)
 
 
 def requests_by_doc(kinds: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def requests_by_doc(kinds: DataFrame) -> DataFrame:
         return pa.Table.from_arrays(cols, schema=schema)
 
     picked = kinds.filter("kind = 'request'").select("bucket", "key", "dig", "doc", "start", "count", "off", "flag")
-    return picked.groupBy("bucket").applyInArrow(run, "id long, " + ", ".join(f"{f} binary" for f in fields))
+    return picked.groupBy("bucket").applyInArrow(light(run), "id long, " + ", ".join(f"{f} binary" for f in fields))
 
 
 def decode_requests(row: dict) -> dict[str, np.ndarray]:
@@ -221,7 +221,7 @@ def ranges_by_doc(*kinds: DataFrame) -> DataFrame:
     for k in kinds:
         k = k.filter("kind = 'range'").select("bucket", "doc", "start", "end")
         both = k if both is None else both.unionByName(k)
-    return both.groupBy("bucket").applyInArrow(run, "id long, starts binary, ends binary")
+    return both.groupBy("bucket").applyInArrow(light(run), "id long, starts binary, ends binary")
 
 
 def repeated_ranges(docs: DataFrame, symbols: Callable, window: int, anchors: Callable, look: Callable, settle: Callable, layout: Layout, keep_first: bool) -> DataFrame:
@@ -230,7 +230,7 @@ def repeated_ranges(docs: DataFrame, symbols: Callable, window: int, anchors: Ca
     look(text, requests) -> records of ``layout`` (has key); settle(records, members) -> RANGE records.
     """
     docs = row_keys(docs)
-    buckets = input_buckets(docs)
+    buckets = buckets_for(text_bytes(docs))
     kinds = stage(classify(deal_stretches(docs, symbols, window, anchors, buckets), window, buckets, keep_first), "kinds")
 
     def fetch(it):
@@ -243,7 +243,7 @@ def repeated_ranges(docs: DataFrame, symbols: Callable, window: int, anchors: Ca
 
     wanted = stage(requests_by_doc(kinds), "requests")
     # Requests and ranges follow the documents in number, so they are never broadcast, however few there are now.
-    looked = docs.join(wanted.hint("merge"), "id").select("id", "text", "key", "dig", "start", "count", "off", "many").mapInArrow(fetch, layout.ddl)
+    looked = docs.join(wanted.hint("merge"), "id").select("id", "text", "key", "dig", "start", "count", "off", "many").mapInArrow(light(fetch), layout.ddl)
     extra = [f for f in layout.fields if f not in MEMBER.fields]
     members = kinds.filter("kind = 'member'").select("bucket", "key", "dig", "doc", "start", F.col("flag").alias("first"))
     for f in extra:
@@ -261,6 +261,6 @@ def repeated_ranges(docs: DataFrame, symbols: Callable, window: int, anchors: Ca
         r = settle(x, m)
         return _kind("range", RANGE, r, doc_bucket(r["doc"], buckets))
 
-    settled = stage(both.groupBy("bucket").applyInArrow(run, KINDS), "settled")
+    settled = stage(both.groupBy("bucket").applyInArrow(light(run), KINDS), "settled")
     ranges = stage(ranges_by_doc(kinds, settled), "ranges")
     return docs.join(ranges.hint("merge"), "id", "left").select("doc_id", "text", "starts", "ends")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import covered, fresh, mix64, prepare
+from .common import covered, fresh, light, mix64, prepare
 from .deal import MixedLayout, runs
 from .repeats import Sums, repeated_ranges, sliding_first_min
 
@@ -236,4 +236,4 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, with_text: b
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(len(names))], names=names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return ranged.mapInArrow(cut, schema + ", spans array<struct<start: long, end: long>>, kept binary" * with_text)
+    return ranged.mapInArrow(light(cut), schema + ", spans array<struct<start: long, end: long>>, kept binary" * with_text)
