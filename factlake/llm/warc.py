@@ -14,7 +14,8 @@ read by its byte range; the record itself is read by its byte range from the arc
 Defined results: null html is an empty payload, a null url has the key of an empty one. Among
 records with equal payloads the largest page_id is the response, the others revisit it. Repeated
 page_ids are separate records; of the rows with the largest page_id, all are responses.
-Other columns are ignored; an empty table gives an empty result. page_id must not be null.
+Other columns are ignored; an empty table gives an empty result. A null page_id is written as the
+smallest long (``ABSENT``), sorts before every other and is read back as null; so is that number itself.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from .common import fresh, new_dir, partitions, prepare, stage
 BLOCK = 512
 #: Smallest payload, in bytes, of which copies become revisits.
 LEAST = 0
+#: Stands for a null page_id in archives and index.
+ABSENT = -(1 << 63)
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -292,12 +295,13 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame, root: str | None =
     """Write pages as WARC, index the captures, look every page up and read it back."""
     prepare(spark)
     root = root or new_dir(spark, "warc")
-    pages = fresh(pages, "page_id", "url", "html")
+    pages = fresh(pages, "page_id", "url", "html").withColumn("page_id", F.coalesce(F.col("page_id").cast("long"), F.lit(ABSENT)))
     captures = write_archives(pages, root)
     index = CaptureIndex.build(captures, root)
     keys = F.pandas_udf(lambda s: s.map(lambda u: reversed_host_key(u if isinstance(u, str) else None)).astype(object), "string")
     wanted = pages.select(keys("url").alias("key"), "page_id")
-    return read_records(look_up(index, wanted), root)
+    known = F.when(F.col("page_id") != ABSENT, F.col("page_id"))
+    return read_records(look_up(index, wanted), root).withColumn("page_id", known)
 
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
