@@ -9,8 +9,10 @@ finer ones follow for what is left, and exact products are computed for the surv
 Vectors are dealt into blocks; a block of queries meets a block of vectors in one task, and the
 best k of each pair of blocks are merged. No row is dropped by a bound unless k better rows are known.
 
-Defined results: a vector that is null, or has a null or non-finite component, takes no part;
-neither does a row without vec_id. Vectors of another length than the query's are not its candidates.
+Defined results: a vector that is null, or has a null or non-finite component (as given or scaled),
+takes no part; neither does a row without vec_id. Products are whole numbers: beyond 2**53 they are computed
+as such and not in doubles, and a score beyond a long is its nearest end. Vectors of another length than the
+query's are not its candidates; vectors without components are candidates of each other, with score 0.
 Every row with the query's own vec_id is left out. Equal scores go to the smaller vec_id; repeated
 rows of a candidate are ranked each; a repeated vec_id among the queries is asked once, by its
 smallest vector. An empty table gives an empty result.
@@ -31,6 +33,8 @@ BLOCK = 32768
 QUERY_BLOCK = 2048
 #: Rounding margin of the bounds, relative to the lengths of the vectors.
 MARGIN = 1e-9
+#: Doubles hold all whole numbers up to here.
+EXACT = float(1 << 53)
 
 
 def segment_stats(x: np.ndarray, segments: int) -> np.ndarray:
@@ -45,10 +49,23 @@ def segment_stats(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, 1) if out else np.zeros((len(x), 0))
 
 
+def _best_of_whole_numbers(qid, q, cid, c, k: int):
+    """``best_in_block`` for vectors whose products a double does not hold."""
+    rows, whole, out = [[int(v) for v in x] for x in c.tolist()], np.iinfo(np.int64), []
+    for i, x in enumerate(q.tolist()):
+        x = [int(v) for v in x]
+        score = [min(max(sum(a * b for a, b in zip(x, y, strict=True)), whole.min), whole.max) for y in rows]
+        best = sorted((j for j in range(len(rows)) if cid[j] != qid[i]), key=lambda j: (-score[j], cid[j]))[:k]
+        out.append((np.full(len(best), i), np.array(best, np.int64), np.array([score[j] for j in best], np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def best_in_block(qid, q, cid, c, k: int):
     """(query position, candidate position, score) of every query's best k in a block, exactly."""
     if not len(q) or not len(c):
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.int64)
+    if np.sqrt((q**2).sum(1).max()) * np.sqrt((c**2).sum(1).max()) >= EXACT or not (np.isfinite(q).all() and np.isfinite(c).all()):
+        return _best_of_whole_numbers(qid, q, cid, c, k)
     slack = MARGIN * np.sqrt((q**2).sum(1))[:, None] * np.sqrt((c**2).sum(1).max()) + 1e-6
     bound = segment_stats(q, LEVELS[0]) @ segment_stats(c, LEVELS[0]).T + slack
     bound[qid[:, None] == cid[None, :]] = -np.inf
@@ -69,14 +86,14 @@ def best_in_block(qid, q, cid, c, k: int):
         if len(rest) > k:
             order = np.lexsort((cid[rest], -score))[:k]
             rest, score = rest[order], score[order]
-        out.append((np.full(len(rest), i), rest, score))
+        out.append((np.full(len(rest), i), rest, score.astype(np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _vectors(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     dim = int(rows["dim"].iloc[0])
     ids = np.concatenate([np.frombuffer(b, "<i8") for b in rows["ids"]])
-    return ids, np.concatenate([np.frombuffer(b, "<f8").reshape(-1, dim) for b in rows["data"]])
+    return ids, np.concatenate([np.frombuffer(b, "<f8") for b in rows["data"]]).reshape(len(ids), dim)
 
 
 def _pack(size: int):
@@ -99,18 +116,23 @@ def _pack(size: int):
     return pack
 
 
+def _floor(v):
+    """floor as double; Spark's own goes by way of a long, which holds no value from 2**63 on."""
+    return F.when(F.abs(v) < EXACT, F.floor(v).cast("double")).otherwise(v)
+
+
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score for the queries (vec_id divisible by ``every``) over all rows."""
     spark = vectors.sparkSession
     prepare(spark)
     x = F.col("embedding")
-    ok = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0)
-    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    ok = F.col("vec_id").isNotNull() & x.isNotNull()
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double") * scale) != float("inf")))
     rows = stage(
         fresh(vectors, "vec_id", "embedding")
         .filter(ok & finite)
         .select(F.col("vec_id").cast("long").alias("vec_id"),
-                F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("double")).alias("embedding")),
+                F.transform(x, lambda v: _floor(v.cast("double") * scale)).alias("embedding")),
         "vectors",
     )
     queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
@@ -139,7 +161,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
                 cid, c = _vectors(pd.DataFrame({"dim": [r["dim"]], "ids": [r["ids"]], "data": [r["data"]]}))
                 for a in range(0, len(q), 128):
                     i, j, s = best_in_block(qid[a : a + 128], q[a : a + 128], cid, c, k)
-                    yield pd.DataFrame({"query_id": qid[a : a + 128][i], "vec_id": cid[j], "score": s.astype("int64")})
+                    yield pd.DataFrame({"query_id": qid[a : a + 128][i], "vec_id": cid[j], "score": s})
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     best = stage(joined.repartition(min(len(pairs), 512), "q_no", "c_no").mapInPandas(meet, "query_id long, vec_id long, score long"), "best")
@@ -153,11 +175,11 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
 SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(64 * x::DOUBLE))) = 0)
 , s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-    list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+    coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 0)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
 , r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
