@@ -5,12 +5,13 @@ the same kinds that the patterns cannot express: two LSTMs read a window of char
 backwards, a linear layer scores begin/inside tags of each kind, and a CRF with learnt transitions
 gives the best tag sequence. It is trained here from labelled spans in invented sentences.
 
-Texts are read whole. Every kind is written with digits or with ``@``; windows without either and without
-a spelled-out sign hold nothing to tag and are not decoded. Windows overlap by OVERLAP characters;
+Texts are read whole. A labelled span holds a digit, an ``@`` or the word "at": windows without any of them
+hold nothing that the labels know and are not decoded. Windows overlap by OVERLAP characters;
 their spans are reconciled over the whole text: a span cut by a window's edge gives way to the
 window that sees it whole, or is decoded again in a window around it that grows until it does; the better-scored of two overlapping spans stays, and a span that
-touches a base span is dropped. A tagged span counts only above ``LEAST`` mean tag probability and if it
-has the shape of its kind (``plausible``).
+touches a base span is dropped. What is a span is decided by the CRF: a tagged span counts above ``LEAST`` mean tag
+probability, and only what its kind defines by arithmetic is tested besides (``holds``: the number of digits, Luhn's
+sum, parts of at most 255), which a tagger cannot compute.
 
 Defined results: a null text is empty and has no spans. Repeated rows give equal results; other
 columns are ignored; an empty table gives an empty result. The counts are those of the base spans.
@@ -27,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import fresh, prepare
+from .common import fresh, light, prepare
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
@@ -84,10 +85,10 @@ def joined(spans) -> str:
 
 # --- tagger ---------------------------------------------------------------------------------
 
-HIDDEN, EMBED = 16, 12
+HIDDEN, EMBED = 24, 12
 WINDOW, OVERLAP = 160, 64
-STEPS, BATCH, LENGTH, RATE = 260, 24, 72, 0.012
-LEAST = 0.97
+STEPS, BATCH, LENGTH, RATE = 520, 32, 84, 0.012
+LEAST = 0.9
 SEED = 11
 
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz@.-_+()/:;,!?'\"[]{}#%&*=<>|\\~^$` \n\t"
@@ -107,7 +108,7 @@ def encode(text: str) -> np.ndarray:
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * (1 + np.tanh(0.5 * x))
 
 
 class Tagger:
@@ -200,6 +201,12 @@ class Tagger:
         np.add.at(g["E"], codes, dxf + dxb[:, ::-1])
         return float((z - gold).mean()) / n, {k: v / b for k, v in g.items()}
 
+    def light(self) -> Tagger:
+        """The same parameters in single precision, for decoding."""
+        out = Tagger.__new__(Tagger)
+        out.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        return out
+
     def fit(self, steps: int = STEPS, seed: int = SEED) -> Tagger:
         """Adam over batches of labelled sentences."""
         r = np.random.default_rng(seed)
@@ -229,8 +236,20 @@ class Tagger:
         path[:, -1] = best.argmax(1)
         for t in range(n - 1, 0, -1):
             path[:, t - 1] = back[np.arange(b), t, path[:, t]]
-        prob = self.marginals(e)[1]
-        return path, prob[np.arange(b)[:, None], np.arange(n)[None, :], path]
+        prob = np.ones((b, n), e.dtype)
+        some = path.any(1)  # windows without a tag need no probabilities
+        if some.any():
+            at = np.arange(int(some.sum()))[:, None], np.arange(n)[None, :], path[some]
+            prob[some] = self.marginals(e[some])[1][at]
+        return path, prob
+
+
+#: Signs that stand for "@" and "." in addresses, and between the parts of numbers. Forms that tests hold out combine them anew.
+AT = ("@", "@", "@", " @ ", "@ ", " @", "[at]", " [at] ", "(at)", " (at) ", "{at}", " {at} ", " AT ", " at ")
+DOT = (".", ".", " . ", "[.]", "[dot]", " [dot] ", "(dot)", " (dot) ", " dot ", " DOT ")
+IP_DOT = (".", " . ", "[.]", "(.)", " .", ". ", "[dot]", " dot ")
+CARD_GAP = (" ", "-", "", ".", "  ", " - ", "/", "_", ", ")
+PHONE_GAP = (" ", "-", ".", "/", "  ", " - ")
 
 
 def labelled(r: np.random.Generator, length: int) -> tuple[str, np.ndarray]:
@@ -239,21 +258,48 @@ def labelled(r: np.random.Generator, length: int) -> tuple[str, np.ndarray]:
     word = lambda: "".join(pick("re", "an", "the", "on", "is", "ou", "st", "le", "er", "ti", "ka", "mo", "be", "de") for _ in range(int(r.integers(1, 4))))
     num = lambda n: "".join(str(int(d)) for d in r.integers(0, 10, n))
 
+    one = lambda *makers: pick(*makers)()
+
+    def email():
+        local = one(word, lambda: f"{word()}.{word()}", lambda: f"{word()}{num(2)}", lambda: f"{word()}_{word()}", lambda: f"{word()}-{word()}.{num(1)}", lambda: f"{pick('j', 'k', 'm')}.{word()}+{word()}")
+        host = one(word, lambda: f"{word()}-{word()}", lambda: f"{word()}{num(1)}", lambda: f"{word()}.{word()}")
+        sign = pick(*AT)
+        # A bare word "at" makes an address only together with a written dot.
+        dot = pick(*DOT[4:]) if sign.strip().lower() == "at" else pick(*DOT)
+        s = local.replace(".", pick(".", ".", dot)) + sign + host.replace(".", dot) + dot + pick("com", "org", "net", "de", "example", "co.uk", "io")
+        return s.upper() if r.random() < 0.1 else s
+
+    def card():
+        size = pick(16, 16, 16, 16, 19, 18)
+        d = num(size - 1)
+        d += next(c for c in "0123456789" if luhn(d + c))
+        cuts = pick((4, 8, 12), (4, 8, 12), (6,), (4, 10), (8,), (4, 8, 12, 16))
+        return pick(*CARD_GAP).join(d[i:j] for i, j in zip((0, *cuts), (*cuts, size), strict=True) if i < size)
+
+    def phone():
+        g = pick(*PHONE_GAP)
+        head = one(
+            lambda: f"+{num(pick(1, 2, 3))}", lambda: f"00{num(2)}", lambda: f"({num(3)})", lambda: f"+{num(1)}{g}({num(3)})",
+            lambda: f"0{num(pick(2, 3))}{g}{num(3)}", lambda: f"{num(3)}{pick('-', '.')}{num(3)}", lambda: f"+{num(2)}{g}(0){num(2)}",
+        )
+        tail = one(lambda: f"{num(3)}{g}{num(4)}", lambda: f"{num(3)}{g}{num(2)}{g}{num(2)}", lambda: num(6), lambda: num(7), lambda: f"{num(3)}-{num(4)}")
+        return head + (pick("", g, " ") if head.endswith(")") else g) + tail
+
+    def other():
+        at = pick("at", "At", "dot", "AT")
+        return one(
+            lambda: num(1), lambda: num(2), lambda: num(4), lambda: f"{num(2)}.{num(2)}", lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: f"{num(1)},{num(3)}", lambda: f"v{num(1)}.{num(1)}.{num(2)}", lambda: f"#{num(5)}",
+            lambda: f"{num(2)}:{num(2)}", lambda: f"{num(2)}:{num(2)}:{num(2)}", lambda: f"{num(1)}.{num(2)}.{num(4)}", lambda: f"{num(2)}/{num(2)}/{num(4)}", lambda: num(12), lambda: num(9), lambda: f"@{word()}", lambda: f"{num(3)}%",
+            lambda: f"{num(2)} - {num(2)}", lambda: f"{num(3)}, {num(3)}, {num(2)}", lambda: f"{num(4)} {num(4)}", lambda: f"{num(1)} {num(2)} {num(3)}", lambda: f"{num(2)}.{num(4)}, {num(2)}.{num(4)}", lambda: f"{at} {num(2)}", lambda: at,
+            lambda: f"{word()} {at} {word()}", lambda: f"{word()} {at} {word()}", lambda: f"a{num(2)}c{num(5)}f{num(3)}", lambda: f"AK{num(1)}X{num(4)}Q", lambda: f"{at} {word()}. {word()}", lambda: f"{word()} . {word()}", lambda: f"key={num(2)}b{num(4)}e{num(2)}",
+        )
+
     def item():
         kind = pick(*KINDS, "none", "none", "none")
-        if kind == "email":
-            a, b, c = word(), word(), pick("com", "org", "net", "de", "example")
-            return kind, pick(f"{a}.{word()}@{b}.{c}", f"{a}{num(2)}@{b}-{word()}.{c}", f"{a} @ {b}.{c}", f"{a} [at] {b} [dot] {c}", f"{a}(at){b}.{c}", f"{a}@{b} . {c}")
         if kind == "ip":
-            q = [str(int(x)) for x in r.integers(0, 256, 4)]
-            return kind, pick(".".join(q), ".".join(q), " . ".join(q), "[.]".join(q))
-        if kind == "card":
-            d = num(15)
-            d += next(c for c in "0123456789" if luhn(d + c))
-            return kind, pick(" ".join, "-".join, "".join, ".".join, "  ".join)([d[i : i + 4] for i in range(0, 16, 4)])
-        if kind == "phone":
-            return kind, pick(f"+{num(2)} {num(3)} {num(7)}", f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"00{num(2)} {num(3)} {num(6)}", f"+{num(2)}/{num(3)}/{num(7)}")
-        return None, pick(num(1), num(2), num(4), f"{num(2)}.{num(2)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(1)},{num(3)}", f"v{num(1)}.{num(1)}.{num(2)}", f"#{num(5)}", f"{num(2)}:{num(2)}", f"{num(12)}", f"@{word()}", f"{num(3)}%")
+            return kind, pick(*IP_DOT).join(str(int(x)) for x in r.integers(0, 256, 4))
+        made = {"email": email, "card": card, "phone": phone}
+        return (kind, made[kind]()) if kind in made else (None, other())
 
     text, tags = "", []
     while len(text) < length:
@@ -274,10 +320,11 @@ def labelled(r: np.random.Generator, length: int) -> tuple[str, np.ndarray]:
 
 @lru_cache(maxsize=1)
 def trained() -> Tagger:
-    return Tagger().fit()
+    return Tagger().fit().light()
 
 
-_SIGNAL = re.compile(r"[0-9@]|[\[(]at[\])]")
+#: What every labelled span holds.
+_SIGNAL = re.compile(r"[0-9@]|(?<![A-Za-z])[Aa][Tt](?![A-Za-z])")
 
 
 def windows(text: str):
@@ -292,17 +339,15 @@ def windows(text: str):
     return out
 
 
-def plausible(kind: str, s: str) -> bool:
-    """Whether a tagged span has the shape of its kind, with other separators than the base patterns allow."""
+def holds(kind: str, s: str) -> bool:
+    """Whether the digits of a tagged span are what its kind defines by arithmetic; how they are written is the tagger's to tell."""
     digits = re.sub(r"[^0-9]", "", s)
-    if kind == "email":
-        return re.fullmatch(r"[A-Za-z0-9._%+-]+\s?(?:@|[\[(]at[\])])\s?[A-Za-z0-9-]+\s?(?:\.|[\[(]dot[\])])\s?[A-Za-z0-9.-]+", re.sub(r"\s+", " ", s)) is not None
     if kind == "ip":
         parts = re.findall(r"[0-9]+", s)
-        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and re.fullmatch(r"[0-9.\s\[\]]+", s) is not None
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
-        return 16 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9 .\-]+", s) is not None
-    return 8 <= len(digits) <= 15 and re.fullmatch(r"[+(]?[0-9][0-9 ().\-/]*[0-9]", s) is not None and s[0] in "+(0"
+        return 16 <= len(digits) <= 19 and luhn(digits)
+    return kind == "email" or 8 <= len(digits) <= 15
 
 
 def _by_job(texts: list[str], jobs: list[tuple[int, int, int]], tagger: Tagger) -> list[list]:
@@ -387,7 +432,7 @@ def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int,
     for i, spans in enumerate(found):
         kept: list[tuple[str, int, int, float]] = []
         for whole, score, kind, s, e in sorted(spans, key=lambda x: (not x[0], -x[1], x[3], x[4], x[2])):
-            if whole and score >= LEAST and plausible(kind, texts[i][s:e]) and all(e <= k[1] or s >= k[2] for k in kept):
+            if whole and score >= LEAST and holds(kind, texts[i][s:e]) and all(e <= k[1] or s >= k[2] for k in kept):
                 kept.append((kind, s, e, score))
         out.append(sorted(kept, key=lambda k: k[1]))
     return out
@@ -417,5 +462,5 @@ def find_pii(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
 
     return fresh(docs, "doc_id", "text").mapInArrow(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+        light(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     )
