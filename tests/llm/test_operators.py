@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,9 @@ def test_warc_round_trip(spark, tmp_path):
         assert (r["payload_bytes"], r["payload_digest"]) == (len(p), base64.b32encode(hashlib.sha1(p).digest()).decode())
         assert (r["record_type"], r["refers_to"]) == (("response", None) if keep == r["page_id"] else ("revisit", keep))
     assert warc.archive_round_trip(spark, pages.limit(0)).count() == 0
+    lost = spark.createDataFrame([(None, "http://a.example/", "<p>"), (3, "http://a.example/", "<p>"), (None, None, None), (1 << 60, "u", "x")], "page_id long, url string, html string")
+    got = {(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(spark, lost).collect()}
+    assert got == {(None, 3, "revisit", 3), (3, 3, "response", None), (None, 0, "response", None), (1 << 60, 1, "response", None)}
 
 
 def test_capture_index_finds_each_key(spark, tmp_path):
@@ -110,25 +114,56 @@ def test_mixing_targets_and_limits(spark, docs, odd, none):
     assert sorted(map(tuple, mixing.mix_sources(docs).collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
-def test_mixing_goes_on_until_nothing_fits(spark):
-    """Two long documents against 150 short ones, targets near half: short ones fill what a long one leaves."""
+def test_mixing_tilts_by_size_and_meets_its_targets(spark):
+    """Two long documents against 150 short ones: the shrinking source gives up the long, the growing one repeats them."""
     size = {i: 20_000 if i < 2 else 100 + i % 7 for i in range(152)}
-    rows = [(i, "w " * n, None, "b", 0, "", 0) for i, n in size.items()] + [(1000, "w " * 8000, None, "a", 0, "", 0)]
+    rows = [(i, "w " * n, None, "b", 0, "", 0) for i, n in size.items()] + [(1000 + i, "w " * (40 + 3 * i), None, "a", 0, "", 0) for i in range(40)]
+    rows += [(2000 + i, "w " * (300 + i), None, "c", 0, "", 0) for i in range(100)]
     out = mixing.mix_sources(spark.createDataFrame(rows, DOCS)).collect()
-    for source in "ab":
-        rs = [r for r in out if r["source"] == source]
-        left = round(rs[0]["target"]) - sum(r["taken"] for r in rs)
-        assert left >= 0 and not [r for r in rs if r["size"] <= left and r["copies"] < r["rate"]]
+    by = defaultdict(list)
+    for r in out:
+        by[r["source"]].append(r)
+    for rs in by.values():
+        target = rs[0]["target"]
+        # The rates meet the constraint, whole copies come within half of the longest document that is not whole.
+        assert sum(r["rate"] * r["size"] for r in rs) == pytest.approx(target, rel=1e-6)
+        assert abs(sum(r["taken"] for r in rs) - target) <= max((r["size"] for r in rs if r["rate"] % 1), default=0) / 2 + 1
+        assert all(abs(r["copies"] - r["rate"]) < 1 for r in rs)
+        # Stationarity of the dual: one multiplier for all documents below the limit.
+        lam = [np.log(r["rate"]) / r["size"] for r in rs if 0 < r["rate"] < 3]
+        assert not lam or max(lam) - min(lam) < 1e-9
+    rates = {s: [r["rate"] for r in sorted(rs, key=lambda r: r["size"])] for s, rs in by.items()}
+    assert rates["b"] == sorted(rates["b"], reverse=True) and rates["b"][-1] < 0.5 < 0.9 < rates["b"][0]
+    assert set(rates["a"]) == {3.0} or rates["a"] == sorted(rates["a"])
+    assert rates["c"] == sorted(rates["c"]) and rates["c"][0] < rates["c"][-1]
+
+
+def test_mixing_odd_rows(spark):
+    """Null texts, sources and ids, repeated rows, columns with clashing names, one class with most rows."""
+    rows = [(None, None, None, None, 0, "", 0)] * 2 + [(1, "a b", None, "x", 0, "", 0)] * 3 + [(i, "a b c", None, "y", 0, "", 0) for i in range(500)] + [(None, "q " * 50, None, None, 0, "", 0)]
+    t = spark.createDataFrame(rows, DOCS).withColumnsRenamed({"digest": "size", "id": "order", "n_chars": "part", "lang": "at"})
+    out = mixing.mix_sources(t).collect()
+    assert len(out) == len(rows)
+    taken, target = Counter(), {}
+    for r in out:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 1.5 for s in ("x", "y")) and taken[None] == target[None] == 150
+    empty = mixing.mix_sources(spark.createDataFrame([(1, None, None, "x", 0, "", 0), (2, " ", None, None, 0, "", 0)], DOCS)).collect()
+    assert [(r["size"], r["target"], r["taken"]) for r in empty] == [(0, 0.0, 0)] * 2
 
 
 def test_mixing_water_level_and_prior(spark):
     s = spark.createDataFrame([("a", 10, 1), ("b", 1, 2), ("c", 100, 3), ("d", 0, 1)], "source string, source_size long, weight long")
     t = {r["source"]: r["target"] for r in mixing.capped_targets(s).collect()}
     assert t["b"] == 3 and t["d"] == 0 and t["a"] == pytest.approx(27) and t["c"] == pytest.approx(81)
-    mass = spark.createDataFrame([("=a", 1.0, 10), ("=a", 2.0, 10)], "source_key string, prior double, mass long")
-    state = mixing.solve_dual(mass, spark.createDataFrame([("=a", 50.0)], "source_key string, target double")).first()
-    given = 10 * min(3, np.exp(state["lam"])) + 10 * min(3, 2 * np.exp(state["lam"]))
-    assert given == pytest.approx(50.0)
+    many = spark.createDataFrame([(f"{i:03}", 2**i, i % 3 + 1) for i in range(50)], "source string, source_size long, weight long")
+    got = mixing.capped_targets(many).collect()
+    assert sum(r["target"] for r in got) == pytest.approx(2**50 - 1, rel=1e-12) and all(r["target"] <= 3 * r["source_size"] for r in got)
+    classes = spark.createDataFrame([("=a", 10, 1.0, 1), ("=a", 5, 2.0, 2), ("=a", 1, 0.5, 7), ("=b", 3, 1.0, 4)], "source_key string, size long, prior double, n long")
+    state = {r["source_key"]: r["lam"] for r in mixing.solve_dual(classes, spark.createDataFrame([("=a", 50.0), ("=b", 5.0), ("=c", 0.0)], "source_key string, target double")).collect()}
+    given = sum(n * w * min(3, q * np.exp(state["=a"] * w)) for w, q, n in ((10, 1, 1), (5, 2, 2), (1, 0.5, 7)))
+    assert given == pytest.approx(50.0) and 12 * np.exp(3 * state["=b"]) == pytest.approx(5.0) and state["=c"] == -np.inf
 
 
 # -- 3 -----------------------------------------------------------------------------------
@@ -219,11 +254,32 @@ def test_exact_dedup(spark, docs, odd, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
-def test_digest_index_keeps_the_smallest_over_runs(spark):
-    ix = exact_dedup.DigestIndex(spark)
-    for rows in ([(b"a", 5, 9), (b"b", 1, 2)], [(b"a", 7, 4), (b"a", 7, 3)]):
-        ix.append(spark.createDataFrame(rows, "digest binary, n_points int, doc_id long"))
-    assert {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in ix.compact().collect()} == {b"a": (3, 3), b"b": (2, 1)}
+def test_digest_index_levels_and_probes(spark):
+    """Five batches in runs of three a level; what was never written is let through by no more than a few filters."""
+    rng, want, index = random.Random(4), defaultdict(list), exact_dedup.DigestIndex(spark, memtable=40)
+    name = lambda k: hashlib.sha256(str(k).encode()).digest()
+    for b in range(5):
+        rows = [(name(rng.randrange(400)), rng.randrange(3), 1000 * b + i) for i in range(150)]
+        for d, n, i in rows:
+            want[d].append((-n, i))
+        index.append(spark.createDataFrame(rows, "digest binary, n_points int, doc_id long"))
+        assert [len(x) for x in index.levels] == [[1], [2], [0, 1], [1, 1], [2, 1]][b]
+    asked = spark.createDataFrame([(name(k), k) for k in range(3000)], "digest binary, k int")
+    got = {r["k"]: r["maybe"] for r in index.probe(asked).collect()}
+    assert len(got) == 3000 and all(got[k] for k in range(400) if name(k) in want) and sum(got[k] for k in range(400, 3000)) < 260
+    assert {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in index.compact().collect()} == {d: (min(v)[1], len(v)) for d, v in want.items()}
+    repeated = index.only("n > 1")
+    assert {bytes(r["digest"]) for r in repeated.entries().collect()} == {d for d, v in want.items() if len(v) > 1}
+
+
+def test_filters_beyond_the_broadcast_change_nothing(spark, docs):
+    got = sorted(map(tuple, exact_dedup.exact_dedup(docs).collect()))
+    most = exact_dedup.FILTER_BYTES
+    try:
+        exact_dedup.FILTER_BYTES = 0
+        assert sorted(map(tuple, exact_dedup.exact_dedup(docs, memtable=7, batches=1).collect())) == got
+    finally:
+        exact_dedup.FILTER_BYTES = most
 
 
 # -- 6 -----------------------------------------------------------------------------------
@@ -240,6 +296,12 @@ def test_language_accuracy(spark, none, docs):
     assert {r["lang_pred"] for r in language.identify(unlabelled).collect()} == {"und"}
 
 
+def test_letters_are_those_of_category_l():
+    """Number forms and fractions are no letters."""
+    assert not any(language.has_letter(c) for c in "\u00bd\u00b2\u2167\u24601 _!") and not language.has_letter(None)
+    assert all(language.has_letter(f"1 {c}") for c in "a\u00e9\u4e2d\u0431\u00aa")
+
+
 def test_every_language_is_learned(spark):
     """More languages than 32, one of them rare."""
     rows = [(40 * k + i, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(107 + k % 11)}" for _ in range(20 + i)), f"l{k:02}", None, 0, "", 0) for k in range(45) for i in range(40 if k else 12)]
@@ -386,11 +448,70 @@ def test_substring_dedup(spark, docs, odd, none):
     assert recompression.substring_dedup(none).count() == 0
 
 
-def test_every_window_has_a_border():
+def brute_windows(rows, W):
+    first, out = {}, []
+    for i, t in sorted(rows):
+        w = t.split()
+        for p in range(len(w) - W + 1):
+            first.setdefault(tuple(w[p : p + W]), (i, p))
+    for i, t in rows:
+        w = t.split()
+        gone = [False] * len(w)
+        for p in range(len(w) - W + 1):
+            if first[tuple(w[p : p + W])] < (i, p):
+                gone[p : p + W] = [True] * W
+        out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("chunk", "hot"), [(1 << 20, 1 << 16), (300, 3)])
+def test_substring_dedup_of_runs_periods_and_long_texts(spark, monkeypatch, chunk, hot):
+    """Runs of one word and of two, periodic and long texts over several chunks, few different words, hot anchors."""
+    monkeypatch.setattr(recompression, "PIECE", 400)
+    r = random.Random(chunk)
+    base = [r.choice("abcdefghij") + r.choice("klmnop") for _ in range(900)]
+    texts = ["a " * 70, "b " + "a " * 45 + "c", "a b " * 40, "x a b " + "a b " * 22 + "y", "a b c " * 30, "q " + "a b c " * 12, "a a b " * 20, " ".join(base), " ".join(base[100:700]), " ".join(base[:50] + base[400:460] + base[20:45])]
+    texts += [" ".join(r.choice("ab") for _ in range(r.randint(1, 160))) for _ in range(30)]
+    texts += [" ".join(base[k : k + 33] + [f"u{i}"] + base[k + 5 : k + 26]) for i, k in enumerate(r.randrange(800) for _ in range(40))]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    t = spark.createDataFrame([(i, x, None, None, 0, "", 0) for i, x in rows], DOCS)
+    got = recompression.substring_dedup(t, with_text=True, chunk=chunk, hot=hot).collect()
+    assert sorted((g["doc_id"], g["n_words"], g["n_removed"], g["kept"]) for g in got) == brute_windows(rows, 20)
+
+
+def test_names_are_global():
+    """Runs and pairs of any chunk have one name; in equal stretches the symbols inside the zone are alike."""
     r = np.random.default_rng(6)
-    for symbols in (r.integers(0, 1 << 62, 500), r.integers(0, 2, 500), np.zeros(500)):
-        at, _ = recompression.parse(symbols.astype(np.uint64))
-        assert np.diff(np.concatenate([[0], at, [500]])).max() <= 8
+    shared = r.integers(1, 40, 60).astype(np.uint64)
+    shared[20:29] = 7  # a run that both chunks hold whole
+    chunks = []
+    for k in range(2):
+        names = np.concatenate([r.integers(1, 40, 30 + 7 * k).astype(np.uint64), shared, r.integers(1, 40, 25).astype(np.uint64)])
+        n = len(names)
+        chunks.append(recompression.Chunk(k, np.array([k]), np.array([0]), np.array([n]), np.arange(n), names, np.zeros(n, bool)))
+    at, buckets = [30, 37], 3
+    for step in range(1, 5):
+        found = [recompression._found(c, step, (1, 2)) for c in chunks]
+        asks = [a for c, (_, _, (x, y, _, times)) in zip(chunks, found, strict=True) for a in recompression._asks(c, x, y, times, buckets)]
+        t = recompression._table(asks)
+        replies = []
+        for b in range(buckets):
+            part = t.filter(np.array(t.column("bucket")) == b)
+            if part.num_rows:
+                replies += recompression.answer_keys(buckets, step, 6)(part).to_pylist()
+        for c, (a, n, (x, y, place, _)) in zip(chunks, found, strict=True):
+            own = pa.Table.from_pylist([x for x in replies if x["chunk"] == c.number], schema=recompression.REPLY_SCHEMA)
+            recompression._compressed(c, a, n, recompression._received(own, *recompression._dealt(x, y, buckets))[place])
+        zone = recompression.zones()[step]
+        inside = []
+        for c, s in zip(chunks, at, strict=True):
+            ok = (c.starts >= s + zone) & (c.stops <= s + 60 - zone)
+            inside.append([(int(p - s), int(q)) for p, q in zip(c.starts[ok], c.names[ok], strict=True)])
+        assert inside[0] == inside[1] and inside[0] and all(q for _, q in inside[0])
+        if step == 1:
+            assert len({q for p, q in inside[0] if p == 20}) == 1 and not any(20 < p < 29 for p, _ in inside[0])
+    assert len(inside[0]) < 40
 
 
 # -- 10 ----------------------------------------------------------------------------------
@@ -412,18 +533,29 @@ def test_null_and_repeated_ids_are_documents_of_their_own(spark):
 def test_topk(spark, none):
     r = np.random.default_rng(9)
     v = r.normal(0, 0.3, (400, 24)).round(2)
-    rows = [(i, [float(x) for x in v[i % 300]], 1) for i in range(400)] + [(401, None, 1), (420, [float("nan")] * 24, 1), (440, [None] * 24, 1), (460, [0.5, 0.5], 1), (461, [0.5, 0.25], 1), (480, [], 1), (0, [float(x) for x in v[0]], 1), (None, [1.0] * 24, 1)]
+    rows = [(i, [float(x) for x in v[i % 300]], 1) for i in range(400)] + [(401, None, 1), (420, [float("nan")] * 24, 1), (440, [None] * 24, 1), (460, [0.5, 0.5], 1), (461, [0.5, 0.25], 1), (480, [], 1), (481, [], 1), (0, [float(x) for x in v[0]], 1), (None, [1.0] * 24, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = defaultdict(list)
     for x in topk.top_k(df, k=7, block=64).orderBy("query_id", "rank").collect():
         got[x["query_id"]].append((x["vec_id"], x["score"]))
-    ok = [(i, np.floor(64 * np.array(e))) for i, e, _ in rows if i is not None and e and all(c is not None and np.isfinite(c) for c in e)]
+    ok = [(i, np.floor(64 * np.array(e))) for i, e, _ in rows if i is not None and e is not None and all(c is not None and np.isfinite(c) for c in e)]
     for q, e in {i: e for i, e in ok if i % 20 == 0}.items():
         want = sorted(((i, int(e @ c)) for i, c in ok if i != q and len(c) == len(e)), key=lambda x: (-x[1], x[0]))[:7]
         assert got[q] == want, q
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_of_huge_components(spark):
+    """Products that a double or a long does not hold."""
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (20, [1e9, 1.0]), (21, [1e9, 2.0]), (22, [1e9, 1.0]), (23, [1e308, 1.0])]
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    most = (1 << 63) - 1
+    assert got[0, 1] == got[20, 0] == most and got[0, 2] == -most - 1 and got[20, 21] == most and (0, 23) not in got
+    small = [(0, [1e6, 1.0]), (1, [1e6, 2.0]), (2, [1e6, 1.0])]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(small, "vec_id long, embedding array<double>")).collect()]
+    assert got == [(0, 1, 1, 64000000**2 + 64 * 128), (0, 2, 2, 64000000**2 + 64 * 64)]
+
+
 def test_segment_bounds():
     r = np.random.default_rng(2)
     q, c = r.normal(size=(20, 30)), r.normal(size=(50, 30))
