@@ -228,10 +228,11 @@ def with_context(findings: DataFrame, routes: DataFrame, services: DataFrame, te
     return findings.withColumn("finding_count", F.count("*").over(Window.partitionBy("invariant_id"))).crossJoin(F.broadcast(one))
 
 
-def framework_mode(routes: DataFrame) -> DataFrame:
-    """One row: the most frequent known framework, ties to the first seen (by ord)."""
-    c = routes.filter("framework <> 'unknown'").groupBy("framework").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-    return c.agg(F.min_by("framework", F.struct((-F.col("n")).alias("n"), "first")).alias("framework"))
+def framework_mode(routes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The most frequent known framework, ties to the first seen (by ord): one row, or one for each of the keys."""
+    keys = keys or []
+    c = routes.filter("framework <> 'unknown'").groupBy(*keys, "framework").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    return c.groupBy(*keys).agg(F.min_by("framework", F.struct((-F.col("n")).alias("n"), "first")).alias("framework"))
 
 
 def relative_severity(count: Column, average: Column) -> Column:

@@ -136,7 +136,8 @@ def called_by(functions: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
     """root, node, depth (smallest): nodes reached from seeds (root, node) along edges (src, dst)."""
-    edges = edges.select("src", "dst").distinct()
+    # Kept once for all rounds, dealt by the node that a step looks up.
+    edges = _cut(edges.select("src", "dst").distinct().repartition("src"))
     frontier = seeds.select("root", "node").distinct()
     seen = frontier.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
@@ -151,11 +152,20 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFr
     return seen.filter("depth > 0")
 
 
+def shared_folder(spark) -> str:
+    """``spark.checkpoint.dir``; a local default only where driver and executors are one machine."""
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "local")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or "/tmp/checkpoints/factlake").rstrip("/")
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """Ends the lineage of a round in the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
-        sc.setCheckpointDir("/tmp/checkpoints/factlake")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -57,12 +57,15 @@ def function_ranges(nodes: DataFrame) -> DataFrame:
 
 
 def enclosing(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """points (file, line, ...) plus fn: the range with the smallest span around the line, ties to the first; or null."""
-    p = points.withColumn("_id", F.monotonically_increasing_id())
+    """points (file, line, ...) plus fn: the range with the smallest span around the line, ties to the first; or null.
+
+    Ranges are looked up once for each different line, so points need no identity of their own.
+    """
     r = ranges.select(F.col("file").alias("_f"), F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "ord", "name", "start_line", "end_line").alias("_r"))
-    hit = p.join(r, (F.col("file") == F.col("_f")) & (F.col("line") >= F.col("_r.start_line")) & (F.col("line") <= F.col("_r.end_line")), "left")
-    keep = [F.first(c).alias(c) for c in points.columns]
-    return hit.groupBy("_id").agg(*keep, F.min("_r").alias("fn")).drop("_id")
+    at = points.select(F.col("file").alias("_file"), F.col("line").alias("_line")).distinct()
+    hit = at.join(r, (F.col("_file") == F.col("_f")) & (F.col("_line") >= F.col("_r.start_line")) & (F.col("_line") <= F.col("_r.end_line")))
+    best = hit.groupBy("_file", "_line").agg(F.min("_r").alias("fn"))
+    return points.join(best, (F.col("file") == F.col("_file")) & (F.col("line") == F.col("_line")), "left").drop("_file", "_line")
 
 
 def evidence(code: dict, missing: bool) -> Column:

@@ -41,23 +41,28 @@ def sarif_results(findings: DataFrame, rules: DataFrame) -> DataFrame:
     return j.select(F.col("invariant_id").alias("rule_id"), F.coalesce("rule_index", F.lit(0)).alias("rule_index"), level(F.col("severity")).alias("level"), "message", "file", "line", F.col("finding_id").alias("fingerprint"), "severity", F.coalesce("waived", F.lit(False)).alias("waived"), "ord")
 
 
-def sarif_document(findings: DataFrame, catalogue: DataFrame | None, version: str, ended_at: str, tool: str) -> DataFrame:
-    """One row, one column ``document``: the SARIF 2.1.0 log of a run."""
+def sarif_document(findings: DataFrame, catalogue: DataFrame | None, version: str, ended_at: str, tool: str, shards: int = 1) -> DataFrame:
+    """document: the SARIF 2.1.0 log of a run. shards: rows it is split into by file, each a log of its own with all rules.
+
+    A log is one JSON value and is put together in one task; many findings need many shards.
+    """
     rules = sarif_rules(findings, catalogue)
-    results = sarif_results(findings, rules)
+    results = sarif_results(findings, rules).withColumn("shard", F.pmod(F.xxhash64("file"), F.lit(shards)) if shards > 1 else F.lit(0).cast("long"))
     text = lambda c: F.struct(c.alias("text"))
     rule = F.struct(F.col("id"), F.col("name"), text(F.col("short_description")).alias("shortDescription"), F.when(F.col("full_description").isNotNull(), text(F.col("full_description"))).alias("fullDescription"),
                     F.struct(F.col("level")).alias("defaultConfiguration"), F.struct(F.array(F.lit("security"), F.lit("production-invariant")).alias("tags"), F.lit("high").alias("precision"), F.col("score").alias("security-severity")).alias("properties"))
     place = F.array(F.struct(F.struct(F.struct(F.col("file").alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine"), F.lit(1).alias("startColumn")).alias("region")).alias("physicalLocation")))
     result = F.struct(F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), F.col("level"), text(F.col("message")).alias("message"), place.alias("locations"), F.struct(F.col("fingerprint").alias("findingId")).alias("fingerprints"), F.struct("severity", "waived").alias("properties"))
-    in_order = lambda df, key, value: df.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))), lambda x: x["v"]).alias("v"))
-    a, b = in_order(rules, "rule_index", rule), in_order(results, "ord", result)
+    in_order = lambda df, key, value, *by: df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))), lambda x: x["v"]).alias("v"))
+    a, b = in_order(rules, "rule_index", rule), in_order(results, "ord", result, "shard")
+    every = findings.sparkSession.range(shards).select(F.col("id").alias("shard"))
+    b = every.join(b, "shard", "left").select(F.coalesce("v", F.array().cast(b.schema["v"].dataType)).alias("v"))
     log = F.struct(
         F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"),
         F.array(F.struct(F.struct(F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.col("rules")).alias("driver")).alias("tool"), F.col("results"),
                          F.array(F.struct(F.lit(True).alias("executionSuccessful"), F.lit(ended_at).alias("endTimeUtc"))).alias("invocations"))).alias("runs"),
     )
-    return a.withColumnRenamed("v", "rules").crossJoin(b.withColumnRenamed("v", "results")).select(F.to_json(log).alias("document"))  # one row by one row
+    return a.withColumnRenamed("v", "rules").crossJoin(b.withColumnRenamed("v", "results")).select(F.to_json(log).alias("document"))  # one row by a row for each shard
 
 
 def tagged_rows(relations: dict[str, DataFrame], meta: dict[str, str] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import os
 from collections.abc import Mapping
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import files as inv
@@ -58,6 +58,15 @@ def sorted_rows(df: DataFrame) -> DataFrame:
     return df.orderBy(F.collate("file", "UNICODE"), "line", "ord")
 
 
+def placed_rows(df: DataFrame) -> DataFrame:
+    """Adds place (from 1) in the order of ``sorted_rows``: places inside a file, after the sizes of the files before it."""
+    each = df.groupBy("file").agg(F.count("*").alias("n"))
+    upto = Window.orderBy(F.collate("file", "UNICODE"), "file").rowsBetween(Window.unboundedPreceding, -1)
+    before = each.select("file", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))  # a row for each file
+    inside = Window.partitionBy("file").orderBy("line", "ord")
+    return df.withColumn("place", F.row_number().over(inside).cast("long")).join(before, "file").withColumn("place", F.col("place") + F.col("before")).drop("before")
+
+
 def evidence_rows(findings_df: DataFrame, with_context: bool = False) -> DataFrame:
     return findings_df if with_context else findings_df.drop("context")
 

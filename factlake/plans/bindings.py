@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, matching, tables
-from ..operators import facts, findings, graph, patterns, report, routes, taint
+from ..operators import facts, findings, graph, patterns, report, routes, session, taint
 from ..sources import files as inv
 from ..sources.lexer import lex
 from ..streaming import watch
@@ -94,13 +94,12 @@ def inverted_pattern(spark, d):
     return patterns.match_code("missing", {"pattern": "the", "invert": True}, patterns.lines_of(f), ranges, f).select("file", "line")
 
 
-@query("""WITH s AS (SELECT doc_id, CASE WHEN regexp_matches(text, 'Licen[cs]e') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '@[a-z]') THEN 1 ELSE 0 END + CASE WHEN contains(text, '!!') THEN 1 ELSE 0 END AS score FROM documents)
-  SELECT doc_id, score::INTEGER AS score, score >= 2 AS likely FROM s""")
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN true ELSE false END AS likely FROM documents""")
 def test_score(spark, d):
-    t = F.col("text")
-    n = lambda p, k: F.when(matching.test(t, p, ""), k).otherwise(0)
-    score = n("Licen[cs]e", 2) + n("@[a-z]", 1) + n("!!", 1)
-    return table(spark, d, "documents").select("doc_id", score.alias("score"), (score >= 2).alias("likely"))
+    k = F.col("doc_id") % 4
+    code = F.when(k == 0, "import { it } from 'vitest';\nrun();").when(k == 1, "describe('x', () => { beforeEach(() => {}); });").when(k == 2, "describe('x', () => {});").otherwise("const a = 1;")
+    text = F.concat(code, F.lit("\n// "), F.coalesce(F.regexp_replace("lang", "[^a-z]", ""), F.lit("")))
+    return table(spark, d, "documents").select("doc_id", inv.is_test_text(text, inv.imports_of(text)).alias("likely"))
 
 
 @query("SELECT doc_id, coalesce(regexp_matches(substr(text, 1, 4096), '(?i)@generated|auto-?generated|generated by|this file (?:was|is) generated|do not edit'), false) AS generated FROM documents")
@@ -108,11 +107,13 @@ def generated_header(spark, d):
     return table(spark, d, "documents").select("doc_id", inv.is_generated_text(F.col("text")).alias("generated"))
 
 
-@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b(th[a-z]+)\\b', 1))), ',') AS types,
-  len(list_distinct(regexp_extract_all(text, '\\b(th[a-z]+)\\b', 1)))::INTEGER AS n FROM documents""")
+@query("""WITH e AS (SELECT doc_id, coalesce(source, '-') AS s, coalesce(lang, '-') AS l FROM documents)
+  SELECT doc_id, CASE WHEN s = l THEN s ELSE s || ',' || l END AS types, CASE WHEN s = l THEN 1 ELSE 2 END::INTEGER AS n FROM e""")
 def event_types_distinct(spark, d):
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(th[a-z]+)\b"), F.lit(1)))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(found), ",").alias("types"), F.size(found).alias("n"))
+    s, l = (F.coalesce(c, F.lit("-")) for c in ("source", "lang"))
+    text = F.concat(F.lit("switch (event.type) {\n  case '"), s, F.lit("': a(); case \""), l, F.lit("\": b();\n}\nif (event.type === '"), s, F.lit("') c();\n"))
+    found = facts.event_types(text)
+    return table(spark, d, "documents").select("doc_id", F.array_join(found, ",").alias("types"), F.size(found).alias("n"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS brief,
@@ -133,16 +134,20 @@ def redact_values(spark, d):
 # -- pages -------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, 'track\\(([0-9]+)\\)'))::INTEGER AS n_calls, array_to_string(regexp_extract_all(html, 'track\\(([0-9]+)\\)', 1), ',') AS args FROM pages")
+@query("""SELECT 'web/p' || page_id || '.ts' AS file, CASE page_id % 3 WHEN 0 THEN 'innerHTML assignment' WHEN 1 THEN 'document.write' ELSE 'insertAdjacentHTML' END AS description, 2 AS line, 'show' || page_id AS function_context FROM pages""")
 def dom_call_extract(spark, d):
-    found = F.regexp_extract_all("html", F.lit(r"track\(([0-9]+)\)"), F.lit(1))
-    return table(spark, d, "pages").select("page_id", F.size(found).alias("n_calls"), F.array_join(found, ",").alias("args"))
+    k = F.col("page_id") % 3
+    call = F.when(k == 0, "el.innerHTML = id;").when(k == 1, "document.write(id);").otherwise("el.insertAdjacentHTML('beforeend', id);")
+    f = composed(spark, d, "pages", "page_id", "web/p", ".ts", "export function show", "$page_id", "(id) {\n  ", call, "\n  track(1);\n}\n")
+    found = taint.sinks(nodes_of(f)).filter("type = 'dom_sink'")
+    return found.select("file", F.substring_index("context", ":", 1).alias("description"), "line", "function_context").distinct()
 
 
-@query("SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path, regexp_extract(url, '\\?(.*)$', 1) AS params FROM pages")
+@query("""SELECT 'src/routes/p' || page_id || '.ts' AS file, CASE page_id % 2 WHEN 0 THEN 'GET' ELSE 'PUT' END AS method, coalesce(regexp_extract(url, '^https?://[^/]+(/[^?#'']*)', 1), '') AS path, 'express' AS framework FROM pages""")
 def route_from_url(spark, d):
-    u = F.col("url")
-    return table(spark, d, "pages").select("page_id", F.regexp_extract(u, r"^https?://([^/]+)", 1).alias("host"), F.regexp_extract(u, r"^https?://[^/]+(/[^?#]*)", 1).alias("path"), F.regexp_extract(u, r"\?(.*)\z", 1).alias("params"))
+    path = F.coalesce(F.regexp_extract("url", r"^https?://[^/]+(/[^?#\']*)", 1), F.lit(""))
+    f = composed(spark, d, "pages", "page_id", "src/routes/p", ".ts", "const router = express.Router();\nrouter.", even("get", "put", "page_id"), "('", path, "', (req, res) => res.json(1));\n")
+    return routes.routes(f, nodes_of(f)).select("file", "method", "path", "framework")
 
 
 PROVIDER_SQL = " ".join(
@@ -205,25 +210,26 @@ def smallest_enclosing_range(spark, d):
     return patterns.enclosing(points, ranges).select("event_id", F.col("fn.ord").alias("range_id"))
 
 
-@query("""WITH s AS (SELECT user_id, event_id AS a, ts AS t0 FROM events WHERE event_type = 'signup'), k AS (SELECT user_id, event_id AS b, ts AS t1 FROM events WHERE event_type = 'purchase')
-  SELECT s.a, k.b, count(e.event_id) AS n_between, coalesce(bool_or(e.event_type = 'error'), false) AS has_error
-  FROM s JOIN k ON s.user_id = k.user_id AND k.t1 > s.t0 AND k.t1 <= s.t0 + INTERVAL 2 DAY LEFT JOIN events e ON e.user_id = s.user_id AND e.ts > s.t0 AND e.ts < k.t1 GROUP BY s.a, k.b""")
+@query("""WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000000 AS t, ts::DATE AS day FROM events)
+  , s AS (SELECT user_id, day, event_id AS a, t AS t0 FROM e WHERE event_type = 'signup'), k AS (SELECT user_id, day, event_id AS b, t AS t1 FROM e WHERE event_type = 'purchase')
+  SELECT s.a, k.b, count(e.event_id)::INTEGER AS n_between, coalesce(bool_or(e.event_type = 'error'), false) AS has_error
+  FROM s JOIN k ON s.user_id = k.user_id AND s.day = k.day LEFT JOIN e ON e.user_id = s.user_id AND e.day = s.day AND e.t > s.t0 AND e.t < k.t1 GROUP BY s.a, k.b""")
 def transforms_between(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
-    s = e.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("a"), F.col("ts").alias("t0"))
-    k = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("b"), F.col("ts").alias("t1"))
-    pairs = s.join(k, "user_id").filter("t1 > t0 AND t1 <= t0 + INTERVAL 2 DAYS")
-    t = e.select(F.col("user_id").alias("u"), "event_type", "event_id", "ts")
-    return pairs.join(t, (F.col("user_id") == F.col("u")) & (F.col("ts") > F.col("t0")) & (F.col("ts") < F.col("t1")), "left").groupBy("a", "b").agg(
-        F.count("event_id").alias("n_between"), F.coalesce(F.bool_or(F.col("event_type") == "error"), F.lit(False)).alias("has_error"))
+    e = table(spark, d, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("line"), F.col("ts").cast("date").cast("string").alias("function_context"), "event_type", F.col("event_id").alias("ord"))
+    src = e.filter("event_type = 'signup'").select("file", "line", F.lit("request_body").alias("type"), F.lit("v").alias("variable"), "function_context", F.lit("req.v").alias("access_path"), "ord")
+    snk = e.filter("event_type = 'purchase'").select("file", "line", F.lit("sql_query").alias("type"), "function_context", F.lit("c").alias("context"), F.array(F.lit("v")).alias("tainted_inputs"), "ord")
+    trf = e.select("file", "line", F.when(F.col("event_type") == "error", "sanitize").otherwise("encode").alias("type"), F.lit("v").alias("input_variable"), F.lit(None).cast("string").alias("output_variable"), "function_context", "event_type", "ord").withColumnRenamed("event_type", "description")
+    fl = taint.connect(src, snk, trf)
+    return fl.select(F.col("source.ord").alias("a"), F.col("sink.ord").alias("b"), F.size("transforms").alias("n_between"), F.col("is_sanitized").alias("has_error"))
 
 
-@query("""WITH a AS (SELECT doc_id, nullif(lang, 'en') AS k FROM documents WHERE doc_id % 10 = 0), b AS (SELECT nullif(lang, 'en') AS k, count(*) AS n FROM documents GROUP BY 1)
-  SELECT doc_id, a.k, n FROM a JOIN b ON a.k IS NOT DISTINCT FROM b.k""")
+@query("""WITH a AS (SELECT doc_id, nullif(lang, 'en') AS k FROM documents) SELECT a.doc_id, a.k, b.no FROM a JOIN (VALUES (NULL, 1), ('de', 2), ('fr', 3), ('es', 4)) b(k, no) ON a.k IS NOT DISTINCT FROM b.k""")
 def nullsafe_join(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.nullif(F.col("lang"), F.lit("en")).alias("k"))
-    b = x.groupBy(F.col("k").alias("bk")).agg(F.count("*").alias("n"))
-    return x.filter("doc_id % 10 = 0").join(b, F.col("k").eqNullSafe(F.col("bk"))).select("doc_id", "k", "n")
+    src = table(spark, d, "documents").select(F.lit("f").alias("file"), F.lit(1).alias("line"), F.lit("request_body").alias("type"), F.lit("v").alias("variable"), F.nullif(F.col("lang"), F.lit("en")).alias("function_context"), F.lit("req.v").alias("access_path"), F.col("doc_id").alias("ord"))
+    snk = spark.createDataFrame([("f", 9, "sql_query", k, "c", ["v"], no) for no, k in enumerate([None, "de", "fr", "es"], 1)], "file string, line int, type string, function_context string, context string, tainted_inputs array<string>, ord int")
+    trf = spark.createDataFrame([], "file string, line int, type string, input_variable string, output_variable string, function_context string, description string, ord int")
+    return taint.connect(src, snk, trf).select(F.col("source.ord").alias("doc_id"), F.col("source.function_context").alias("k"), F.col("sink.ord").alias("no"))
 
 
 @query("SELECT doc_id::VARCHAR AS file FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -231,34 +237,42 @@ def missing_auth(spark, d):
     return patterns.missing_auth(doc_files(spark, d).select("file"), table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("file")))
 
 
-@query("""WITH i AS (SELECT l_orderkey, list({'n': l_linenumber, 'f': l_returnflag} ORDER BY l_linenumber, l_returnflag) AS a FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1)
-  SELECT o_orderkey AS scope, coalesce(len(list_filter(a, lambda x: x.f = 'R')), 0)::INTEGER AS n_returned, coalesce(array_to_string(list_transform(a, lambda x: x.f), ', '), '') AS kinds FROM orders LEFT JOIN i ON l_orderkey = o_orderkey""")
+@query("""WITH i AS (SELECT l_orderkey, list(CASE l_returnflag WHEN 'R' THEN 'email' ELSE 'webhook' END ORDER BY l_linenumber, l_returnflag) AS a FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1)
+  SELECT 'o' || l_orderkey AS file, 'Side effects inside transaction: ' || array_to_string(a, ', ') AS evidence FROM i""")
 def scope_side_effects(spark, d):
-    i = table(spark, d, "lineitem").filter("l_returnflag IN ('R', 'A')").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("f")))).alias("a"))
-    o = table(spark, d, "orders").join(i, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    flags = F.transform("a", lambda x: x["f"])
-    return o.select(F.col("o_orderkey").alias("scope"), F.coalesce(F.size(F.filter(flags, lambda f: f == "R")), F.lit(0)).alias("n_returned"), F.coalesce(F.array_join(flags, ", "), F.lit("")).alias("kinds"))
+    kind = F.when(F.col("l_returnflag") == "R", "email").when(F.col("l_returnflag") == "A", "webhook").otherwise("queue")
+    scopes = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("f"), kind.alias("type")))).alias("side_effects")).select(
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("file"), F.lit(1).alias("line"), F.lit("save").alias("function_name"), F.lit(True).alias("contains_side_effects"), "side_effects")
+    got = patterns.match_transaction("p", {"containsSideEffects": True, "sideEffectTypes": ["email", "webhook"]}, scopes)
+    return got.select("file", F.get("evidence", 0).alias("evidence"))
 
 
-@query("SELECT l_orderkey AS orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT CASE WHEN l_returnflag IN ('R', 'A', 'N') THEN l_returnflag END) = 3")
+@query("""WITH w(wanted) AS (VALUES (['FRANCE', 'GERMANY']), (['KENYA', 'JAPAN']), (['KENYA', 'NOWHERE']))
+  SELECT array_to_string(wanted, ',') AS required, (SELECT count(DISTINCT n_name) FROM nation JOIN supplier ON n_nationkey = s_nationkey WHERE list_contains(wanted, n_name)) = 2 AS met FROM w""")
 def required_dependencies(spark, d):
-    have = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("orderkey")).agg(F.collect_set("l_returnflag").alias("deps"))
-    return have.filter(F.size(F.array_except(F.array(*map(F.lit, "RAN")), "deps")) == 0).select("orderkey")
+    # The packages of the nations' folders; the candidates are the suppliers' files below them.
+    packages = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("folder"), F.array("n_name").alias("deps"))
+    cands = table(spark, d, "supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("/src/s"), F.col("s_suppkey").cast("string"), F.lit(".ts")).alias("file"))
+    rows = [(",".join(w), patterns.has_dependencies(cands, packages, w)) for w in (["FRANCE", "GERMANY"], ["KENYA", "JAPAN"], ["KENYA", "NOWHERE"])]
+    return spark.createDataFrame(rows, "required string, met boolean")
 
 
-@query("""WITH a AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events WHERE event_id % 2 = 1), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0 AND event_id % 3 = 0)
-  SELECT event_id, user_id, event_type FROM events WHERE event_id % 2 = 0 AND event_id % 3 = 0 UNION ALL SELECT event_id, user_id, event_type FROM a WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM b WHERE b.user_id = a.user_id AND b.event_type = a.event_type)""")
+@query("""WITH a AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events WHERE event_id % 2 = 1), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0)
+  SELECT event_id, user_id, event_type FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, user_id, event_type FROM a WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM b WHERE b.user_id = a.user_id AND b.event_type = a.event_type)""")
 def merge_dedup(spark, d):
+    # Every event is on one of the two sides.
     e = table(spark, d, "events").select("event_id", "user_id", "event_type")
-    return findings.merge_unseen(e.filter("event_id % 2 = 0 AND event_id % 3 = 0"), e.filter("event_id % 2 = 1"), ["user_id", "event_type"], ["event_id"])
+    return findings.merge_unseen(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), ["user_id", "event_type"], ["event_id"])
 
 
 # -- graph -------------------------------------------------------------------------------
 
 
-@query("SELECT l_partkey AS src, l_suppkey AS dst, min(l_orderkey * 10 + l_linenumber) AS first_line FROM lineitem GROUP BY 1, 2")
+@query("""SELECT 'src/s' || s_suppkey || '.ts' AS file, 'f' || s_suppkey AS caller, t AS target_function, l::INTEGER AS call_line FROM supplier, (VALUES ('helper', 2), ('other', 4)) x(t, l) WHERE t = 'helper' OR s_suppkey % 2 = 0""")
 def call_edges(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first_line"))
+    f = composed(spark, d, "supplier", "s_suppkey", "src/s", ".ts", "export function f", "$s_suppkey", "() {\n  helper();\n  helper();\n  ", even("other(helper());", "console.log(1);", "s_suppkey"), "\n}\n")
+    n = nodes_of(f)
+    return graph.call_edges(n, graph.resolve_modules(graph.import_bindings(n), f)).select("file", "caller", "target_function", "call_line")
 
 
 @query("""WITH f AS (SELECT DISTINCT 's' || (s_suppkey % 40) AS function_name, 'f' || (s_suppkey % 7) AS file FROM supplier)
@@ -279,18 +293,18 @@ def _parents(spark, d) -> DataFrame:
     return table(spark, d, "supplier").filter("s_suppkey >= 1").select(F.col("s_suppkey").cast("string").alias("function_name"), F.expr("CAST(s_suppkey DIV 3 AS STRING)").alias("caller_function"), F.lit("f").alias("file"), F.lit("f").alias("caller_file"))
 
 
-TREE = "WITH RECURSIVE e AS (SELECT s_suppkey AS src, s_suppkey // 3 AS dst FROM supplier WHERE s_suppkey >= 1), r(root, node, depth) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier WHERE s_suppkey % 5 = 0 UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 10)"
+TREE = "WITH RECURSIVE e AS (SELECT s_suppkey AS src, s_suppkey // 3 AS dst FROM supplier WHERE s_suppkey >= 1), r(root, node, depth) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 10)"
 
 
 @query(f"{TREE} SELECT root::VARCHAR AS root, node::VARCHAR AS node, min(depth)::INTEGER AS depth FROM r WHERE depth > 0 AND node <> root GROUP BY 1, 2")
 def callers_bounded(spark, d):
-    t = table(spark, d, "supplier").filter("s_suppkey % 5 = 0").select(F.col("s_suppkey").cast("string").alias("name"))
+    t = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("name"))
     return graph.callers_of(_parents(spark, d), t)
 
 
 @query(f"{TREE} SELECT root::VARCHAR AS name, coalesce(bool_or(depth > 0 AND node IN (2, 7)), false) AS has_auth FROM r GROUP BY 1")
 def auth_in_chain(spark, d):
-    t = table(spark, d, "supplier").filter("s_suppkey % 5 = 0").select(F.col("s_suppkey").cast("string").alias("name"))
+    t = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("name"))
     edges = spark.createDataFrame([], "caller string, target_function string, original_name string")
     return graph.has_auth_in_chain(_parents(spark, d), edges, t, ["2", "7"])
 
@@ -298,12 +312,10 @@ def auth_in_chain(spark, d):
 # -- windows -----------------------------------------------------------------------------
 
 
-@query("""SELECT conv_id, turn, coalesce(array_to_string(list(text) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn), '|'), '') AS describes,
-  last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS carried FROM conversations""")
+@query("""SELECT 'src/s' || s_suppkey || '.test.ts' AS file, t AS name, replace(w, '#', s_suppkey::VARCHAR) AS describes FROM supplier, (VALUES ('x', 'a#'), ('y', 'a#|b'), ('z', 'a#|b|c')) v(t, w)""")
 def describe_stack(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    user = F.col("role") == "user"
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.collect_list(F.when(user, F.col("text"))).over(w), "|").alias("describes"), F.last(F.when(user, F.col("turn")), True).over(w).alias("carried"))
+    f = composed(spark, d, "supplier", "s_suppkey", "src/s", ".test.ts", "describe('a", "$s_suppkey", "', () => {\n  it('x', () => { expect(1).toBe(a); });\n  describe('b', () => {\n    it('y', () => { expect(1).toBe(a); });\n  });\n});\ndescribe('c', () => {\n  it('z', () => { expect(1).toBe(a); });\n});\n")
+    return facts.test_cases(nodes_of(f)).select("file", "name", F.array_join("describes", "|").alias("describes"))
 
 
 @query("SELECT doc_id, k || CASE WHEN n = 0 THEN '' ELSE ':' || chr((96 + n)::INTEGER) END AS finding_id FROM (SELECT doc_id, source || ':' || lang || ':' || (doc_id % 20) AS k, row_number() OVER (PARTITION BY source, lang, doc_id % 20 ORDER BY doc_id) - 1 AS n FROM documents)")
@@ -489,8 +501,8 @@ def golden_new(spark, d):
 
 @query("""WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events WHERE event_type <> 'error' GROUP BY 1, 2) SELECT user_id, event_type AS framework FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) AS k FROM c) WHERE k = 1""")
 def framework_mode(spark, d):
-    c = table(spark, d, "events").filter("event_type <> 'error'").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
-    return c.groupBy("user_id").agg(F.min_by("event_type", F.struct((-F.col("n")).alias("n"), "first")).alias("framework"))
+    kind = F.when(F.col("event_type") == "error", "unknown").otherwise(F.col("event_type"))
+    return findings.framework_mode(table(spark, d, "events").select("user_id", kind.alias("framework"), F.col("event_id").alias("ord")), ["user_id"])
 
 
 @query("""WITH s AS (SELECT user_id AS folder, CASE WHEN event_type IN ('click', 'view') THEN 'nextjs' ELSE 'prisma' END AS framework, CASE WHEN event_type IN ('click', 'purchase') THEN 0.6 ELSE 0.8 END AS w FROM (SELECT DISTINCT user_id, event_type FROM events))
@@ -544,11 +556,10 @@ def severity_top_n(spark, d):
     return findings.top_findings(event_findings(spark, d), "P0", 200, ["ord"])[0].select("ord", "severity")
 
 
-@query("SELECT 'f' || lpad((doc_id % 50)::VARCHAR, 2, '0') AS file, doc_id AS line, (row_number() OVER (ORDER BY doc_id % 50, doc_id))::INTEGER AS place FROM documents")
+@query("SELECT 'f' || lpad((doc_id % 50)::VARCHAR, 2, '0') AS file, doc_id AS line, row_number() OVER (ORDER BY doc_id % 50, doc_id) AS place FROM documents")
 def file_line_sort(spark, d):
-    x = table(spark, d, "documents").select(F.concat(F.lit("f"), F.lpad((F.col("doc_id") % 50).cast("string"), 2, "0")).alias("file"), F.col("doc_id").alias("line"))
-    before = x.groupBy("file").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.collate("file", "UNICODE")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return x.join(before, "file").select("file", "line", (F.col("before") + F.row_number().over(Window.partitionBy("file").orderBy("line"))).cast("int").alias("place"))
+    x = table(spark, d, "documents").select(F.concat(F.lit("f"), F.lpad((F.col("doc_id") % 50).cast("string"), 2, "0")).alias("file"), F.col("doc_id").alias("line"), F.col("doc_id").alias("ord"))
+    return session.placed_rows(x).select("file", "line", "place")
 
 
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'valid' WHEN 1 THEN 'valid' WHEN 2 THEN 'unsupported' ELSE 'invalid' END AS state FROM customer")
@@ -567,17 +578,17 @@ def feedback_rows(spark, d):
     return table(spark, d, "events").select("event_id", *report.feedback_row(ident, v, F.lit("r"), F.col("ts"))[:2])
 
 
-@query()
+@query(f"""WITH {LINES}, c AS (SELECT file, count(*) AS n FROM l WHERE regexp_matches(text, 'the') AND contains(text, 'and') AND NOT regexp_matches(text, '[Ee]rh') GROUP BY 1) SELECT file, n AS n_stream, n AS n_batch FROM c""")
 def stream_batch_equal(spark, d):
     """Line findings of a micro-batch run over the documents: as many rows as the batch query gives."""
     import uuid
 
-    root = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/factlake").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    root = f"{graph.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
     docs.write.parquet(f"{root}/in")
     q = watch.watch(watch.stream_table(spark, f"{root}/in", docs.schema), watch.line_scan("and-not", CODE), f"{root}/out", f"{root}/state")
     q.awaitTermination()
-    got = spark.read.parquet(f"{root}/out/*").select("file", "line")
+    got = spark.read.schema("file string, line int").parquet(f"{root}/out/*")
     return got.groupBy("file").agg(F.count("*").alias("n_stream")).join(code_pattern_and_not(spark, d).groupBy("file").agg(F.count("*").alias("n_batch")), "file", "full_outer")
 
 
@@ -782,9 +793,23 @@ def authz_names(spark, d):
     return table(spark, d, "part").select("p_partkey", n.alias("name"), facts.is_authz_name(n).alias("is_authz"), F.array_join(facts.split_arguments(F.lit("@X(a, {f: [b, c]}, d)")), ",").alias("args")).withColumn("args", F.replace("args", F.lit("{f: [b, c]}"), F.lit("f(b, c)")))
 
 
+FLAGSHIP_SQL = r"""
+WITH d AS (SELECT source, source || '/' || doc_id AS file, text FROM documents WHERE source IS NOT NULL)
+, l AS (SELECT source, file, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS text FROM d)
+, w AS (SELECT *, max(contains(text, 'stupid')::INT) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS abuse FROM l)
+, h AS (
+  SELECT source, file, line, 'WEBHOOK.IDEMPOTENT' AS rule, 1 AS rank, 'P1' AS severity FROM w WHERE regexp_matches(text, 'the') AND contains(text, 'and') AND NOT regexp_matches(text, '[Ee]rh')
+  UNION ALL SELECT source, file, line, 'TRANSACTION.POST_COMMIT.SIDE_EFFECTS', 0, 'P0' FROM w WHERE regexp_matches(text, '!!|@') AND abuse = 0)
+, g AS (SELECT source, file, count(*) AS n, count(DISTINCT rule) = 2 AS both, first(rule ORDER BY rank, line) AS rule, min(severity) AS severity FROM h GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT source, rule AS primary_invariant, CASE WHEN both THEN 'P0' ELSE severity END AS adjusted_severity, CASE WHEN both THEN 0 END::INTEGER AS rule_no, count(*) AS n_places, sum(n)::BIGINT AS n_findings
+FROM g GROUP BY 1, 2, 3, 4
+"""
+
+
+@query(FLAGSHIP_SQL)
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Documents -> lines -> a pattern with exclusions and one with a nearby window -> findings with ids -> correlated groups by source."""
-    docs = table(spark, d, "documents").select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("file"), "text")
+    """Documents -> lines -> a pattern with exclusions and one with a nearby window -> findings with ids -> correlated in each document -> counted by source."""
+    docs = table(spark, d, "documents").filter("source IS NOT NULL").select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("file"), "text")
     pats = [
         {"id": "text.the", "invariantId": "WEBHOOK.IDEMPOTENT", "applicability": {}, "finding": {"severity": "P1", "message": "line with the"}, "detection": {}},
         {"id": "text.mark", "invariantId": "TRANSACTION.POST_COMMIT.SIDE_EFFECTS", "applicability": {}, "finding": {"severity": "P0", "message": "marked line"}, "detection": {}},
@@ -792,9 +817,150 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     ls = patterns.lines_of(docs)
     ranges = spark.createDataFrame([], "file string, name string, start_line int, end_line int, ord int")
     hits = patterns.match_code("text.the", CODE, ls, ranges, docs).unionByName(patterns.match_code("text.mark", {"pattern": "/!!|@/", "requiresNearby": {"within": 2, "not": ["stupid"]}}, ls, ranges, docs))
-    found = findings.with_ids(patterns.matches_to_findings(hits, pats))
-    place = found.withColumn("file", F.substring_index("file", "/", 1)).withColumn("ord", F.col("line"))
-    return findings.correlate(place).select("file", "symbol", "finding_count", "primary_invariant", "primary_severity", "adjusted_severity", "rule_no")
+    found = findings.with_ids(patterns.matches_to_findings(hits, pats)).withColumn("ord", F.col("line"))
+    groups = findings.correlate(found).withColumn("source", F.substring_index("file", "/", 1))
+    return groups.groupBy("source", "primary_invariant", "adjusted_severity", "rule_no").agg(F.count("*").alias("n_places"), F.sum("finding_count").alias("n_findings"))
+
+
+# -- every framework's routes, joins over facts, upserts ---------------------------------------
+
+#: One source for each framework, # standing for the key: (file, text, routes as (method, path, has auth)).
+ROUTE_SOURCES = [
+    ("nextjs", "app/api/x#/route.ts", "export async function GET() { await getServerSession(); }\nexport const POST = h;", [("GET", None, True), ("POST", None, True)]),
+    ("sveltekit", "src/routes/s#/+page.server.ts", "export const load = f;\nexport const actions = {};", [("GET", None, False), ("POST", None, False)]),
+    ("nuxt", "server/api/n#.post.ts", "export default defineEventHandler(async (event) => { requireAuth(event); });", [("POST", None, True)]),
+    ("qwik", "src/routes/q#.ts", "export const useX = routeLoader$(() => 1);\nexport const onGet = f;", [("GET", None, False), ("GET", None, False)]),
+    ("astro", "src/routes/a#.ts", "import type { APIRoute } from 'x';\nexport const POST: APIRoute = f;", [("POST", None, False)]),
+    ("solid-start", "src/routes/o#.ts", "createServerAction$(f);", [("POST", None, False)]),
+    ("keystone", "src/routes/k#.ts", "import { list } from '@keystone-6/core';\nconst p = list({ access: { a: 1 } });", [("ALL", None, True)]),
+    ("remix", "app/routes/r#.ts", "import x from '@remix-run/node';\nexport const loader = f;\nexport function action() { requireUser(1); }", [("GET", None, True), ("POST", None, True)]),
+    ("koa", "src/routes/c#.ts", "import R from 'koa-router';\nrouter.get('/k#', jwtCheck, h);", [("GET", "/k#", True)]),
+    ("fastify", "src/routes/f#.ts", "import f from 'fastify';\nfastify.route({ method: 'put', path: '/f#', preHandler: a });", [("PUT", "/f#", True)]),
+    ("hapi", "src/routes/h#.ts", "import H from '@hapi/hapi';\nserver.route({ method: 'GET', path: '/h#', auth: false });", [("GET", "/h#", False)]),
+    ("nestjs", "src/routes/e#.ts", "import { Controller } from '@nestjs/common';\n@Controller('c')\n@UseGuards(G)\nexport class C {\n  @Get('list#')\n  all() { return 1; }\n}", [("GET", "list#", True)]),
+    ("trpc", "src/routes/t#.ts", "const t = trpc();\nconst r = { get#: protectedProcedure.query(f), set#: publicProcedure.mutation(g) };", [("GET", "get#", True), ("POST", "set#", False)]),
+    ("hono", "src/routes/i#.ts", "import { Hono } from 'hono';\napp.post('/x#', bearerAuth(t), h);", [("POST", "/x#", True)]),
+    ("elysia", "src/routes/l#.ts", "import { Elysia } from 'elysia';\nnew Elysia().get('/e#', h);", [("GET", "/e#", False)]),
+    ("vinxi", "src/routes/v#.ts", "import x from 'vinxi';\nconst go = server$(f);", [("POST", None, False)]),
+    ("express", "src/routes/x#.ts", "app.delete('/d#', h);", [("DELETE", "/d#", False)]),
+]
+_WANT = ", ".join(f"({i}, '{fw}', '{file}', '{m}', {'NULL' if path is None else repr(path)}, {str(auth).lower()})" for i, (fw, file, _, rows) in enumerate(ROUTE_SOURCES) for m, path, auth in rows)
+
+
+@query(f"""SELECT replace(f, '#', s_suppkey::VARCHAR) AS file, fw AS framework, m AS method, replace(p, '#', s_suppkey::VARCHAR) AS path, auth AS has_auth_middleware FROM supplier JOIN (VALUES {_WANT}) w(i, fw, f, m, p, auth) ON s_suppkey % {len(ROUTE_SOURCES)} = i""")
+def facts_routes_of_frameworks(spark, d):
+    key = F.col("s_suppkey").cast("string")
+    pick = lambda at: F.replace(F.element_at(F.array(*[F.lit(r[at]) for r in ROUTE_SOURCES]), (F.col("s_suppkey") % len(ROUTE_SOURCES) + 1).cast("int")), F.lit("#"), key)
+    f = table(spark, d, "supplier").select(pick(1).alias("file"), pick(2).alias("text"))
+    return routes.routes(f, nodes_of(f)).select("file", "framework", "method", "path", "has_auth_middleware")
+
+
+@query("""SELECT 'src/routes/s' || s_suppkey || '.ts' AS file, svc AS service_name, replace(fn, '#', s_suppkey::VARCHAR) AS function_name FROM supplier, (VALUES ('load', 'load'), ('mailService', 'send#')) v(svc, fn) WHERE svc <> 'load'
+  UNION ALL SELECT 'src/routes/s' || s_suppkey || '.ts', 'user', 'load' FROM supplier""")
+def service_calls_of_routes(spark, d):
+    f = composed(spark, d, "supplier", "s_suppkey", "src/routes/s", ".ts", "import { load } from '../services/user';\nrouter.get('/a', (q, s) => { load(1); mailService.send", "$s_suppkey", "(2); other(); });\n")
+    n = nodes_of(f)
+    calls = routes.service_calls(routes.routes(f, n), n, graph.import_bindings(n))
+    return calls.select("file", "service_name", "function_name")
+
+
+@query("""SELECT 'h' || page_id AS file, 'p' AS pattern_id, 'Provider: stripe; Missing signature verification; Missing idempotency check' AS evidence FROM pages WHERE page_id % 2 = 0 AND page_id % 3 = 0 AND page_id % 5 <> 0""")
+def webhook_condition(spark, d):
+    k = F.col("page_id")
+    method = F.when(k % 3 == 0, "none").otherwise("header")
+    hooks = table(spark, d, "pages").select(F.concat(F.lit("h"), k.cast("string")).alias("file"), F.lit(1).alias("line"), F.when(k % 2 == 0, "stripe").otherwise("github").alias("provider"),
+                                            F.struct(method.alias("method")).alias("signature_verification"), (k % 5 == 0).alias("has_idempotency_check"), F.lit("POST").alias("handler_name"))
+    got = patterns.match_webhook("p", {"provider": "Stripe", "missingSignatureVerification": True, "missingIdempotency": True}, hooks)
+    return got.select("file", "pattern_id", F.array_join("evidence", "; ").alias("evidence"))
+
+
+@query("""WITH u AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) || '/x.ts' AS file FROM pages), f(folder) AS (VALUES (''), ('en'), ('en/a'), ('fr'), ('de/news'))
+  SELECT file, folder FROM (SELECT file, folder, row_number() OVER (PARTITION BY file ORDER BY length(folder) DESC) AS k FROM u JOIN f ON folder = '' OR starts_with(file, folder || '/')) WHERE k = 1""")
+def nearest_package(spark, d):
+    paths = table(spark, d, "pages").select(F.concat(F.regexp_extract("url", r"^https?://[^/]+/([^?#]*)", 1), F.lit("/x.ts")).alias("file")).distinct()
+    return patterns.nearest_ancestor(paths, spark.createDataFrame([("",), ("en",), ("en/a",), ("fr",), ("de/news",)], "folder string"))
 
 
-QUERIES["flagship"] = flagship
+@query("""WITH v(name, word) AS (VALUES ('none', 'zz-never-zz'), ('some', 'the')) SELECT name, (SELECT count(*) FROM documents WHERE contains(text, word)) > 0 AS vetoed FROM v""")
+def vetoed_patterns(spark, d):
+    f = doc_files(spark, d)
+    return spark.createDataFrame([(n, patterns.vetoed(f, [w])) for n, w in (("none", "zz-never-zz"), ("some", "the"))], "name string, vetoed boolean")
+
+
+@query("SELECT doc_id::VARCHAR AS file FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def intersected_files(spark, d):
+    f = doc_files(spark, d).select("file")
+    both = patterns.intersect_or_all(f, table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("file")).distinct())
+    return patterns.intersect_or_all(both, f.limit(0))
+
+
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey // 3 AS src, s_suppkey AS dst FROM supplier WHERE s_suppkey >= 1), r(root, node, depth) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION SELECT r.root, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 10)
+  SELECT root::VARCHAR AS root, node::VARCHAR AS node, min(depth)::INTEGER AS depth FROM r WHERE depth > 0 AND node <> root GROUP BY 1, 2""")
+def callees_bounded(spark, d):
+    s = table(spark, d, "supplier")
+    edges = s.filter("s_suppkey >= 1").select(F.expr("CAST(s_suppkey DIV 3 AS STRING)").alias("caller"), F.col("s_suppkey").cast("string").alias("target_function"), F.lit(None).cast("string").alias("original_name"))
+    return graph.callees_of(edges, s.select(F.col("s_suppkey").cast("string").alias("name")))
+
+
+@query("""WITH w AS (SELECT 'w' || event_id AS finding_id, event_type AS reason, ts AS expires_at FROM events WHERE event_id % 3 = 0), m AS (SELECT 'w' || event_id AS finding_id, 'again' AS reason, TIMESTAMP '2024-02-08' AS expires_at FROM events WHERE event_id % 2 = 0)
+  SELECT * FROM m UNION ALL SELECT * FROM w WHERE finding_id NOT IN (SELECT finding_id FROM m)""")
+def waiver_upsert(spark, d):
+    e = table(spark, d, "events").select(F.concat(F.lit("w"), F.col("event_id").cast("string")).alias("finding_id"), F.col("event_type").alias("reason"), F.col("ts").cast("timestamp").alias("expires_at"), "event_id")
+    old = e.filter("event_id % 3 = 0").select("finding_id", "reason", "expires_at")
+    new = e.filter("event_id % 2 = 0").select("finding_id", F.lit("again").alias("reason"))
+    return findings.upsert_waivers(old, new, F.lit("2024-02-01").cast("timestamp"), 7).select("finding_id", "reason", F.col("expires_at").cast("timestamp_ntz"))
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-12'")
+def waiver_prune(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("expires_at"))
+    return findings.prune_waivers(e, F.lit("2024-01-12").cast("timestamp")).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-12 00:00:00' - INTERVAL 1 HOUR")
+def cached_responses(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("cached_at"))
+    return findings.fresh_responses(e, F.lit("2024-01-12").cast("timestamp"), 3_600_000).select("event_id")
+
+
+@query("""WITH l AS (SELECT 'p' || quality AS pattern_id, CASE WHEN doc_id % 2 = 0 THEN 'x' END AS framework, toxic * 0.2::DOUBLE AS accuracy, CASE WHEN doc_id % 3 = 0 THEN 'low' ELSE 'high' END AS confidence, doc_id FROM labels),
+  f AS (SELECT pattern_id, first(accuracy ORDER BY doc_id) AS a, first(confidence ORDER BY doc_id) AS c FROM l GROUP BY 1)
+  SELECT 'p' || q AS pattern_id, coalesce(c = 'high' AND a < 0.3, false) AS skip FROM (VALUES (0), (1), (2)) v(q) LEFT JOIN f ON pattern_id = 'p' || q""")
+def skipped_by_accuracy(spark, d):
+    k = F.col("doc_id")
+    stats = table(spark, d, "labels").select(F.concat(F.lit("p"), F.col("quality").cast("string")).alias("pattern_id"), F.when(k % 2 == 0, "x").alias("framework"), (F.col("toxic") * 0.2).alias("accuracy"), F.when(k % 3 == 0, "low").otherwise("high").alias("confidence"), k.alias("ord"))
+    return findings.should_skip(spark.createDataFrame([("p0",), ("p1",), ("p2",)], "pattern_id string"), stats, "x")
+
+
+@query("""SELECT 'd' || s_suppkey || '/x.ts' AS file, 'use ' || CASE s_suppkey % 2 WHEN 0 THEN 'server' ELSE 'client' END AS directive FROM supplier""")
+def directive_prologue(spark, d):
+    f = composed(spark, d, "supplier", "s_suppkey", "d", "/x.ts", "// head\n'use ", even("server", "client", "s_suppkey"), "';\nrun();\n'use late';\n")
+    return facts.directives(f)
+
+
+@query("""SELECT 'm' || s_suppkey || '/migrations/1.sql' AS file, 't' || s_suppkey AS "table", 'p' || s_suppkey AS policy_name, CASE s_suppkey % 2 WHEN 0 THEN 'both' ELSE 'using' END AS policy_type, s_suppkey % 3 = 0 AS uses_session_context FROM supplier""")
+def facts_policies(spark, d):
+    who = even("auth.uid()", "owner", "s_suppkey", 3)
+    f = composed(spark, d, "supplier", "s_suppkey", "m", "/migrations/1.sql", "CREATE POLICY p", "$s_suppkey", " ON t", "$s_suppkey", " FOR ALL USING (x = ", who, ")", even(" WITH CHECK (x = 1)", "", "s_suppkey"), ";\n")
+    return facts.sql_policies(facts.migrations(f)).select("file", "table", "policy_name", "policy_type", "uses_session_context")
+
+
+@query("""SELECT CASE WHEN event_id % 2 = 0 THEN 'src/admin/x.ts' ELSE 'src/x.ts' END AS file, source_line::INTEGER AS source_line, event_id AS ord FROM (SELECT event_id, event_id % 7 AS source_line FROM events)""")
+def sorted_flow_rows(spark, d):
+    k = F.col("event_id")
+    flows = table(spark, d, "events").select(F.when(k % 2 == 0, "src/admin/x.ts").otherwise("src/x.ts").alias("file"), F.struct((k % 7).cast("int").alias("line"), k.alias("ord")).alias("source"), F.struct(k.alias("ord")).alias("sink"))
+    return taint.sorted_flows(flows).select("file", F.col("source.line").alias("source_line"), F.col("source.ord").alias("ord"))
+
+
+@query("""SELECT s_suppkey, s_suppkey % 2 = 0 OR s_suppkey % 3 = 0 AS is_admin FROM supplier""")
+def admin_contexts(spark, d):
+    k = F.col("s_suppkey")
+    path = F.when(k % 2 == 0, "/src/admin/x.ts").otherwise("/src/x.ts")
+    return table(spark, d, "supplier").select("s_suppkey", taint.is_admin_context(path, F.when(k % 3 == 0, "adminOnly").otherwise("load")).alias("is_admin"))
+
+
+@query("""SELECT event_id, 'a' || event_id AS function_name FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 's' || event_id FROM events WHERE event_id % 2 = 1""")
+def calibration_requests(spark, d):
+    k = F.col("event_id")
+    e = table(spark, d, "events").select(k.alias("key"), F.col("event_type").alias("invariant_id"), F.lit("P1").alias("severity"), F.when(k % 2 == 0, F.concat(F.lit("a"), k.cast("string"))).alias("function_name"), F.concat(F.lit("s"), k.cast("string")).alias("symbol"))
+    return session.calibration_request(e).select(F.col("key").alias("event_id"), "function_name")

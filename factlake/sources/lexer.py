@@ -5,7 +5,7 @@ apart, brackets are matched, and the kinds of node that the fact extractors need
 from the tokens around brackets and keywords. Limits: types and JSX are read as plain tokens;
 template substitutions are not entered; statements are recognised at line starts inside blocks; an
 arrow body without braces ends at the first comma, semicolon or closing bracket of its level.
-A file that cannot be read yields no nodes.
+A file that cannot be read yields one row of kind ``Unreadable`` (see ``unreadable``).
 
 Nodes come in pre-order (``ord``); ``parent_ord`` is the innermost node around one.
 """
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .shipping import ship
 
@@ -662,28 +663,40 @@ class Parser:
         return list(out)
 
     def leading_comments(self, n: dict) -> str | None:
-        out = []
-        for a, b in self.x.comments:
-            if b <= n["start"] and not self.x.text[b : n["start"]].strip():
-                out.append(self.x.text[a:b])
-        return "\n".join(out) or None
+        """The comment before a node with nothing but blanks in between."""
+        i = bisect.bisect_right(self.comment_ends, n["start"]) - 1
+        if i < 0 or self.x.text[self.comment_ends[i] : n["start"]].strip():
+            return None
+        a, b = self.x.comments[i]
+        return self.x.text[a:b] or None
+
+
+#: Kind of the one row of a file that can't be read; its name tells the error.
+UNREADABLE = "Unreadable"
+#: Rows of nodes that are put out at once.
+PIECE = 20_000
 
 
 def nodes_of(file: str, text: str | None) -> list[dict]:
-    """Rows of the relation ``nodes`` for one file; none if the text can't be read."""
+    """Rows of the relation ``nodes`` for one file; one of kind UNREADABLE if the text can't be read."""
     if not text:
         return []
     try:
         parser = Parser(text)
         nodes = parser.parse()
-    except (IndexError, KeyError, RecursionError, ValueError):
-        return []
+    except (IndexError, KeyError, RecursionError, ValueError) as error:
+        return [dict.fromkeys(COLUMNS) | {"file": file, "ord": 0, "kind": UNREADABLE, "name": type(error).__name__, "start_line": 1, "end_line": 1, "start_off": 0, "end_off": 0, "exported": False}]
     rows = []
+    parser.comment_ends = [b for _, b in parser.x.comments]
+    functions: dict[int, list[dict]] = {}
+    for m in nodes:
+        if m["kind"] in ("ArrowFunction", "FunctionExpression"):
+            functions.setdefault(m["a"], []).append(m)
     for n in nodes:
         up = nodes[n["parent"]] if n["parent"] is not None else None
         call = n["kind"] in ("CallExpression", "NewExpression")
         arg_fn = next(
-            (m["ord"] for s in n.get("arg_tokens", []) for m in nodes if m["a"] == s and m["kind"] in ("ArrowFunction", "FunctionExpression") and m["b"] <= n["b"]), None
+            (m["ord"] for s in n.get("arg_tokens", []) for m in functions.get(s, ()) if m["b"] <= n["b"]), None
         ) if call else None
         sink = call or n["kind"] in ("BinaryExpression", "PropertyAccess")
         rows.append({
@@ -706,11 +719,24 @@ def lex(files: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = [r for f, t in zip(pdf["file"], pdf["text"], strict=True) for r in nodes_of(f, t)]
-            out = pd.DataFrame(rows, columns=COLUMNS)
-            for c in ("parent_ord", "arg_fn_ord"):
-                out[c] = out[c].astype("Int32")
-            yield out
+            rows: list[dict] = []
+            for f, t in zip(pdf["file"], pdf["text"], strict=True):
+                rows += nodes_of(f, t)
+                if len(rows) >= PIECE:
+                    yield table(rows)
+                    rows = []
+            yield table(rows)
+
+    def table(rows: list[dict]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=COLUMNS)
+        for c in ("parent_ord", "arg_fn_ord"):
+            out[c] = out[c].astype("Int32")
+        return out
 
     ship(files.sparkSession)
     return files.select("file", "text").mapInPandas(run, SCHEMA)
+
+
+def unreadable(nodes: DataFrame) -> DataFrame:
+    """file, error of the files that could not be read: none of their facts are known."""
+    return nodes.filter(F.col("kind") == UNREADABLE).select("file", F.col("name").alias("error"))
