@@ -41,6 +41,16 @@ def top_findings(findings: DataFrame, severity: str | None, limit: int, order: l
     return df.orderBy(*order).limit(n), F.lit(n)
 
 
+def shown_findings(findings: DataFrame, every: bool = False) -> DataFrame:
+    """What a run shows: all findings, or by default only the first P0 (by ord); without one the P1, never a P2."""
+    if every:
+        return findings
+    urgent = findings.filter("severity = 'P0'").orderBy("ord").limit(1)
+    has = urgent.agg((F.count("*") > 0).alias("_has"))
+    rest = findings.filter("severity = 'P1'").crossJoin(F.broadcast(has)).filter("NOT _has").drop("_has")  # by one row
+    return urgent.unionByName(rest)
+
+
 # -- baseline and waivers ----------------------------------------------------------------
 
 
@@ -263,6 +273,11 @@ def calibration_summary(baselines: DataFrame, counts: Column) -> DataFrame:
     return baselines.filter("confidence <> 'low'").select("framework", F.concat(F.col("framework"), F.lit(": "), counts.cast("string"), F.lit(" findings ("), F.format_string("%.1f", "avg_findings"), F.lit(" avg) - "), label).alias("said"))
 
 
+def framework_baseline(baselines: DataFrame, framework: str) -> DataFrame:
+    """The first baseline (by ord) of a framework: one row or none."""
+    return baselines.filter(F.col("framework") == framework).orderBy("ord").limit(1)
+
+
 # -- accuracy ----------------------------------------------------------------------------
 
 
@@ -291,6 +306,17 @@ def golden_changes(before: DataFrame, after: DataFrame) -> tuple[DataFrame, Data
     return after.join(before.select(*keys).distinct(), keys, "left_anti"), before.join(after.select(*keys).distinct(), keys, "left_anti")
 
 
+def shown_changes(changes: DataFrame, most: int = 20) -> DataFrame:
+    """The first rows (by ord) of new or removed findings; the display is what is limited."""
+    return changes.orderBy("ord").limit(most)
+
+
+def format_delta(before: Column, after: Column) -> Column:
+    """``=`` without a change, else the difference with sign and one decimal."""
+    text = F.format_string("%.1f", F.round(after - before, 1))
+    return first_match([(after == before, "="), (after > before, F.concat(F.lit("+"), text))], text)
+
+
 def exit_code(diff: DataFrame) -> DataFrame:
     return diff.agg(F.coalesce(F.max((F.col("verdict") == "regressed").cast("int")), F.lit(0)).alias("exit_code"))
 

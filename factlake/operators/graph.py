@@ -67,10 +67,26 @@ def import_bindings(nodes: DataFrame) -> DataFrame:
     return wanted.select("file", "ord", "text").mapInPandas(run, BINDINGS)
 
 
-def exports(nodes: DataFrame) -> DataFrame:
-    """name, file: exported declarations of each file; re-exports are not followed."""
+def exports(nodes: DataFrame, files: DataFrame | None = None, cap: int | None = None) -> DataFrame:
+    """name, file: what each file exports: declarations, lists, ``default``, and with ``files`` what stars pass on from other files.
+
+    cap: most rows, in order of file and name.
+    """
     kinds = nodes.filter("exported AND kind IN ('FunctionDeclaration', 'ClassDeclaration', 'VariableDeclaration') AND name IS NOT NULL")
-    return kinds.select(F.explode(F.split("name", ",")).alias("name"), "file").distinct()
+    declared = kinds.select(F.explode(F.split("name", ",")).alias("name"), "file")
+    said = nodes.filter("kind = 'ExportDeclaration'")
+    listed = said.filter(F.col("text").rlike(r"^export\s*\{")).select(F.explode(F.split(F.regexp_extract("text", r"\{([^}]*)\}", 1), ",")).alias("part"), "file")
+    listed = listed.select(F.trim(F.regexp_replace("part", r"^\s*(type\s+)?([\w$]+\s+as\s+)?", "")).alias("name"), "file").filter("name <> ''")
+    named = said.filter(F.col("text").rlike(r"^export\s*\*\s*as\s")).select(F.regexp_extract("text", r"\bas\s+([\w$]+)", 1).alias("name"), "file")
+    default = said.filter("name = 'default' AND text NOT LIKE '%{%'").select(F.lit("default").alias("name"), "file")
+    own = declared.unionByName(listed).unionByName(named).unionByName(default).distinct()
+    if files is not None:
+        stars = said.filter(F.col("text").rlike(r"^export\s*\*\s*from\b")).select("file", F.col("name").alias("source_module"))
+        passed = resolve_modules(stars, files).filter("resolved_path IS NOT NULL").select(F.col("file").alias("src"), F.col("resolved_path").alias("dst"))
+        seen = reachable(passed, passed.select(F.col("src").alias("root"), F.col("src").alias("node")).distinct())
+        more = seen.select("root", F.col("node").alias("file")).join(own.filter("name <> 'default'"), "file").select("name", F.col("root").alias("file"))
+        own = own.unionByName(more).distinct()
+    return own if cap is None else own.orderBy("file", "name").limit(cap)
 
 
 def normalize_segments(path: Column) -> Column:
@@ -101,8 +117,11 @@ def call_functions(nodes: DataFrame) -> DataFrame:
     return own.select(*cols).unionByName(held.select(*cols))
 
 
-def call_edges(nodes: DataFrame, resolved: DataFrame) -> DataFrame:
-    """First call of each (target file, target function, original name) inside each function, nested functions included."""
+def call_edges(nodes: DataFrame, resolved: DataFrame, cap: int | None = None) -> DataFrame:
+    """First call of each (target file, target function, original name) inside each function, nested functions included.
+
+    cap: most functions that are looked at, in order of file and place.
+    """
     obj = F.regexp_extract(F.coalesce("callee_object", F.lit("")), r"([\w$]+)$", 1)
     c = nodes.filter("kind = 'CallExpression' AND name IS NOT NULL").withColumn("object", F.when(F.col("callee_object").isNotNull(), F.when(F.col("callee_object").rlike(r"^[\w$.]+$"), obj).otherwise("")))
     c = c.filter(~F.coalesce(F.col("object").isin(BUILTIN_OBJECTS), F.lit(False)))
@@ -116,7 +135,8 @@ def call_edges(nodes: DataFrame, resolved: DataFrame) -> DataFrame:
     c = c.withColumn("resolved_name", original).withColumn("target_file", F.when(F.col("resolved_name").isNotNull(), F.col("b.resolved_path")))
     c = c.select("file", F.col("ord").alias("call_ord"), F.col("start_off").alias("cs"), F.col("end_off").alias("ce"), F.col("start_line").alias("call_line"), F.col("name").alias("target_function"), "target_file",
                  F.when(F.col("resolved_name") != F.col("name"), F.col("resolved_name")).alias("original_name"))
-    fns = call_functions(nodes).withColumnRenamed("ord", "fn_ord")
+    fns = call_functions(nodes)
+    fns = (fns if cap is None else fns.orderBy("file", "ord").limit(cap)).withColumnRenamed("ord", "fn_ord")
     inner = fns.join(c, ["file"]).filter("cs >= start_off AND ce <= end_off AND call_ord > fn_ord")
     w = Window.partitionBy("file", "fn_ord", "target_file", "target_function", "original_name").orderBy("call_ord")
     return inner.withColumn("k", F.row_number().over(w)).filter("k = 1").select(

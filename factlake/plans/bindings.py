@@ -800,8 +800,8 @@ WITH d AS (SELECT source, source || '/' || doc_id AS file, text FROM documents W
 , h AS (
   SELECT source, file, line, 'WEBHOOK.IDEMPOTENT' AS rule, 1 AS rank, 'P1' AS severity FROM w WHERE regexp_matches(text, 'the') AND contains(text, 'and') AND NOT regexp_matches(text, '[Ee]rh')
   UNION ALL SELECT source, file, line, 'TRANSACTION.POST_COMMIT.SIDE_EFFECTS', 0, 'P0' FROM w WHERE regexp_matches(text, '!!|@') AND abuse = 0)
-, g AS (SELECT source, file, count(*) AS n, count(DISTINCT rule) = 2 AS both, first(rule ORDER BY rank, line) AS rule, min(severity) AS severity FROM h GROUP BY 1, 2 HAVING count(*) >= 2)
-SELECT source, rule AS primary_invariant, CASE WHEN both THEN 'P0' ELSE severity END AS adjusted_severity, CASE WHEN both THEN 0 END::INTEGER AS rule_no, count(*) AS n_places, sum(n)::BIGINT AS n_findings
+, g AS (SELECT source, file, count(*) AS n, count(DISTINCT rule) = 2 AS two, first(rule ORDER BY rank, line) AS rule, min(severity) AS severity FROM h GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT source, rule AS primary_invariant, CASE WHEN two THEN 'P0' ELSE severity END AS adjusted_severity, CASE WHEN two THEN 0 END::INTEGER AS rule_no, count(*) AS n_places, sum(n)::BIGINT AS n_findings
 FROM g GROUP BY 1, 2, 3, 4
 """
 
@@ -964,3 +964,36 @@ def calibration_requests(spark, d):
     k = F.col("event_id")
     e = table(spark, d, "events").select(k.alias("key"), F.col("event_type").alias("invariant_id"), F.lit("P1").alias("severity"), F.when(k % 2 == 0, F.concat(F.lit("a"), k.cast("string"))).alias("function_name"), F.concat(F.lit("s"), k.cast("string")).alias("symbol"))
     return session.calibration_request(e).select(F.col("key").alias("event_id"), "function_name")
+
+
+@query("""SELECT 'src/e' || s_suppkey || '.ts' AS file, replace(n, '#', s_suppkey::VARCHAR) AS name FROM supplier, (VALUES ('run#'), ('other'), ('again'), ('ns'), ('default'), ('base#'), ('deep')) v(n)
+  UNION ALL SELECT 'src/b' || s_suppkey || '.ts', n FROM supplier, (VALUES ('base' || s_suppkey), ('deep')) v(n) UNION ALL SELECT 'src/deep.ts', 'deep'""")
+def facts_exports(spark, d):
+    f = composed(spark, d, "supplier", "s_suppkey", "src/e", ".ts", "import { x, again } from './x';\nexport const run", "$s_suppkey", " = 1;\nexport { x as other, again };\nexport * as ns from './y';\nexport * from './b", "$s_suppkey", "';\nexport default run;\n").select("file", "text")
+    b = composed(spark, d, "supplier", "s_suppkey", "src/b", ".ts", "export function base", "$s_suppkey", "() {}\nexport * from './deep';\n").select("file", "text")
+    f = f.unionByName(b).unionByName(spark.createDataFrame([("src/deep.ts", "export const deep = 1;\n")], "file string, text string"))
+    return graph.exports(nodes_of(f), f).select("file", "name")
+
+
+@query("""SELECT CASE o_orderkey % 3 WHEN 0 THEN '=' WHEN 1 THEN '+' || (o_orderkey % 9 + 0.5)::DECIMAL(9, 1) ELSE '-' || (o_orderkey % 9 + 0.5)::DECIMAL(9, 1) END AS delta, o_orderkey FROM orders""")
+def formatted_deltas(spark, d):
+    k = F.col("o_orderkey")
+    change = F.when(k % 3 == 0, 0.0).when(k % 3 == 1, k % 9 + 0.5).otherwise(-(k % 9 + 0.5))
+    return table(spark, d, "orders").select(findings.format_delta(F.lit(50.0), F.lit(50.0) + change).alias("delta"), "o_orderkey")
+
+
+@query(f"WITH {EF} SELECT ord, severity FROM ef WHERE severity = 'P0' ORDER BY ord LIMIT 1")
+def first_blocking_finding(spark, d):
+    return findings.shown_findings(event_findings(spark, d)).select("ord", "severity")
+
+
+@query("SELECT event_id AS ord FROM events WHERE event_id % 2 = 1 AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 40 = 0) ORDER BY event_id LIMIT 20")
+def shown_new_findings(spark, d):
+    g = table(spark, d, "events").select(F.col("event_type").alias("invariant_id"), F.col("user_id").cast("string").alias("file"), F.lit(1).alias("line"), F.col("event_id").alias("ord"))
+    return findings.shown_changes(findings.golden_changes(g.filter("ord % 40 = 0"), g.filter("ord % 2 = 1"))[0]).select("ord")
+
+
+@query("SELECT min(s_suppkey) AS ord, 'f3' AS framework FROM supplier WHERE s_suppkey % 7 = 3")
+def baseline_of_framework(spark, d):
+    b = table(spark, d, "supplier").select(F.concat(F.lit("f"), (F.col("s_suppkey") % 7).cast("string")).alias("framework"), F.col("s_suppkey").alias("ord"))
+    return findings.framework_baseline(b, "f3").select("ord", "framework")

@@ -273,6 +273,8 @@ class Parser:
             elif self.k[i] == "id" and v == "import" and where[i] == -1 and self.val(i + 1) != "(":
                 end = next((j for j in range(i + 1, self.n) if self.k[j] == "str" or self.v[j] == ";"), i)
                 self.add("ImportDeclaration", i, end, self.v[end].strip("'\"") if self.k[end] == "str" else None)
+            elif self.k[i] == "id" and v == "export" and where[i] == -1 and self.val(i + 1) in ("default", "{", "*"):
+                self._export(i)
             elif self.k[i] == "id" and v == "try" and self.val(i + 1) == "{":
                 self._try(i)
             elif v == ":" and self.k[i] == "op" and where[i] >= 0 and self.brace.get(where[i]) == "object":
@@ -282,6 +284,18 @@ class Parser:
                 if key >= 1 and (self.v[key - 1] in (",", "{")) and i + 1 < self.n:
                     self.add("PropertyAssignment", key, self.expression_end(i + 1), self.v[i - 1].strip("'\"`"), value=i + 1)
 
+    def _export(self, i: int) -> None:
+        """``export default``, ``export { .. }`` and ``export *``, the latter two with their module as name if they have one."""
+        if self.val(i + 1) == "default":
+            self.add("ExportDeclaration", i, i + 1, "default")
+            return
+        end = self.p.get(i + 1, i + 1)
+        if self.val(end + 1) == "as":
+            end += 2
+        module = self.val(end + 1) == "from" and self.kind(end + 2) == "str"
+        end += 2 if module else 0
+        self.add("ExportDeclaration", i, end, self.v[end].strip("'\"`") if module else None)
+
     def _variables(self, i: int) -> None:
         exported, at = self.exported(i), i + 1
         while at < self.n:
