@@ -307,18 +307,24 @@ def detect_provider(context: Column, text: Column) -> Column:
     return first_match([(any_of(map(has, yes)) & ~any_of(map(has, no)), p) for p, yes, no in T.PROVIDERS], "generic")
 
 
+def _first_found(text: Column, rows: list[tuple[str, str, str]], names: tuple[str, str], *wanted: Column) -> Column:
+    """Of (key, pattern, name) the name and matched text of the first that matches under the first key with any match.
+
+    A loop over a constant array: far less generated code than a branch for each pattern.
+    """
+    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(js_regex(p, "i")).alias("run"), F.lit(n).alias("n")) for k, p, n in rows])
+    hit = F.filter(table, lambda r: r["k"].isin(*wanted) & F.coalesce(F.call_function("rlike", text, r["run"]), F.lit(False)))
+    under = lambda key: F.get(F.filter(hit, lambda r: r["k"] == key), 0)
+    first = F.coalesce(*map(under, wanted))
+    return F.when(first.isNotNull(), F.struct(first["n"].alias(names[0]), F.call_function("regexp_extract", text, first["run"], F.lit(0)).alias(names[1]))).otherwise(
+        F.struct(F.lit("none").alias(names[0]), F.lit(None).cast("string").alias(names[1]))
+    )
+
+
 def _method(provider: Column, text: Column, table: dict) -> Column:
     """struct(method, location): the provider's list, then the generic one, else ``none``."""
-    def of(pairs):
-        return [(test(text, p), F.struct(F.lit(m).alias("method"), F.regexp_extract(text, js_regex(p, "i"), 0).alias("location"))) for p, m in pairs]
-
-    none = F.struct(F.lit("none").alias("method"), F.lit(None).cast("string").alias("location"))
-    generic = first_match(of(table["generic"]), none)
-    out = generic
-    for name, pairs in table.items():
-        if name != "generic":
-            out = F.when(provider == name, first_match(of(pairs), generic)).otherwise(out)
-    return out
+    rows = [(name, p, m) for name, pairs in table.items() for p, m in pairs]
+    return _first_found(text, rows, ("method", "location"), provider, F.lit("generic"))
 
 
 def event_id_extraction(provider: Column, text: Column) -> Column:
@@ -331,8 +337,7 @@ def signature_verification(provider: Column, text: Column) -> Column:
 
 def persistence_marker(text: Column) -> Column:
     rows = [(p, "database") for p in T.PERSIST_DATABASE] + [(p, "cache") for p in T.PERSIST_CACHE] + [(p, "database") for p in T.PERSIST_WRAPPERS]
-    none = F.struct(F.lit("none").alias("type"), F.lit(None).cast("string").alias("location"))
-    return first_match([(test(text, p), F.struct(F.lit(k).alias("type"), F.regexp_extract(text, js_regex(p, "i"), 0).alias("location"))) for p, k in rows], none)
+    return _first_found(text, [("all", p, k) for p, k in rows], ("type", "location"), F.lit("all"))
 
 
 def has_webhook_idempotency(text: Column) -> Column:

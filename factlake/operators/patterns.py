@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.matching import all_of, glob_any, matches, matches_all, matches_any, matches_none
+from ..functions.matching import all_of, first_match, glob_any, matches, matches_all, matches_any, matches_none
 
 # Folders that globs never enter, and the default source glob.
 IGNORED = ["**/node_modules/**", "**/.git/**", "**/.next/**", "**/dist/**", "**/build/**", "**/out/**", "**/.turbo/**", "**/coverage/**", "**/.cache/**"]
@@ -250,18 +250,58 @@ def pattern_stats(patterns: list[dict]) -> dict[str, int]:
 
 
 def match_pattern(pattern: dict, files: DataFrame, nodes: DataFrame, facts: dict[str, DataFrame], packages: DataFrame | None = None, changed: Sequence[str] | None = None) -> DataFrame:
-    spark = files.sparkSession
-    empty = spark.createDataFrame([], MATCH)
-    app, det, pid = pattern.get("applicability") or {}, pattern.get("detection"), pattern["id"]
-    if not det:
-        return empty
-    base = candidates(files, facts, pattern, changed)
-    if (app.get("filePatterns") or changed) and base.isEmpty():
-        return empty
-    if not has_dependencies(base, packages, app.get("requiredDependencies") or []) or vetoed(base, app.get("excludePatterns") or []):
-        return empty
-    parts = [empty]
-    for c in det.get("artifactConditions") or []:
+    return apply_patterns([pattern], files, nodes, facts, packages, changed)
+
+
+def _numbers(conds: list[tuple[int, Column]]) -> Column:
+    """The numbers whose conditions hold."""
+    return F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in conds])) if conds else F.array().cast("array<int>")
+
+
+class _Files:
+    """Files with what decides for all patterns at once which of them each one looks at."""
+
+    def __init__(self, patterns: list[dict], files: DataFrame, facts: dict[str, DataFrame], changed: Sequence[str] | None):
+        self.patterns, file = patterns, F.col("file")
+        self.inside = [as_list((c.get("context") or {}).get("inFiles")) for p in patterns for c in p["detection"].get("codePatterns") or []]
+        globs = [(p.get("applicability") or {}).get("filePatterns") or [] for p in patterns]
+        rows = files.withColumn("_ok", ~glob_any(file, IGNORED))
+        by_facts = bool(facts) and not all(globs) and not fact_files(facts).isEmpty()
+        if by_facts:
+            rows = rows.join(fact_files(facts).withColumn("_fact", F.lit(True)), "file", "left")
+        rest = F.coalesce(F.col("_fact"), F.lit(False)) if by_facts else F.col("_ok") & glob_any(file, SOURCE_GLOBS)
+        picked = file.isin(list(changed)) if changed else F.lit(True)
+        base = [(F.col("_ok") & glob_any(file, g) if g else rest) & picked for g in globs]
+        self.rows = rows.withColumn("_base", _numbers(list(enumerate(base))))
+        self.base = [F.array_contains("_base", i) for i in range(len(patterns))]
+        exclude = [(p.get("applicability") or {}).get("excludePatterns") or [] for p in patterns]
+        veto = [b & (F.coalesce("text", F.lit("")) != "") & matches_any(F.col("text"), e) if e else F.lit(False) for b, e in zip(self.base, exclude, strict=True)]
+        within = [F.col("_ok") & glob_any(file, g) if g else F.lit(False) for g in self.inside]
+        some = lambda conds: F.array(*[F.coalesce(F.bool_or(c), F.lit(False)) for c in conds]) if conds else F.array().cast("array<boolean>")
+        seen = self.rows.agg(some(self.base).alias("base"), some(veto).alias("veto"), some(within).alias("within")).first()
+        self.has_base, self.vetoed, self.has_within, self.within = seen["base"], seen["veto"], seen["within"], within
+        self.required = [bool(g or changed) for g in globs]
+
+    def met(self, packages: DataFrame | None) -> list[bool]:
+        """For each pattern, whether the packages nearest to its files, or else the root one, hold all it requires."""
+        wanted = [(p.get("applicability") or {}).get("requiredDependencies") or [] for p in self.patterns]
+        if packages is None or not any(wanted):
+            return [not w for w in wanted]
+        near = nearest_ancestor(self.rows.select("file").distinct(), packages)
+        have = self.rows.select("file", "_base").join(near, "file").join(packages, "folder")
+        # Of the names only those that are required come to the driver.
+        found = have.agg(F.array(*[
+            F.struct(F.array_distinct(F.flatten(F.collect_set(F.when(b, F.array_intersect("deps", F.array(*map(F.lit, w or [""]))))))).alias("got"), F.coalesce(F.bool_or(b & (F.size("deps") > 0)), F.lit(False)).alias("any"))
+            for b, w in zip(self.base, wanted, strict=True)
+        ]).alias("v")).first()["v"]
+        every = sorted({d for w in wanted for d in w})
+        root = {r["d"] for r in packages.filter("folder = ''").select(F.explode("deps").alias("d")).filter(F.col("d").isin(every)).distinct().collect()}
+        return [set(w) <= (set(f["got"] or []) or (set() if f["any"] else root)) for f, w in zip(found, wanted, strict=True)]
+
+
+def _artifact_matches(pattern: dict, facts: dict[str, DataFrame]) -> list[DataFrame]:
+    parts, pid = [], pattern["id"]
+    for c in pattern["detection"].get("artifactConditions") or []:
         cond = c.get("conditions") or {}
         got = None
         if c["type"] == "service" and "services" in facts:
@@ -272,21 +312,79 @@ def match_pattern(pattern: dict, files: DataFrame, nodes: DataFrame, facts: dict
             got = match_webhook(pid, cond, facts["webhook_handlers"])
         if got is not None:
             parts.append(got)
-    ranges = function_ranges(nodes)
-    for code in det.get("codePatterns") or []:
-        inside = as_list((code.get("context") or {}).get("inFiles"))
-        cands = intersect_or_all(base, files.filter(glob_any(F.col("file"), inside) & ~glob_any(F.col("file"), IGNORED))) if inside else base
-        parts.append(match_code(pid, code, lines_of(cands), ranges, cands))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return parts
 
 
 def apply_patterns(patterns: list[dict], files: DataFrame, nodes: DataFrame, facts: dict[str, DataFrame], packages: DataFrame | None = None, changed: Sequence[str] | None = None) -> DataFrame:
+    """Matches of all patterns. Files, packages and lines are each read once for all of them, whatever their number.
+
+    Which patterns are on at all is told by one aggregate over the files and one over their packages.
+    """
     out = files.sparkSession.createDataFrame([], MATCH)
-    for p in patterns:
-        out = out.unionByName(match_pattern(p, files, nodes, facts, packages, changed))
+    live = [p for p in patterns if p.get("detection")]
+    if not live:
+        return out
+    f = _Files(live, files, facts, changed)
+    on = [m and not v and (b or not need) for m, v, b, need in zip(f.met(packages), f.vetoed, f.has_base, f.required, strict=True)]
+    codes: list[tuple[str, dict, Column]] = []
+    k = 0
+    for i, p in enumerate(live):
+        for part in _artifact_matches(p, facts) if on[i] else []:
+            out = out.unionByName(part)
+        for code in p["detection"].get("codePatterns") or []:
+            cands = f.base[i]
+            if f.inside[k] and f.has_within[k]:  # an empty side constrains nothing
+                cands = cands & f.within[k] if f.has_base[i] else f.within[k]
+            if on[i]:
+                codes.append((p["id"], code, cands))
+            k += 1
+    return out.unionByName(_code_matches(codes, f.rows, function_ranges(nodes))) if codes else out
+
+
+def _code_matches(codes: list[tuple[str, dict, Column]], files: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Matches of code patterns (pattern id, code, condition on files), all in one pass over the lines."""
+    number = F.col("_code")
+    context = [c.get("context") or {} for _, c, _ in codes]
+    of = files.withColumn("_codes", _numbers([(i, c) for i, (_, _, c) in enumerate(codes)])).filter(F.size("_codes") > 0)
+    ls = of.select("file", "_codes", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n", -1)).alias("i", "text")).select("file", "_codes", (F.col("i") + 1).alias("line"), "text")
+    t, conds = F.col("text"), []
+    for i, (_, code, _) in enumerate(codes):
+        cond = F.array_contains("_codes", i) & matches(t, code["pattern"]) & matches_all(t, as_list(code.get("and"))) & matches_none(t, as_list(code.get("not")))
+        if code.get("requiresNearby"):
+            ls, near = nearby(ls, code["requiresNearby"])
+            # The next pattern's flags have the same names.
+            ls = ls.withColumn(f"_near{i}", near).drop("_any", "_not", *[c for c in ls.columns if c.startswith("_all")])
+            cond = cond & F.col(f"_near{i}")
+        conds.append((i, cond))
+    hits = enclosing(ls.select("file", "line", F.explode(_numbers(conds)).alias("_code")), ranges)
+    fits = []
+    for i, ctx in enumerate(context):
+        cond = F.lit(True)
+        if ctx.get("atFileLevel"):
+            cond = cond & F.col("fn").isNull()
+        if ctx.get("atFunctionLevel"):
+            cond = cond & F.col("fn").isNotNull()
+        if as_list(ctx.get("inFunctions")):
+            cond = cond & F.coalesce(F.col("fn.name").isin(as_list(ctx["inFunctions"])), F.lit(False))
+        fits.append((number == i, cond))
+    hits = hits.filter(first_match(fits, F.lit(False)))
+    inverted = [i for i, (_, c, _) in enumerate(codes) if c.get("invert")]
+    by_function = [i for i in inverted if context[i].get("atFunctionLevel") or as_list(context[i].get("inFunctions"))]
+    by_file = [i for i in inverted if i not in by_function]
+    pid = F.element_at(F.array(*[F.lit(p) for p, _, _ in codes]), number + 1).alias("pattern_id")
+    said = F.element_at(F.array(*[evidence(c, bool(c.get("invert"))) for _, c, _ in codes]), number + 1).alias("evidence")
+    out = hits.filter(~number.isin(inverted)).select(pid, "file", F.col("line").cast("int"), F.col("fn.name").alias("symbol"), said)
+    looked = of.select("file", F.explode("_codes").alias("_code")).distinct()
+    if by_function:
+        wanted = ranges.join(looked.filter(number.isin(by_function)), "file")
+        named = [(number == i, F.col("name").isin(as_list(context[i]["inFunctions"]))) for i in by_function if as_list(context[i].get("inFunctions"))]
+        wanted = wanted.filter(first_match(named, F.lit(True))) if named else wanted
+        h = hits.select(number.alias("hc"), F.col("file").alias("hf"), F.col("line").alias("hl"), F.col("fn.name").alias("hn"))
+        left = wanted.join(h, (number == F.col("hc")) & (F.col("file") == F.col("hf")) & (F.col("name") == F.col("hn")) & (F.col("hl") >= F.col("start_line")) & (F.col("hl") <= F.col("end_line")), "left_anti")
+        out = out.unionByName(left.select(pid, "file", F.col("start_line").cast("int").alias("line"), F.col("name").alias("symbol"), said))
+    if by_file:
+        none = looked.filter(number.isin(by_file)).join(hits.select("_code", "file").distinct(), ["_code", "file"], "left_anti")
+        out = out.unionByName(none.select(pid, "file", F.lit(1).alias("line"), F.lit(None).cast("string").alias("symbol"), said))
     return out
 
 
