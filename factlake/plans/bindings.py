@@ -997,3 +997,12 @@ def shown_new_findings(spark, d):
 def baseline_of_framework(spark, d):
     b = table(spark, d, "supplier").select(F.concat(F.lit("f"), (F.col("s_suppkey") % 7).cast("string")).alias("framework"), F.col("s_suppkey").alias("ord"))
     return findings.framework_baseline(b, "f3").select("ord", "framework")
+
+
+@query("""SELECT 'f' || event_id AS file, CASE WHEN event_id % 2 = 1 THEN 'added' WHEN event_id % 3 = 0 THEN 'changed' ELSE 'removed' END AS change FROM events WHERE event_id % 2 = 1 OR event_id % 5 <> 0""")
+def watched_changes(spark, d):
+    k = F.col("event_id")
+    e = table(spark, d, "events").select(F.concat(F.lit("f"), k.cast("string")).alias("file"), F.col("ts").cast("timestamp").alias("modified"), k)
+    before = e.filter("event_id % 2 = 0").select("file", F.lit(1).alias("size"), "modified")
+    after = e.filter("event_id % 2 = 1 OR event_id % 3 = 0 OR event_id % 5 = 0").select("file", F.when((k % 3 == 0) & (k % 5 != 0), 2).otherwise(1).alias("size"), "modified")
+    return watch.changes(before, after)

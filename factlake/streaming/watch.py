@@ -1,4 +1,8 @@
-"""Watching a source tree: a micro-batch query over new files, in place of polling and full re-scans."""
+"""Watching a source tree: a micro-batch query over new files, and rounds over what changed since the last snapshot.
+
+The stream sees each path once. ``changes`` compares two snapshots of a tree, so it also sees edits of known
+files and files that went; ``scan_changes`` is one round of it with its state in a folder.
+"""
 
 from __future__ import annotations
 
@@ -49,3 +53,30 @@ def line_scan(pattern_id: str, code: dict) -> Callable[[DataFrame], DataFrame]:
         return match_code(pattern_id, code, lines_of(df), ranges, df)
 
     return scan
+
+
+def snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """file, size, modified of every file of a tree; contents are not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return listed.select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """file, change (added, changed, removed) between two snapshots."""
+    a, b = (df.select("file", F.struct("size", "modified").alias(n)) for df, n in ((before, "was"), (after, "now")))
+    kind = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "changed")
+    return a.join(b, "file", "full_outer").select("file", kind.alias("change")).filter("change IS NOT NULL")
+
+
+def scan_changes(spark: SparkSession, folder: str, state: str, number: int, scan: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Round ``number`` (from 1): (changes since the last round, findings in added and changed files).
+
+    The snapshot of a round is written below ``state`` before anything is scanned; a round that is run again replaces its own.
+    """
+    snapshot(spark, folder).write.mode("overwrite").parquet(f"{state}/snapshot={number}")
+    after = spark.read.parquet(f"{state}/snapshot={number}")
+    before = spark.read.parquet(f"{state}/snapshot={number - 1}") if number > 1 else after.limit(0)
+    found = changes(before, after)
+    texts = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(folder).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    live = found.filter("change <> 'removed'").select("file")
+    return found, scan(texts.join(live, "file", "left_semi"))

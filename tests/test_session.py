@@ -36,3 +36,24 @@ def test_catalogue(spark):
     assert catalogue.catalogue(spark).count() == 100 and len(catalogue.RULES) == 101
     assert catalogue.catalogue(spark, "P2").count() == 1
     assert catalogue.explain(spark, "jobs.retry_safe")[0].startswith("JOBS.RETRY_SAFE (P1")
+
+
+def test_edits_of_known_files_are_seen(spark, tmp_path):
+    import os
+
+    from factlake.plans.bindings import CODE
+    from factlake.streaming import watch
+
+    tree, state = tmp_path / "tree", str(tmp_path / "state")
+    tree.mkdir()
+    (tree / "a.ts").write_text("the one and the other")
+    (tree / "b.ts").write_text("nothing")
+    scan = watch.line_scan("p", CODE)
+    found, hits = watch.scan_changes(spark, str(tree), state, 1, scan)
+    assert {r["change"] for r in found.collect()} == {"added"} and hits.count() == 1
+    (tree / "b.ts").write_text("now the word and more")
+    os.utime(tree / "b.ts", (2_000_000_000, 2_000_000_000))
+    (tree / "a.ts").unlink()
+    found, hits = watch.scan_changes(spark, str(tree), state, 2, scan)
+    assert {(r["file"][-4:], r["change"]) for r in found.collect()} == {("b.ts", "changed"), ("a.ts", "removed")}
+    assert [r["file"][-4:] for r in hits.collect()] == ["b.ts"]
