@@ -375,12 +375,33 @@ def test_pii_query_and_tagger(spark, docs, odd, none):
     text = "call me at (555) 123-4567 or from 192 . 168 . 1 . 20 please"
     spans = {(k, text[s:e]) for k, s, e, _ in pii.tagged_spans([text], tagger)[0]}
     assert ("phone", "(555) 123-4567") in spans
-    r, right, total = np.random.default_rng(123), 0, 0
-    for _ in range(60):
-        s, y = pii.labelled(r, 120)
-        path = tagger.decode(pii.encode(s)[None])[0][0]
-        right, total = right + int((path == y).sum()), total + len(y)
-    assert right / total > 0.93
+    # Forms of the review, and one that stood in the overlap of two windows.
+    for text, kind, span in [
+        ("pay with 4111.1111.1111.1111 now", "card", "4111.1111.1111.1111"), ("or 4111  1111  1111  1111 then", "card", "4111  1111  1111  1111"),
+        ("on the " * 109 + "line (555) 123-4567 is", "phone", "(555) 123-4567"),
+    ]:
+        assert (kind, span) in {(k, text[s:e]) for k, s, e, _ in pii.tagged_spans([text], tagger)[0]}, text
+
+
+def test_spans_of_fresh_sentences():
+    """Recall and precision of whole spans on sentences that no training step saw."""
+    tagger, r = pii.trained(), np.random.default_rng(77)
+    found = missed = false = 0
+    for _ in range(250):
+        s, y = pii.labelled(r, 150)
+        begin = np.flatnonzero(y % 2 == 1)
+        want = set()
+        for b in begin:
+            e = b + 1
+            while e < len(y) and y[e] == y[b] + 1:
+                e += 1
+            if e < len(y):
+                want.add((pii.KINDS[(y[b] - 1) // 2], int(b), int(e)))
+        got = {(k, a, b) for k, a, b, _ in pii.tagged_spans([s], tagger)[0] if b < len(s) - 20}
+        found += len(got & want)
+        false += len(got - want)
+        missed += len([w for w in want - got if w[2] < len(s) - 20])
+    assert found / (found + missed) > 0.85 and found / (found + false) > 0.95, (found, missed, false)
 
 
 def test_spans_at_window_edges_are_whole():
@@ -400,14 +421,14 @@ def test_spans_at_window_edges_are_whole():
             begin = on & ~np.concatenate([np.zeros((len(on), 1), bool), on[:, :-1]], 1)
             return np.where(begin, 1, np.where(on, 2, 0)), np.ones(on.shape)
 
-    seen, plausible = [], pii.plausible
+    seen, holds = [], pii.holds
     try:
-        pii.plausible = lambda kind, s: True
+        pii.holds = lambda kind, s: True
         for start, n in [(90, 80), (150, 159), (40, 700), (0, 300), (500, 20)]:
             text = "x" * start + "@" * n + "x" * 400
             seen.append([(s, e) for _, s, e, _ in pii.tagged_spans([text], Marks())[0]] == [(start, start + n)])
     finally:
-        pii.plausible = plausible
+        pii.holds = holds
     assert all(seen), seen
 
 
