@@ -77,6 +77,7 @@ ORACLES: dict[str, str] = {
     "op2_entropy_mixing": mixing.SQL,
     "op3_ngram_jaccard_join": ngram_join.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op7_suffix_array_dedup": suffix_dedup.SQL,
     "op9_recompression_dedup": recompression.SQL,
     "op10_topk_search": topk.SQL,
 }

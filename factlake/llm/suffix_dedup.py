@@ -237,3 +237,20 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, with_text: b
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return ranged.mapInArrow(light(cut), schema + ", spans array<struct<start: long, end: long>>, kept binary" * with_text)
+
+
+#: Over the bytes as hex digits; windows of WINDOW bytes are told apart by a hash.
+SQL = r"""
+WITH n AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents)
+, w AS (SELECT doc_id, s, hash(substr(h, 2 * s + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS s FROM n WHERE n >= 200))
+, r AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1)
+, i AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 200 THEN 0 ELSE 1 END AS first FROM r)
+, g AS (SELECT doc_id, s, sum(first) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM i)
+, p AS (SELECT doc_id, min(s) AS a, max(s) + 200 AS b FROM g GROUP BY doc_id, g)
+, q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM p)
+, k AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS gone, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM q JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT n.doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM n LEFT JOIN k USING (doc_id)
+"""
