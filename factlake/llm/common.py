@@ -9,6 +9,7 @@ import os
 import re
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -47,11 +48,12 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str, after: tuple[DataFrame, ...] = ()) -> DataFrame:
+def stage(df: DataFrame, name: str, after: tuple[DataFrame, ...] = (), rest: float = 0) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors.
 
     after: staged tables that nothing needs any more once this one is written; their files go.
-    Shuffle files of the finished job are released at once instead of at some later collection.
+    rest: seconds to wait for the cleaner. Shuffle files of the finished job are released at once instead of at some later
+    collection, but by a thread of their own.
     """
     spark = df.sparkSession
     path = new_dir(spark, name)
@@ -63,6 +65,7 @@ def stage(df: DataFrame, name: str, after: tuple[DataFrame, ...] = ()) -> DataFr
     jvm = getattr(spark.sparkContext, "_jvm", None)
     if jvm is not None:
         jvm.System.gc()
+        time.sleep(rest)
     return out
 
 

@@ -8,7 +8,8 @@ symbol becomes a symbol) and pair compression (neighbours whose names have coins
 Only symbols of at most ACTIVE words take part in a round, so what becomes of a symbol depends on that many words
 around it: of a window of equal words, the symbols between its zone's ends (``ZONES`` words from
 either edge after each round) are the same wherever it occurs. What occurs once has the name 0; a window
-with such a symbol inside its zone occurs once.
+with such a symbol inside its zone occurs once, and words that only such windows hold are dropped after the words
+and after each pair compression.
 
 What is left is anchored: a window takes the longest symbol in its zone, of these the one with the smallest hash. One more
 round asks which anchors are shared, together with the words around them that every window of the anchor holds. Windows
@@ -48,6 +49,8 @@ CHUNK = 1 << 20
 ACTIVE = (1, 2)
 #: Places of an anchor from which its windows are dealt one by one.
 HOT = 1 << 16
+#: Seconds between rounds in which Spark's cleaner drops the shuffle files of the last one.
+REST = 0.7
 #: Bytes of a text whose words are held at once.
 PIECE = 1 << 20
 
@@ -73,21 +76,34 @@ def zones(active=ACTIVE) -> list[int]:
 # --- packed numbers -------------------------------------------------------------------------
 
 
+_CODEC = "zstd"
+
+
 def pack(x: np.ndarray) -> bytes:
-    """Whole numbers >= 0 in as few bytes each as the largest needs, lowest bytes of all first."""
+    """Whole numbers >= 0 in as few bytes each as the largest needs, lowest bytes of all first, compressed: Spark's own shuffle codec leaves such bytes as they are."""
     x = np.ascontiguousarray(x, np.uint64)
     width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return bytes([width]) + len(planes).to_bytes(8, "little") + pa.compress(planes, _CODEC, asbytes=True)
 
 
 def unpack(b: bytes) -> np.ndarray:
-    width = b[0]
-    planes = np.frombuffer(b, np.uint8, offset=1).reshape(width, -1)
+    width, size = b[0], int.from_bytes(b[1:9], "little")
+    planes = np.frombuffer(pa.decompress(b[9:], size, _CODEC, asbytes=True), np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
     return out.view(np.uint64).ravel()
 
 
+def pack_rising(x: np.ndarray) -> bytes:
+    """Numbers that never fall, as their differences."""
+    return pack(np.diff(x, prepend=np.uint64(0)))
+
+
+def unpack_rising(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b), dtype=np.uint64)
+
+
 def _table(rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist([{f: r.get(f) for f in SCHEMA.names} for r in rows], schema=SCHEMA)
 
@@ -108,21 +124,52 @@ class Chunk:
     def stops(self) -> np.ndarray:
         return np.append(self.starts[1:], self.size)
 
-    def row(self) -> dict:
+    def living(self, window: int) -> np.ndarray:
+        """Starts of the windows that may occur again."""
+        start = np.arange(max(self.size - window + 1, 0))
+        end = np.repeat(self.ends, np.diff(np.append(0, self.ends)))
+        return start[~self.dead[: len(start)] & (start + window <= end[: len(start)])]
+
+    def compact(self, words: np.ndarray, window: int) -> tuple[Chunk, np.ndarray]:
+        """Only the symbols that living windows touch; each stretch of them is a part."""
+        s = self.living(window)
+        held = covered(self.size, s, s + window)
+        symbols = np.logical_or.reduceat(held, self.starts) if len(self.starts) else np.zeros(0, bool)
+        keep = np.repeat(symbols, self.stops - self.starts)
+        first = keep.copy()
+        first[1:] &= ~keep[:-1]
+        border = np.append(0, self.ends[:-1])
+        border = border[border < self.size]
+        first[border] = keep[border]
+        a = np.flatnonzero(first)
+        place = np.cumsum(keep) - 1
+        part = np.searchsorted(self.ends, a, "right")
+        offsets = self.offsets[part] + a - np.append(0, self.ends[:-1])[part]
+        ends = np.append(place[a], int(keep.sum()))[1:] if len(a) else np.zeros(0, np.int64)
+        return Chunk(self.number, self.docs[part], offsets, ends, place[self.starts[symbols]], self.names[symbols], self.dead[keep]), words[keep]
+
+    def row(self, whole: bool = False) -> dict:
+        """As a row; a symbol of one word has that word's name, so only names of longer ones are put down unless ``whole``."""
+        names = self.names if whole else self.names[self.stops - self.starts > 1]
         mark = np.zeros(self.size, bool)
         mark[self.starts] = True
         return {
             "kind": "state", "chunk": self.number, "docs": self.docs.astype("<i8").tobytes(), "offsets": pack(self.offsets), "ends": pack(self.ends),
-            "starts": np.packbits(mark).tobytes(), "names": pack(self.names), "dead": np.packbits(self.dead).tobytes(),
+            "starts": np.packbits(mark).tobytes(), "names": pack(names), "dead": np.packbits(self.dead).tobytes(),
         }
 
     @staticmethod
-    def of(row: dict) -> Chunk:
+    def of(row: dict, words: np.ndarray | None = None) -> Chunk:
         ends = unpack(row["ends"]).astype(np.int64)
         n = int(ends[-1]) if len(ends) else 0
         starts = np.flatnonzero(np.unpackbits(np.frombuffer(row["starts"], np.uint8), count=n))
         dead = np.unpackbits(np.frombuffer(row["dead"], np.uint8), count=n).astype(bool)
-        return Chunk(row["chunk"], np.frombuffer(row["docs"], "<i8"), unpack(row["offsets"]).astype(np.int64), ends, starts, unpack(row["names"]), dead)
+        names = unpack(row["names"])
+        if words is not None:
+            longer = np.append(starts[1:], n) - starts > 1
+            given, names = names, words[starts]
+            names[longer] = given
+        return Chunk(row["chunk"], np.frombuffer(row["docs"], "<i8"), unpack(row["offsets"]).astype(np.int64), ends, starts, names, dead)
 
     def same_part(self) -> np.ndarray:
         """Whether a symbol and its successor are in one part (the last one is not)."""
@@ -214,7 +261,7 @@ class _Maker:
         bucket = np.fromiter((zlib.crc32(w) % self.buckets for w in words), np.int64, len(words))
         many = np.bincount(ids, minlength=len(words)) > 1
         docs, offsets = (np.array(x, np.int64) for x in zip(*self.parts, strict=True))
-        state = Chunk(self.number, docs, offsets, np.array(self.ends, np.int64), np.arange(len(ids)), ids, np.zeros(len(ids), bool)).row()
+        state = Chunk(self.number, docs, offsets, np.array(self.ends, np.int64), np.arange(len(ids)), ids, np.zeros(len(ids), bool)).row(True)
         rows = [state | {"other": pack(bucket)}]
         order = np.argsort(bucket, kind="stable")
         for a, b in zip(*runs(bucket[order]), strict=True):
@@ -304,7 +351,7 @@ def _dealt(left: np.ndarray, right: np.ndarray, buckets: int) -> tuple[np.ndarra
 def _asks(c: Chunk, left, right, times, buckets: int) -> list[dict]:
     order, bucket = _dealt(left, right, buckets)
     return [
-        {"kind": "ask", "chunk": c.number, "bucket": int(bucket[order[a]]), "names": pack(left[order[a:b]]), "other": pack(right[order[a:b]]), "many": pack(times[order[a:b]])}
+        {"kind": "ask", "chunk": c.number, "bucket": int(bucket[order[a]]), "names": pack_rising(left[order[a:b]]), "other": pack(right[order[a:b]]), "many": pack(times[order[a:b]])}
         for a, b in zip(*runs(bucket[order]), strict=True)
     ]
 
@@ -313,7 +360,7 @@ def answer_keys(buckets: int, round_no: int, rounds: int, hot: int | None = None
     """Names of keys that occur more than once; with ``hot`` only 1, or 2 for those with more places than that."""
 
     def answer(t: pa.Table) -> pa.Table:
-        left = [unpack(b) for b in t.column("names").to_pylist()]
+        left = [unpack_rising(b) for b in t.column("names").to_pylist()]
         right = [unpack(b) for b in t.column("other").to_pylist()]
         sizes = np.cumsum([len(x) for x in left])[:-1]
         x, y = np.concatenate(left), np.concatenate(right)
@@ -362,9 +409,7 @@ def _found(c: Chunk, step: int, active: tuple[int, ...]):
 
 def anchors(c: Chunk, words: np.ndarray, window: int, zone: int):
     """For each living window in order: (start, first and end word of its anchor, key). Without a symbol in the zone the zone itself is the anchor."""
-    n = c.size
-    part_end = np.repeat(c.ends, np.diff(np.append(0, c.ends)))
-    s = np.flatnonzero(~c.dead[: max(n - window + 1, 0)] & (np.arange(max(n - window + 1, 0)) + window <= part_end[: max(n - window + 1, 0)]))
+    n, s = c.size, c.living(window)
     room = window - 2 * zone
     first, end = np.full(len(s), -1, np.int64), np.zeros(len(s), np.int64)
     length = c.stops - c.starts
@@ -380,8 +425,9 @@ def anchors(c: Chunk, words: np.ndarray, window: int, zone: int):
     none = first < 0
     first[none], end[none] = s[none] + zone, s[none] + zone + room
     sums = Sums(mix64(words))
-    # Words that each window of the anchor holds: from zone words before it to zone words behind it.
-    key = sums.of(first - zone, end + zone)
+    # Words that each window of the anchor holds: from zone words before it to zone words behind it. The key only
+    # brings windows together, so 48 bits of it do.
+    key = sums.of(first - zone, end + zone) >> np.uint64(16)
     return s, first, end, key, sums
 
 
@@ -399,7 +445,7 @@ def stretches(c: Chunk, s, first, key, kind, words: np.ndarray, window: int, sum
     at = np.flatnonzero(new)
     start, count = s[at], np.diff(np.append(at, len(s)))
     off = np.where(hot[at], 0, first[at] - start)
-    key = np.where(hot[at], mix64(sums.of(start, start + window) ^ _COIN), key[at])
+    key = np.where(hot[at], mix64(sums.of(start, start + window) ^ _COIN) >> np.uint64(16), key[at])
     with np.errstate(over="ignore"):
         same = mix64(sums.of(start, start + count - 1 + window) + mix64(key) * _LEFT + (off * 4096 + count).astype(np.uint64) * _RIGHT)
     _, lead, cls = np.unique(same, return_index=True, return_inverse=True)
@@ -431,7 +477,7 @@ def settle(window: int) -> Callable:
         bucket = rows[0]["bucket"]
         key, count, words, doc, at, sizes = [], [], [], [], [], []
         for r in rows:
-            k = np.frombuffer(r["names"], "<u8")
+            k = unpack(r["names"])
             key.append(k)
             count.append(unpack(r["offsets"]).astype(np.int64))
             doc.append(np.frombuffer(r["docs"], "<i8"))
@@ -485,31 +531,38 @@ def removed_ranges(docs: DataFrame, window: int, active: tuple[int, ...], chunk:
         k, times = np.unique(key, return_counts=True)
         return _asks(c, k, np.zeros(len(k), np.uint64), times, buckets)
 
+    def held(t: pa.Table) -> tuple[Chunk, np.ndarray]:
+        got = _kinds(t)
+        words = unpack(got["words"]["names"])
+        return Chunk.of(got["state"], words), words
+
+    def out(c: Chunk, words: np.ndarray, step: int) -> pa.Table:
+        """State, words and questions of the next round; nothing of a chunk that has no window left."""
+        if not c.size:
+            return _table([])
+        return _table([c.row(), {"kind": "words", "chunk": c.number, "names": pack(words)}, *ask(c, step + 1, words)])
+
     def name_words(t: pa.Table, replies: pa.Table) -> pa.Table:
         row = _kinds(t)["state"]
         c, bucket = Chunk.of(row), unpack(row["other"]).astype(np.int64)
         c.names = _received(replies, np.argsort(bucket, kind="stable"), bucket)[c.names.astype(np.int64)]
         c.bury(window, 0)
-        return _table([c.row(), {"kind": "words", "chunk": c.number, "names": pack(c.names)}, *ask(c, 1, c.names)])
+        return out(*c.compact(c.names, window), 0)
 
     def compress(step: int) -> Callable:
         def run(t: pa.Table, replies: pa.Table) -> pa.Table:
-            got = _kinds(t)
-            c = Chunk.of(got["state"])
+            c, words = held(t)
             a, n, (left, right, place, _) = _found(c, step, active)
             names = _received(replies, *_dealt(left, right, buckets))
             _compressed(c, a, n, names[place])
             c.bury(window, edge[step])
-            words = unpack(got["words"]["names"]) if step == last else c.names
-            out = [c.row(), *ask(c, step + 1, words)]
-            return _table(out + ([got["words"]] if step == last else []))
+            return out(*(c.compact(words, window) if step % 2 == 0 else (c, words)), step)
 
         return run
 
     def members(t: pa.Table, replies: pa.Table) -> pa.Table:
         """Classes of stretches with shared anchors: their words go to the anchors' buckets, their places stay."""
-        got = _kinds(t)
-        c, words = Chunk.of(got["state"]), unpack(got["words"]["names"])
+        c, words = held(t)
         s, first, _, key, sums = anchors(c, words, window, edge[-1])
         k, place = np.unique(key, return_inverse=True)
         kind = _received(replies, *_dealt(k, np.zeros(len(k), np.uint64), buckets))[place]
@@ -535,7 +588,7 @@ def removed_ranges(docs: DataFrame, window: int, active: tuple[int, ...], chunk:
             m = count[of] + window - 1
             flat = np.repeat(start[of], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             rows.append(
-                {"kind": "ask", "chunk": c.number, "bucket": int(bucket[order[a]]), "names": key[of].astype("<u8").tobytes(), "offsets": pack(count[of]), "docs": doc[of].astype("<i8").tobytes(), "starts": pack(at[of]), "other": pack(words[flat])}
+                {"kind": "ask", "chunk": c.number, "bucket": int(bucket[order[a]]), "names": pack(key[of]), "offsets": pack(count[of]), "docs": doc[of].astype("<i8").tobytes(), "starts": pack(at[of]), "other": pack(words[flat])}
             )
         return _table(rows)
 
@@ -567,7 +620,7 @@ def removed_ranges(docs: DataFrame, window: int, active: tuple[int, ...], chunk:
         a, b, part = _split_at(a, b, part, ends)
         begin = np.append(0, ends[:-1])
         x, y = a - begin[part] + offsets[part], b - begin[part] + offsets[part]
-        f, g = runs(part)
+        f, g = runs(docs[part])
         return pa.Table.from_arrays(
             [
                 pa.array(docs[part[f]], pa.int64()),
@@ -582,16 +635,11 @@ def removed_ranges(docs: DataFrame, window: int, active: tuple[int, ...], chunk:
         return table.filter("kind != 'ask'").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(light(step), schema)
 
     now = stage(deal_words(docs.select("id", "text"), window, buckets, chunk), "words")
-    # The words of the chunks wait until the last level is done.
-    named = stage(round_of(now, answer_words(buckets, 0, rounds), name_words, ROWS), "named", after=(now,))
-    now, kept = named, named.filter("kind = 'words'")
+    now = stage(round_of(now, answer_words(buckets, 0, rounds), name_words, ROWS), "named", after=(now,), rest=REST)
     for step in range(1, last + 1):
-        rows = now.filter("kind != 'words'")
-        rows = rows.unionByName(kept) if step == last else rows
-        after = (now,) if 1 < step < last else (now, named) if step == last else ()
-        now = stage(round_of(rows, answer_keys(buckets, step, rounds), compress(step), ROWS), f"round{step}", after=after)
-    now = stage(round_of(now, answer_keys(buckets, 0, rounds, hot), members, ROWS), "members", after=(now,))
-    return stage(round_of(now, settle(window), ranges, "id long, starts binary, ends binary"), "ranges", after=(now,))
+        now = stage(round_of(now, answer_keys(buckets, step, rounds), compress(step), ROWS), f"round{step}", after=(now,), rest=REST)
+    now = stage(round_of(now, answer_keys(buckets, 0, rounds, hot), members, ROWS), "members", after=(now,), rest=REST)
+    return stage(round_of(now, settle(window), ranges, "id long, starts binary, ends binary"), "ranges", after=(now,), rest=REST)
 
 
 def _split_at(a: np.ndarray, b: np.ndarray, part: np.ndarray, ends: np.ndarray):
