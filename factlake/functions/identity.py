@@ -62,10 +62,16 @@ def place_key(invariant: Column, file: Column, line: Column) -> Column:
 
 
 def with_collision_suffix(df: DataFrame, id_col: str, order: list[str]) -> DataFrame:
-    """The second row of an id gets ``:a``, the third ``:b`` and so on (code 96 + n)."""
+    """The second row of an id gets ``:a``, the third ``:b`` and so on (code point 96 + n).
+
+    From the surrogates on, where no character stands alone, the code is written as a number. A null id stays null.
+    """
     n = F.row_number().over(Window.partitionBy(id_col).orderBy(*order)) - 1
+    code = 96 + F.col("_n")
+    # Not char(), which takes codes modulo 256.
+    sign = F.when(code < 0xD800, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(code.cast("string"))
     return df.withColumn("_n", n).withColumn(
-        id_col, F.when(F.col("_n") == 0, F.col(id_col)).otherwise(F.concat(F.col(id_col), F.lit(":"), F.char(96 + F.col("_n"))))
+        id_col, F.when(F.col("_n") == 0, F.col(id_col)).otherwise(F.concat(F.col(id_col), F.lit(":"), sign))
     ).drop("_n")
 
 
