@@ -19,6 +19,7 @@ ROUTE_GLOBS = [
     "**/app/routes/**/*.{tsx,ts,jsx,js}", "**/plugins/**/*.{ts,js}", "**/lib/**/*.{ts,js}", "**/app.{ts,js}", "**/server.{ts,js}", "**/index.{ts,js}", "**/fastify/**/*.{ts,js}",
     "**/src/**/*.ts", "**/server/middleware/**/*.ts", "**/app/server/**/*.ts", "**/app/api/**/*.ts",
 ]
+QWIK_HANDLERS = r"export\s+const\s+(onRequest|onGet|onPost|onPut|onDelete)"
 VERBS = r"\.(get|post|put|delete|patch|all|options|head)\s*\("
 HTTP = ["GET", "POST", "PUT", "DELETE", "PATCH", "OPTIONS", "HEAD"]
 # Words of authentication middleware (case-insensitive) and of file-level authentication by framework: (pattern, flags).
@@ -71,16 +72,20 @@ def _import_of(*modules: str) -> list[str]:
 
 
 def route_framework(path: Column, text: Column) -> Column:
-    """The 18-way ordered classifier; the nitro branch comes after nuxt, which takes its texts first."""
+    """The 18-way ordered classifier; the nitro branch comes after nuxt, which takes its texts first.
+
+    ``server$(`` alone makes no qwik file of one that imports vinxi, whose routes it marks as well.
+    """
     low = F.lower(text)
     has = lambda *w: any_of(F.contains(low, F.lit(x)) for x in w)
     at = lambda *w: any_of(F.contains(path, F.lit(x)) for x in w)
     handler = has("defineeventhandler", "eventhandler(")
     raw = lambda *w: any_of(F.contains(text, F.lit(x)) for x in w)
+    vinxi = has("from 'vinxi'", 'from "vinxi"', "@vinxi/", "vinxi.config")
     return first_match([
         (at("+server.", "+page.server.", "hooks.server."), "sveltekit"),
         (handler | at("/server/api/", "/server/routes/"), "nuxt"),
-        (has("routeloader$", "routeaction$", "globalaction$", "server$(", "from '@builder.io/qwik", 'from "@builder.io/qwik'), "qwik"),
+        (has("routeloader$", "routeaction$", "globalaction$", "from '@builder.io/qwik", 'from "@builder.io/qwik') | (has("server$(") & (~vinxi | test(text, QWIK_HANDLERS, "i"))), "qwik"),
         (has("apiroute", "apicontext") | F.endswith(path, F.lit(".astro")), "astro"),
         (has("createserverdata$", "createserveraction$", "from 'solid-start", 'from "solid-start'), "solid-start"),
         (has("@keystone-6", "@keystonejs", "keystone.ts") | (has("context.session") & has("access:")), "keystone"),
@@ -96,7 +101,7 @@ def route_framework(path: Column, text: Column) -> Column:
         (has("from 'hono'", 'from "hono"'), "hono"),
         (has("from 'elysia'", 'from "elysia"', "@elysiajs/", "new elysia("), "elysia"),
         (handler & ~has("nuxt") & has("nitro", "from 'h3'", 'from "h3"'), "nitro"),
-        (has("from 'vinxi'", 'from "vinxi"', "@vinxi/", "vinxi.config"), "vinxi"),
+        (vinxi, "vinxi"),
         (test(text, VERBS), "express"),
     ], "unknown")
 

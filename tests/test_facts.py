@@ -115,6 +115,24 @@ def test_routes_of_every_framework(spark):
     assert got == {k: v[1] for k, v in ROUTES.items()}
 
 
+def test_server_functions_belong_to_the_framework_that_is_imported(spark):
+    f, n = files(spark, {
+        "src/routes/v.ts": "import x from 'vinxi';\nconst go = server$(f);", "src/routes/w.ts": "import { s } from \"@vinxi/server-functions\";\nconst go = server$(async () => getCookie('auth'));",
+        "src/routes/p.ts": "const go = server$(f);", "src/routes/q.ts": "import x from 'vinxi';\nconst go = server$(f);\nexport const onPut = f;",
+    })
+    got = {(r["file"], r["line"], r["method"], r["handler_name"], r["has_auth_middleware"], r["framework"]) for r in routes.routes(f, n).collect()}
+    assert got == {("src/routes/v.ts", 2, "POST", "server$", False, "vinxi"), ("src/routes/w.ts", 2, "POST", "server$", True, "vinxi"), ("src/routes/q.ts", 3, "PUT", "onPut", False, "qwik")}
+
+
+def test_routes_of_frameworks_equal_sql_on_every_source(spark):
+    from factlake.plans import bindings
+
+    from .compare import same
+
+    # sf0.001 has ten suppliers, fewer than there are sources.
+    same(spark, bindings.QUERIES["facts_routes_of_frameworks"], bindings.ORACLES["facts_routes_of_frameworks"], "/root/testdata/sf0.01")
+
+
 def test_service_calls(spark):
     f, n = files(spark, {"src/routes/a.ts": "import { load } from '../services/user';\nrouter.get('/a', (q, s) => { load(1); mailService.send(2); other(); });", "src/services/user.ts": "export const load = 1;"})
     b = graph.resolve_modules(graph.import_bindings(n), f)
