@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -29,10 +30,13 @@ from .common import fresh, light, prepare
 
 #: The split that byte-level pre-tokenizers make (fixed value of the file format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Most bytes that remembered pieces take, and as many remembered pairs.
-REMEMBERED = 24 << 20
-#: Bytes of a remembered pair, and of a remembered piece besides 4 for each of its bytes and 36 for each id.
+#: Most bytes that remembered pieces take, and most that remembered pairs take.
+REMEMBERED, REMEMBERED_PAIRS = 96 << 20, 24 << 20
+#: Bytes of a remembered pair, and of a remembered piece besides 4 for each of its bytes and 8 for each id (the ids are
+#: the automaton's own objects).
 PAIR_BYTES, PIECE_BYTES = 112, 200
+#: Stands before the first token of a piece and is compatible with all.
+NOTHING = -1
 #: Pieces longer than this are not remembered.
 LONG = 64
 
@@ -67,13 +71,16 @@ class Vocabulary:
             self.merge.setdefault((left, right), (rank, out))
             self.made.setdefault(out, (rank, left, right))
         self.automaton = ahocorasick.Automaton()
+        #: For each token whether those before it are compatible, as far as known, and how many pairs that are.
+        self.known: list[dict[int, bool]] = []
+        self.n_known = 0
         for t, i in ids.items():
             b = self.token[i]
             if len(b) == 1 or i in self.made:
-                self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
+                self.known.append({NOTHING: True})
+                self.automaton.add_word(b.decode("latin-1"), (i, len(b), self.known[-1]))
         self.automaton.make_automaton()
         self.whole = {self.token[i].decode("latin-1"): i for i in ids.values() if len(self.token[i]) == 1 or i in self.made}
-        self.known: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         self.split = regex.compile(SPLIT)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -90,17 +97,25 @@ class Vocabulary:
             memo[token] = steps[::-1]
         return memo[token]
 
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether the pair stays apart: no merge over the border comes before both sides' own."""
-        key = left << 32 | right
-        known = self.known.get(key)
-        if known is None:
-            if len(self.known) * PAIR_BYTES >= REMEMBERED:
-                self.known.clear()
-            known = self.known[key] = self._stays_apart(left, right)
-        return known
+    def forget(self) -> None:
+        """Drop what is remembered of pairs."""
+        if self.n_known:
+            for pairs in self.known:
+                if len(pairs) > 1:
+                    pairs.clear()
+                    pairs[NOTHING] = True
+        self.n_known = 0
+
+    def _learn(self, left: int, right: int, pairs: dict[int, bool]) -> bool:
+        """Remember among the right one's pairs whether it stays apart from the left one."""
+        if self.n_known * PAIR_BYTES >= REMEMBERED_PAIRS:
+            self.forget()
+        self.n_known += 1
+        apart = pairs[left] = self._stays_apart(left, right)
+        return apart
 
     def _stays_apart(self, left: int, right: int) -> bool:
+        """Whether no merge over the border of the pair comes before both sides' own."""
         a, b = self._edge(left, True), self._edge(right, False)
         i = j = 0
         while True:
@@ -121,18 +136,15 @@ class Vocabulary:
         found = self.whole.get(piece)
         if found is not None:  # the longest match at the last position is the piece itself
             return (found,)
-        n, known, test = len(piece), self.known, self.compatible
-        last = [-1] * n
-        for end, (token, size) in self.automaton.iter(piece):
-            if last[end] < 0:
-                start = end - size
-                if start < 0:
+        n, learn = len(piece), self._learn
+        last = [None] * n
+        last.append(NOTHING)  # found at -1, before the first position
+        for end, (token, size, pairs) in self.automaton.iter(piece):
+            if last[end] is None:
+                before = last[end - size]
+                apart = pairs.get(before)
+                if apart or (apart is None and learn(before, token, pairs)):
                     last[end] = token
-                else:
-                    before = last[start]
-                    apart = known.get(before << 32 | token)
-                    if apart or (apart is None and test(before, token)):
-                        last[end] = token
         out, at, token = [], n - 1, self.token
         while at >= 0:
             out.append(last[at])
@@ -145,30 +157,42 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+class Pieces(dict):
+    """Piece -> ids; what is not remembered is encoded, and remembered unless it is long."""
+
+    def __init__(self, vocab: Vocabulary):
+        super().__init__()
+        self.vocab, self.held = vocab, 0
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        plain = piece if piece.isascii() else piece.encode("utf-8", "replace").decode("latin-1")
+        ids = self.vocab.encode_piece(plain)
+        if len(piece) <= LONG:
+            self.held += PIECE_BYTES + 4 * len(piece) + 8 * len(ids)
+            if self.held > REMEMBERED:
+                self.forget()
+            self[piece] = ids
+        return ids
+
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
+
 class Encoder:
     """Encodes whole texts, remembering pieces."""
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.seen, self.held = vocab, {}, 0
+        self.vocab, self.seen = vocab, Pieces(vocab)
 
     def forget(self) -> None:
         """Drop all that was remembered."""
-        self.seen, self.held, self.vocab.known = {}, 0, {}
+        self.seen.forget()
+        self.vocab.forget()
         self.vocab.edges = ({}, {})
 
     def _plain(self, text: str, out: list[int]) -> None:
-        seen, encode = self.seen, self.vocab.encode_piece
-        for piece in self.vocab.split.findall(text):
-            ids = seen.get(piece)
-            if ids is None:
-                ids = encode(piece.encode("utf-8", "replace").decode("latin-1"))
-                if len(piece) <= LONG:
-                    self.held += PIECE_BYTES + 4 * len(piece) + 36 * len(ids)
-                    if self.held > REMEMBERED:
-                        seen.clear()
-                        self.held = 0
-                    seen[piece] = ids
-            out += ids
+        out += chain.from_iterable(map(self.seen.__getitem__, self.vocab.split.findall(text)))
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []

@@ -241,6 +241,30 @@ def test_bpe_equals_the_library(spark, docs, odd, none):
     assert bpe.bpe_round_trip(none, path).count() == 0
 
 
+def test_bpe_remembers_the_pieces_of_a_task(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = Q.vocabulary_path()
+    lib, coder = Tokenizer.from_file(path), bpe.encoder(path)
+    coder.forget()
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(90_000)]
+    texts = [" ".join(words[i : i + 900]) for i in range(0, len(words), 900)]
+    first = [coder.encode(t) for t in texts]
+    made = []
+    encode = coder.vocab.encode_piece
+    monkeypatch.setattr(coder.vocab, "encode_piece", lambda p: made.append(p) or encode(p))
+    assert [coder.encode(t) for t in texts] == first and not made
+    coder.forget()
+    assert not coder.seen and not coder.vocab.n_known
+    # Little memory changes no id.
+    monkeypatch.setattr(bpe, "REMEMBERED", 20_000)
+    monkeypatch.setattr(bpe, "REMEMBERED_PAIRS", 20_000)
+    assert [coder.encode(t) for t in texts[:20]] == first[:20] == [lib.encode(t, add_special_tokens=False).ids for t in texts[:20]]
+    assert coder.seen.held <= 20_500 and coder.vocab.n_known * bpe.PAIR_BYTES <= 20_000
+    coder.forget()
+
+
 # -- 5 -----------------------------------------------------------------------------------
 
 
