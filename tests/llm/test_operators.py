@@ -428,6 +428,29 @@ def test_spans_of_fresh_sentences():
     assert found / (found + missed) > 0.85 and found / (found + false) > 0.95, (found, missed, false)
 
 
+def test_decoding_equals_double_precision():
+    tagger = pii.trained()
+    exact = pii.Tagger.__new__(pii.Tagger)
+    exact.p = {k: v.astype(np.float64) for k, v in tagger.p.items()}
+    r = np.random.default_rng(8)
+    for length in (1, 2, 160, 1024):
+        codes = np.stack([pii.encode(pii.labelled(r, length)[0]) for _ in range(6)])
+        path, prob = tagger.decode(codes)
+        e, _ = exact.scores(codes)
+        best, back = exact.p["start"] + e[:, 0], []
+        for t in range(1, length):
+            step = best[:, :, None] + exact.p["T"]
+            back.append(step.argmax(1))
+            best = step.max(1) + e[:, t]
+        want = [best.argmax(1)]
+        for b in back[::-1]:
+            want.append(b[np.arange(6), want[-1]])
+        assert (path == np.stack(want[::-1], 1)).all()
+        each = np.take_along_axis(exact.marginals(e)[1], path[:, :, None], 2)[:, :, 0]
+        some = path.any(1)
+        assert np.abs(prob - each)[some].max(initial=0) < 1e-4 and (prob[~some] == 1).all()
+
+
 def test_spans_at_window_edges_are_whole():
     """A signal in the overlap of two windows opens both; what no window holds is decoded again."""
     for k in range(1, 40):
