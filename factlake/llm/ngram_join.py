@@ -52,6 +52,8 @@ BLOCK = 512
 BROADCAST = 32 << 20
 #: Rounds in which only neighbours in a run are compared, before all that is left.
 CHAINS = 2
+#: About how many pairs of the last round are looked at at once.
+CELLS = 1 << 18
 #: Signature bits for each shingle, rounded up to a power of two, and least bits.
 SIGNATURE_BITS = (1, 256)
 
@@ -375,6 +377,33 @@ def _chain_pairs(labelled: DataFrame, percent: int) -> DataFrame:
     return labelled.groupBy("bucket").applyInArrow(light(run), "a long, b long").distinct()
 
 
+def _near(sigs: np.ndarray):
+    """A function of two lists of places in ``sigs``, the first one's not longer: their Hamming distances at the length of the first."""
+    length = np.array([len(v) for v in sigs], np.int64)
+    folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(m: int):
+        if m not in folded:
+            some = np.flatnonzero(length >= m)
+            slot = np.full(len(sigs), -1)
+            slot[some] = np.arange(len(some))
+            folded[m] = slot, np.stack([fold(v, m) for v in sigs[some]])
+        return folded[m]
+
+    def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), np.int64)
+        for m in np.unique(length[a]).tolist():
+            slot, words = at(m)
+            which = np.flatnonzero(length[a] == m)
+            step = max(1, TOGETHER // m)
+            for k in range(0, len(which), step):
+                w = which[k : k + step]
+                out[w] = np.bitwise_count(words[slot[a[w]]] ^ words[slot[b[w]]]).sum(1, dtype=np.int64)
+        return out
+
+    return distance
+
+
 SIGNED = MixedLayout(token="<u8", rep="<i8", size="<i4", at="<i4", label="<i8", sig="O")
 
 
@@ -415,30 +444,32 @@ def _clusters(labelled: DataFrame, reps: DataFrame, buckets: int, percent: int)
         d = SIGNED.join(t)
         o = np.lexsort((d["rep"], d["size"], d["token"]))
         d = {f: v[o] for f, v in d.items()}
-        every, who = np.unique(d["rep"], return_inverse=True)
+        every, first, who = np.unique(d["rep"], return_index=True, return_inverse=True)
         comp = Components(len(every))
-        for x, y in zip(*runs(d["token"]), strict=True):
-            size, label, at, idx = (v[x:y] for v in (d["size"], d["label"], d["at"], who))
-            cluster = np.array([comp.find(i) for i in idx.tolist()])
-            if cluster.min() == cluster.max():
-                continue
-            n, sig = size.astype(np.int64), d["sig"][x:y]
-            length = np.array([len(v) for v in sig])
-            folded: dict[int, np.ndarray] = {}
-            for i in range(y - x - 1):  # partners that are no smaller, up to the largest allowed
-                to = np.searchsorted(n, 100 * n[i] // percent, "right")
-                j = np.arange(i + 1, max(to, i + 1))
-                j = j[(label[j] != label[i]) & (cluster[j] != cluster[i])]
-                need = -(-percent * (n[i] + n[j]) // (100 + percent))
-                # The overlap lies in what follows this shingle, itself included, or before it in both.
-                j = j[np.minimum(n[i] - at[i], n[j] - at[j]) + np.minimum(at[i], at[j]) >= need]
-                if len(j):
-                    m = length[i]
-                    if m not in folded:
-                        folded[m] = np.stack([fold(v, m) if len(v) >= m else np.zeros(m // 8, np.uint64) for v in sig])
-                    j = j[np.bitwise_count(folded[m][j] ^ folded[m][i]).sum(1) * (100 + percent) <= (100 - percent) * (n[i] + n[j])]
-                for k in j.tolist():
-                    comp.join(int(idx[i]), int(idx[k]))
+        near = _near(d["sig"][first])
+        n, label, at = d["size"].astype(np.int64), d["label"], d["at"].astype(np.int64)
+        # Partners stand behind in the run and are no smaller, up to the largest allowed.
+        run = np.cumsum(np.concatenate([np.zeros(1, np.int64), d["token"][1:] != d["token"][:-1]])[: len(n)])
+        wide = 100 * int(n.max(initial=0)) // percent + 1
+        many = np.searchsorted(run * wide + n, run * wide + 100 * n // percent, "right") - np.arange(len(n)) - 1
+        sums = np.concatenate([[0], np.cumsum(many)])
+        cluster, p = np.arange(len(every)), 0
+        while p < len(n):
+            q = max(p + 1, int(np.searchsorted(sums, sums[p] + CELLS, "right")) - 1)
+            i = np.repeat(np.arange(p, q), many[p:q])
+            j = i + 1 + np.arange(len(i)) - (sums[i] - sums[p])
+            p = q
+            apart = (label[i] != label[j]) & (cluster[who[i]] != cluster[who[j]])
+            i, j = i[apart], j[apart]
+            # The overlap lies in what follows this shingle, itself included, or before it in both.
+            fits = (np.minimum(n[i] - at[i], n[j] - at[j]) + np.minimum(at[i], at[j])) * (100 + percent) >= percent * (n[i] + n[j])
+            i, j = i[fits], j[fits]
+            fits = near(who[i], who[j]) * (100 + percent) <= (100 - percent) * (n[i] + n[j])
+            pair = np.unique(cluster[who[i[fits]]] * len(every) + cluster[who[j[fits]]])
+            for k in pair.tolist():
+                comp.join(*divmod(k, len(every)))
+            if len(pair):
+                cluster = np.array([comp.find(k) for k in range(len(every))], np.int64)
         up = np.array([comp.find(i) for i in range(len(every))], np.int64)
         rest = np.flatnonzero(up != np.arange(len(up)))
         return pa.table({"a": pa.array(every[rest], pa.int64()), "b": pa.array(every[up[rest]], pa.int64())})

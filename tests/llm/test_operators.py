@@ -225,6 +225,20 @@ def test_signatures_bound_the_difference():
 # -- 4 -----------------------------------------------------------------------------------
 
 
+def test_distances_of_signatures_of_several_lengths():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 2**63, int(k)).astype(np.uint64)) for k in (1, 40, 300, 310, 900, 5000)]
+    sigs = np.empty(len(sets), object)
+    sigs[:] = [ngram_join.signature(x) for x in sets]
+    a, b = (np.array(x) for x in zip(*[(i, j) for i in range(len(sets)) for j in range(i, len(sets))], strict=True))
+    want = []
+    for i, j in zip(a, b, strict=True):
+        bits = np.unpackbits(np.frombuffer(sigs[j], np.uint8)).reshape(-1, 8 * len(sigs[i])).sum(0) % 2
+        want.append(int((bits != np.unpackbits(np.frombuffer(sigs[i], np.uint8))).sum()))
+    assert ngram_join._near(sigs)(a, b).tolist() == want
+    assert ngram_join._near(sigs)(a[:0], b[:0]).tolist() == []
+
+
 def test_bpe_equals_the_library(spark, docs, odd, none):
     from tokenizers import Tokenizer
 
